@@ -52,15 +52,18 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "_sorted",
         F.when(
             F.size(F.array_distinct("_windows")) < F.size("_windows"),
-            F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ),
     ).drop("_windows")
     same = lambda x, j: F.coalesce(F.get(F.col("_sorted"), j)["h"] == x["h"], F.lit(False))
-    found = F.array_sort(F.transform(F.filter("_sorted", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
+    found = F.sort_array(F.transform(F.filter("_sorted", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
     step = step.withColumn("_at", found).drop("_sorted")
     fresh = F.transform("_at", lambda p, j: F.when(j == 0, 3).otherwise(F.least(F.lit(3), p - F.get(F.col("_at"), j - 1))))
     step = step.withColumn("n_repeat_words", F.coalesce(F.aggregate(fresh, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).drop("_at")
-    return step.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    # the row number keeps filters on the verdict above these columns: pushed below, they would be computed anew for each word
+    step = step.withColumn("_row", F.monotonically_increasing_id())
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return step.withColumn("base_failed", failed & (F.col("_row") >= 0)).drop("_row")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
