@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ALL = Window.orderBy("date")  # one regime history: some thousands of days
+def _all():
+    return Window.orderBy("date")  # one regime history: some thousands of days
 
 
 def runs(labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, regime, start, end, length) of the runs of equal labels in date order."""
-    w = Window.partitionBy(*keys).orderBy("date") if keys else _ALL
+    w = Window.partitionBy(*keys).orderBy("date") if keys else _all()
     before = F.lag("regime").over(w)
     marked = labels.withColumn("_new", (before.isNull() | (before != F.col("regime"))).cast("int"))
     island = marked.withColumn("_island", F.sum("_new").over(w))
@@ -75,7 +76,7 @@ def anova_r2(features: DataFrame, proba: DataFrame) -> DataFrame:
 
 def transition_counts(labels: DataFrame) -> DataFrame:
     """(regime, next, n, share)."""
-    steps = labels.withColumn("next", F.lead("regime").over(_ALL)).filter(F.col("next").isNotNull())
+    steps = labels.withColumn("next", F.lead("regime").over(_all())).filter(F.col("next").isNotNull())
     n = steps.groupBy("regime", "next").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("regime")))
 
@@ -99,7 +100,7 @@ def regime_distributions(labels: DataFrame, features: DataFrame) -> DataFrame:
 def joined_returns(px: DataFrame, labels: DataFrame) -> DataFrame:
     """(date, regime, ret) over the days that have both a price and a regime."""
     both = px.join(labels, "date").filter(F.col("px").isNotNull() & F.col("regime").isNotNull())
-    ret = F.col("px") / F.lag("px").over(_ALL) - 1
+    ret = F.col("px") / F.lag("px").over(_all()) - 1
     return both.select("date", "regime", ret.alias("ret")).filter(F.col("ret").isNotNull())
 
 
@@ -129,7 +130,7 @@ def equity_by_regime(px: DataFrame, labels: DataFrame, freq: int = 252, rf_annua
 def ticker_regime_fill(px: DataFrame, labels: DataFrame) -> DataFrame:
     """Prices with the regime of their date, carried forward; days before the first regime go."""
     joined = px.join(labels, "date", "left")
-    filled = F.last("regime", ignorenulls=True).over(_ALL.rowsBetween(Window.unboundedPreceding, 0))
+    filled = F.last("regime", ignorenulls=True).over(_all().rowsBetween(Window.unboundedPreceding, 0))
     return joined.withColumn("regime", filled).filter(F.col("regime").isNotNull())
 
 

@@ -124,7 +124,7 @@ def models(spark, sf_dir):
     k = F.col("n_nationkey")
     r = lambda x: F.round(x, 6)
     return c.groupBy(k).agg(n.alias("n"), r(F.avg(a)).alias("m"), r(F.min(a)).alias("lo"), r(F.max(a)).alias("hi")).select(
-        F.concat(F.lit("m"), k.cast("string")).alias("model_id"), (k % 11 != 3).alias("stationary_valid"), (F.col("n") % 20 / 100 + 0.01).alias("min_share"), ((F.col("n") % 9 + 1) / 10).alias("max_share"), (F.col("hi") / 3).alias("max_duration"),
+        F.concat(F.lit("m"), k.cast("string")).alias("model_id"), (k % 11 != 3).alias("stationary_valid"), (F.col("n") % 20 / 100 + 0.01).alias("min_share"), ((F.col("n") % 9 + 1) / 10).alias("max_share"), (F.col("hi") / 3.31).alias("max_duration"),
         (F.col("hi") / 40).alias("median_duration"), (F.col("n") % 7 / 10).alias("tv20"), (F.col("n") % 6 / 20).alias("max_offdiag"), (F.col("n") % 13).cast("long").alias("n_transitions"), (F.col("m") / 30).alias("persistence"),
         (F.col("n") % 17 / 10).alias("entropy"), (F.col("m") / 1000).alias("maha_min"), (F.col("m") / 500).alias("maha_median"), (F.col("n") % 10 / 10).alias("r2_mean"),
         F.when(k % 5 != 0, F.col("n") % 19 / 60).alias("oos_min_share"), F.when(k % 5 != 0, (F.col("n") % 8 + 1) / 9).alias("oos_max_share"), F.when(k % 5 != 0, F.col("n") % 12 / 12).alias("oos_r2"),
@@ -164,7 +164,7 @@ SQL: dict[str, str] = {
     "proc": "SELECT * FROM aligned WHERE date >= (SELECT max(m) FROM (SELECT min(date) AS m FROM aligned WHERE value IS NOT NULL GROUP BY series_code))",
     "px": f"SELECT CAST(l_shipdate AS DATE) AS date, {_mean_sql('l_extendedprice')} AS px FROM lineitem GROUP BY CAST(l_shipdate AS DATE)",
     "models": """
-      SELECT 'm' || k AS model_id, k % 11 <> 3 AS stationary_valid, n % 20 / 100 + 0.01 AS min_share, (n % 9 + 1) / 10 AS max_share, hi / 3 AS max_duration, hi / 40 AS median_duration, n % 7 / 10 AS tv20,
+      SELECT 'm' || k AS model_id, k % 11 <> 3 AS stationary_valid, n % 20 / 100 + 0.01 AS min_share, (n % 9 + 1) / 10 AS max_share, hi / 3.31 AS max_duration, hi / 40 AS median_duration, n % 7 / 10 AS tv20,
              n % 6 / 20 AS max_offdiag, n % 13 AS n_transitions, m / 30 AS persistence, n % 17 / 10 AS entropy, m / 1000 AS maha_min, m / 500 AS maha_median, n % 10 / 10 AS r2_mean,
              CASE WHEN k % 5 <> 0 THEN n % 19 / 60 END AS oos_min_share, CASE WHEN k % 5 <> 0 THEN (n % 8 + 1) / 9 END AS oos_max_share, CASE WHEN k % 5 <> 0 THEN n % 12 / 12 END AS oos_r2
       FROM (SELECT n_nationkey AS k, count(*) AS n, round(avg(c_acctbal), 6) AS m, round(min(c_acctbal), 6) AS lo, round(max(c_acctbal), 6) AS hi

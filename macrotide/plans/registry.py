@@ -75,8 +75,8 @@ for _name, _step in {"tx_ema_span": Ema(span=10), "tx_ema_halflife": Ema(halflif
     _ema = f"""
       SELECT a.series_code, a.date, sum(pow({_keep!r}, a.i - b.i) * b.v) / sum(pow({_keep!r}, a.i - b.i)) AS v FROM o a JOIN o b ON a.series_code = b.series_code AND b.i <= a.i GROUP BY 1, 2"""
     add(_name, lambda s, d, c=_step: transform(X.processed(s, d), [(c,)], STRICT).select("series_code", "date", "value"),
-        X.with_views(f"SELECT series_code, date, {r(f'last_value(v IGNORE NULLS) OVER {X._U}', 3)} AS value FROM (SELECT series_code, date FROM proc) LEFT JOIN ({_ema}) USING (series_code, date)", "proc",
-                     extra={"o": "SELECT series_code, date, value AS v, row_number() OVER (PARTITION BY series_code ORDER BY date) AS i FROM proc WHERE is_new_data"}), digits=3)
+        X.with_views(f"SELECT series_code, date, {r(f'last_value(v IGNORE NULLS) OVER {X._U}', 4)} AS value FROM (SELECT series_code, date FROM proc) LEFT JOIN ({_ema}) USING (series_code, date)", "proc",
+                     extra={"o": "SELECT series_code, date, value AS v, row_number() OVER (PARTITION BY series_code ORDER BY date) AS i FROM proc WHERE is_new_data"}), digits=4)
 
 # features
 _PIVOT = ", ".join(f"{r(f"any_value(value) FILTER (feature = '{n}')")} AS \"{n}\"" for n in X.NAMES)
