@@ -55,9 +55,6 @@ class WordIds(dict):
 
     def learn(self, words: set[str]) -> None:
         """A word of letters with one mark after it has the ids of the lower-case letters, then those of the mark."""
-        if len(self) + len(words) > WORD_CACHE:
-            self.clear()
-            self.cores.clear()
         split = {}
         for w in words:
             core, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",", "!") else (w, "")
@@ -75,6 +72,10 @@ class WordIds(dict):
         new = set()
         for words in split:
             new.update(w for w in words if w not in self)
+        if len(self) + len(new) > WORD_CACHE:  # start anew, with all words that are needed now
+            self.clear()
+            self.cores.clear()
+            new = set().union(*split)
         if new:
             self.learn(new)
         look = self.__getitem__

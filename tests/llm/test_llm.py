@@ -97,6 +97,14 @@ def test_packing(docs):
     assert packing.pack(empty(docs), tokenizer()).count() == 0
 
 
+def test_word_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr(packing, "WORD_CACHE", 40)
+    words = packing.WordIds(tokenizer())
+    texts = [t or "" for _, t in DOCS]
+    first = [words.texts([t])[0] for t in texts + texts]
+    assert first == [bytes().join(i.to_bytes(4, "little") for i in words.model.encode(t, add_special_tokens=False).ids) for t in texts + texts]
+
+
 def test_fullest_is_optimal():
     import numpy as np
 
