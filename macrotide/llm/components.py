@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialise
@@ -52,10 +52,9 @@ def similar_components(buckets: DataFrame, features_of, threshold: float) -> Dat
     Jaccard distance, with the least id as the pivot, already rules a link out. So every
     pair of one bucket that could be linked is either compared or already connected.
     """
-    own = Window.partitionBy("bucket")
-    members = materialise(
-        buckets.withColumn("a", F.min("id").over(own)).withColumn("_most", F.max("id").over(own)).filter("a <> _most").select("bucket", "a", F.col("id").alias("b"))
-    )
+    # the least ids are aggregated before the shuffle and joined back, so a hot bucket's rows can be split over tasks
+    least = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("_most")).filter("a <> _most").select("bucket", "a")
+    members = materialise(buckets.join(least, "bucket").select("bucket", "a", F.col("id").alias("b")))
     features = materialise(features_of(members.select(F.col("b").alias("id")).distinct()))
     first = materialise(similarity(members.filter("a <> b").select("a", "b").distinct(), features))
     linked = first.filter(F.col("jaccard") >= threshold).select("a", "b")

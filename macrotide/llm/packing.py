@@ -16,6 +16,7 @@ each gets its own. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 
@@ -30,8 +31,6 @@ CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
 WORD_CACHE = 500_000
-#: Pieces that one ranking window holds at most, on average.
-RANK_SLICE = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -178,17 +177,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     ranges = spark.createDataFrame(
         plan(histogram, capacity), "length long, first_rank long, bins long, first_sequence long, offset long"
     )
-    # ranks within a length: within hash slices first, then shifted by the slices before
-    slices = max(1, total // RANK_SLICE)
+    # ranks within a length: within hash slices first, then shifted by the slices before; with the square root
+    # of the number of pieces as the number of slices, neither step gathers more than about that many rows of one length
+    slices = max(1, math.isqrt(total))
     sliced = cut.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
     by_slice = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = sliced.groupBy("length", "_slice").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(by_slice), F.lit(0))).drop("n")
     inner = Window.partitionBy("length", "_slice").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = sliced.withColumn("_in_slice", F.row_number().over(inner) - 1)
-    if slices > 1:
-        ranked = ranked.join(before, ["length", "_slice"]).withColumn("_rank", F.col("_in_slice") + F.col("_before"))
-    else:
-        ranked = ranked.withColumn("_rank", F.col("_in_slice").cast("long"))
+    ranked = sliced.withColumn("_in_slice", F.row_number().over(inner) - 1).join(before, ["length", "_slice"]).withColumn("_rank", F.col("_in_slice") + F.col("_before"))
     # at most a few ranges for each of at most ``capacity`` lengths: gathered per length, then looked up by the rank
     lookup = ranges.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first_rank", "bins", "first_sequence", "offset"))).alias("_ranges"))
     place = F.element_at(F.filter("_ranges", lambda r: (r["first_rank"] <= F.col("_rank")) & (F.col("_rank") < r["first_rank"] + r["bins"])), 1)
