@@ -42,15 +42,30 @@ def similarity(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("jaccard"))
 
 
-def similar_components(buckets: DataFrame, features_of, threshold: float) -> DataFrame:
+def parity_sketches(features: DataFrame, longs: int) -> DataFrame:
+    """(id, size, s0, s1, ...): each item flips one of 64 * longs bits, so that the bits in which
+    two sketches differ are at most as many as the items that only one of the two sets has.
+    Rows that share an id keep a sketch each."""
+    rows = features.withColumn("_row", F.monotonically_increasing_id())
+    each = rows.select("id", "_row", F.size("items").alias("size"), F.explode("items").alias("h")).withColumn("h", F.xxhash64("h"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 16) & 63 as int))")
+    word = F.pmod("h", F.lit(longs))
+    flips = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(longs)]
+    return each.groupBy("id", "_row", "size").agg(*flips).drop("_row")
+
+
+def similar_components(buckets: DataFrame, features_of, threshold: float, longs: int = 16) -> DataFrame:
     """(id, root) of all ids that are linked: those that share a bucket and have Jaccard of ``threshold`` or more.
 
     buckets: (bucket, id), long. features_of(ids) gives (id, items) for a table of ids.
     No group is expanded into all its pairs. First each member is compared with the
     least id of its bucket. Members of one bucket that this leaves in different
-    components are compared with each other, unless the triangle inequality of the
-    Jaccard distance, with the least id as the pivot, already rules a link out. So every
-    pair of one bucket that could be linked is either compared or already connected.
+    components are candidates, unless a bound rules a link out: the triangle inequality
+    of the Jaccard distance with the least id as the pivot, or the parity sketches (of
+    ``longs`` times 64 bits), which differ in no more bits than the sets in items. Both
+    bounds are exact and part of the join's condition, so only pairs that are linked or
+    nearly so become rows, and every pair of one bucket that could be linked is either
+    compared or already connected.
     """
     # the least ids are aggregated before the shuffle and joined back, so a hot bucket's rows can be split over tasks
     least = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("_most")).filter("a <> _most").select("bucket", "a")
@@ -65,10 +80,14 @@ def similar_components(buckets: DataFrame, features_of, threshold: float) -> Dat
         .select("bucket", F.col("b").alias("id"), F.coalesce("root", "b").alias("root"), F.coalesce("jaccard", F.lit(1.0)).alias("near"))
     )
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = materialise(placed.join(mixed, "bucket"))
+    open_ = materialise(placed.join(mixed, "bucket"))
+    sketches = parity_sketches(features.join(open_.select("id").distinct(), "id", "left_semi"), longs)
+    rest = materialise(open_.join(sketches, "id"))
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & (F.abs(F.col("x.near") - F.col("y.near")) <= 1 - threshold + 1e-9)
-    second = x.join(y, apart).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(longs)), F.lit(0))
+    close = differ <= (F.col("x.size") + F.col("y.size")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    second = x.join(y, apart & close).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = materialise(similarity(second, features).filter(F.col("jaccard") >= threshold).select("a", "b"))
     if more.isEmpty():
         return roots
