@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -282,3 +283,29 @@ def test_html(spark):
     assert got[1].text == "The title\nFirst & long paragraph, with commas, and bold text that goes on for a while.\nSecond paragraph, also, long enough to count as text. after"
     assert got[2].text == "" == got[3].text and got[4].text == "Only\nShort &am" and got[1].n_chars == len(got[1].text)
     assert html_extract.extract(rows.limit(0)).count() == 0
+
+
+def test_groups_just_under_the_threshold_lose_no_link(spark):
+    """One bucket of sets that are mostly a little less similar than asked for."""
+    from macrotide.llm.components import parity_sketches, similar_components
+
+    rng = random.Random(5)
+    base = list(range(100))
+    sets = {i: {x if rng.random() > 0.11 else rng.randrange(1000, 10**9) for x in base} for i in range(60)}
+    sets[7] = set(sets[30]) | {-1}
+    sets[59] = set(rng.sample(sorted(sets[12]), 85))
+    features = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, items array<long>")
+    sketch = {r["id"]: [r[f"s{k}"] for k in range(4)] for r in parity_sketches(features, 4).collect()}
+    root = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in ((a, b) for a in sets for b in sets if a < b):
+        bits = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(sketch[a], sketch[b], strict=True))
+        assert bits <= len(sets[a] ^ sets[b])
+    for _ in sets:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {i: root[i] for link in links for i in link}
+    assert len(set(linked.values())) > 1 or len(linked) < len(sets)
+    buckets = spark.createDataFrame([(1, i) for i in sets], "bucket long, id long")
+    found = similar_components(buckets, lambda ids: features.join(ids, "id", "left_semi"), 0.8, longs=4)
+    assert {r["id"]: r["root"] for r in found.collect()} == linked
