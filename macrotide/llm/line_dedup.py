@@ -3,8 +3,10 @@
 A line is a part of the text between line feeds. Its normal form is lower-case, with
 each run of white space one space, trimmed. Lines with a normal form of ``MIN_CHARS``
 characters or more take part; shorter ones (blank lines, bare marks) always stay.
-The character shingles of a line are the ``SHINGLE`` characters from each word's start
-on (fewer at the line's end); all word starts together cover the whole line.
+The character shingles of a line are, with ``every``, the ``SHINGLE`` characters from each of
+its characters on, as far as there are that many; a shorter line is one shingle. Without it
+they are those from each word's start (fewer at the line's end), which leave what follows the
+eighth character of a word unseen. The registered query and the pipeline take ``WHOLE``.
 
 Equal normal forms are one line from the first shuffle on, with the place of the first
 occurrence. Each distinct line gets 64 minima of its shingle hashes, permuted by
@@ -28,6 +30,8 @@ from .storage import NULL_ID, materialise
 
 MIN_CHARS, SHINGLE, THRESHOLD = 20, 8, 0.8
 BANDS, ROWS = 16, 4
+#: The arguments of the whole job.
+WHOLE = {"every": True}
 
 
 def normal_form(line: Column) -> Column:
@@ -38,8 +42,11 @@ def normal_form(line: Column) -> Column:
     return F.trim(F.when(odd, F.regexp_replace(plain, r"[ \t\x0b\f\r]+", " ")).otherwise(plain))
 
 
-def shingle_array(norm: Column, size: int = SHINGLE) -> Column:
-    return F.regexp_extract_all(norm, F.lit(rf"(?<![^ ])(?=(.{{1,{size}}}))"), F.lit(1))
+def shingle_array(norm: Column, size: int = SHINGLE, every: bool = False) -> Column:
+    if not every:
+        return F.regexp_extract_all(norm, F.lit(rf"(?<![^ ])(?=(.{{1,{size}}}))"), F.lit(1))
+    found = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{size}}}))."), F.lit(1))  # one pass; the last dot steps over whole characters
+    return F.when(F.length(norm) < size, F.array(norm)).otherwise(found)
 
 
 def _seed(i: int) -> int:
@@ -57,14 +64,14 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return lines.filter(F.length("norm") >= min_chars).withColumn("k1", F.xxhash64("norm")).withColumn("k2", F.hash("norm", F.lit(7)))
 
 
-def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
     """(id, place, chars) of the line occurrences to remove, once each."""
     found = occurrences(docs, min_chars)
     lines = found.groupBy("k1", "k2").agg(F.any_value("norm").alias("norm"), F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"))
     # still partitioned by the line's key: the shingles of a line meet again without a shuffle
     # (and with keys and minima of fixed width, they are summed up by hash, not by sorting)
     own = ["k1", "k2", "id", "place", "n"]
-    hashed = lines.select("k1", "k2", "first.id", "first.place", "n", F.explode(shingle_array(F.col("norm"))).alias("s")).withColumn("h", F.xxhash64("s"))
+    hashed = lines.select("k1", "k2", "first.id", "first.place", "n", F.explode(shingle_array(F.col("norm"), every=every)).alias("s")).withColumn("h", F.xxhash64("s"))
     turned = {r: F.col("h") if r == 0 else F.shiftleft("h", 8 * r).bitwiseOR(F.shiftrightunsigned("h", 64 - 8 * r)) for r in range(8)}
     minima = [F.min(turned[i % 8].bitwiseXOR(F.lit(_seed(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
@@ -75,7 +82,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int
     def features(ids: DataFrame) -> DataFrame:
         wanted = found.withColumnRenamed("id", "doc").join(ids.withColumnRenamed("id", "k1"), "k1", "left_semi")
         one = wanted.groupBy("k1").agg(F.any_value("norm").alias("norm"))
-        return one.select(F.col("k1").alias("id"), F.array_distinct(F.transform(shingle_array(F.col("norm")), lambda s: F.xxhash64(s))).alias("items"))
+        return one.select(F.col("k1").alias("id"), F.array_distinct(F.transform(shingle_array(F.col("norm"), every=every), lambda s: F.xxhash64(s))).alias("items"))
 
     roots = similar_components(buckets, features, threshold, longs=4)
     named = signed.join(roots.select(F.col("id").alias("k1"), "root"), "k1", "left").select("k1", "first", "n", F.coalesce("root", "k1").alias("root"))
@@ -86,17 +93,17 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int
     return places.join(ruled, "k1").filter(F.struct("id", "place") != F.col("stays")).select("id", "place", "chars").distinct()
 
 
-def report(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def report(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
     """Per document row: doc_id, n_lines, n_removed, removed_chars (of the normal forms)."""
-    gone = repeated_lines(docs, threshold, min_chars).groupBy("id").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    gone = repeated_lines(docs, threshold, min_chars, every).groupBy("id").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
     keyed = counted.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
     return keyed.join(gone, "id", "left").select("doc_id", "n_lines", F.coalesce("n", F.lit(0)).alias("n_removed"), F.coalesce("chars", F.lit(0)).cast("long").alias("removed_chars"))
 
 
-def remove(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def remove(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
     """The documents without the removed lines; all other columns as they are (n_chars, if any, is counted anew)."""
-    gone = repeated_lines(docs, threshold, min_chars).groupBy("id").agg(F.collect_list("place").alias("_places")).withColumnRenamed("id", "_id")
+    gone = repeated_lines(docs, threshold, min_chars, every).groupBy("id").agg(F.collect_list("place").alias("_places")).withColumnRenamed("id", "_id")
     lines = F.split("text", "\n")
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_places", i), x)), lambda x: x.isNotNull())
     text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

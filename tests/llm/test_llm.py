@@ -201,6 +201,30 @@ def test_line_dedup(docs):
     assert line_dedup.report(empty(docs)).count() == 0
 
 
+def normal(line):
+    return re.sub("[ \t\x0b\f\r]+", " ", line.lower()).strip(" ")
+
+
+def test_line_dedup_sees_every_character(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    url = [f"https://{word(12)}.example/{word(20)}" for _ in range(6)]
+    cjk = ["今日は天気がいい" + "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(24)) for _ in range(4)]
+    emoji = ["\U0001f600" * 8 + "".join(chr(0x1F300 + rng.randrange(200)) for _ in range(24)) for _ in range(3)]
+    stamps = [f"2024-01-{d:02}t{word(24)}" for d in range(1, 5)]
+    near = [u[:-1] + "#" for u in url[:2]] + ["x" + cjk[0], emoji[0] + "!", word(3) + stamps[0], url[2].upper()]
+    spaced = ["a line with spaces and a long tail " + word(30) for _ in range(3)]
+    split = ["tail\u2028" + word(30) + " " + word(9), "short one under twenty"]
+    lines = url + cjk + emoji + stamps + spaced + split + near + [split[0] + "s"]
+    norms = {i: normal(x) for i, x in enumerate(lines)}
+    root = components({i: {n[j : j + 8] for j in range(max(1, len(n) - 7))} for i, n in norms.items()})
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup.report(rows, every=True).collect()}
+    assert got == {i: int(root[i] != i) for i in norms} and sum(got.values()) == 7
+    shingles = rows.select(line_dedup.shingle_array(line_dedup.normal_form(rows.text), every=True).alias("s")).collect()
+    assert [r.s for r in shingles] == [[n[j : j + 8] for j in range(max(1, len(n) - 7))] for n in norms.values()]
+
+
 def test_quality(docs):
     rows = {r.doc_id: r for r in quality.assess(docs).collect()}
     for d, t in DOCS:
