@@ -15,9 +15,10 @@ verified by exact Jaccard similarity of their shingle sets (0.8 or more) and joi
 distributed union-find (``components``). Of each component the first occurrence stays,
 in the order of doc_id and line number; all other occurrences are removed.
 
-Null and empty texts have no line that takes part. A null doc_id comes first. Rows that
-share a doc_id are told apart by their texts; lines at equal places in such rows count as
-one occurrence. Other columns are kept as they are.
+Null and empty texts have no line that takes part. A null doc_id comes first. A document is
+its doc_id (or null) and the hash of its text: rows that share a doc_id but not the text are
+documents of their own, in the order of that hash, and rows equal in both are one document,
+with the same lines removed. Other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -57,26 +58,30 @@ def _seed(i: int) -> int:
     return x - 2**63
 
 
+def row_key() -> list[Column]:
+    """What tells documents apart: doc_id, with a place for null, and the hash of the text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("text_hash")]
+
+
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, place, norm, k1, k2) of the lines that take part."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text")
-    lines = keyed.select("id", F.posexplode(F.split("text", "\n")).alias("place", "line")).select("id", "place", normal_form(F.col("line")).alias("norm"))
+    """(id, text_hash, place, norm, k1, k2) of the lines that take part."""
+    lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("place", "line")).select("id", "text_hash", "place", normal_form(F.col("line")).alias("norm"))
     return lines.filter(F.length("norm") >= min_chars).withColumn("k1", F.xxhash64("norm")).withColumn("k2", F.hash("norm", F.lit(7)))
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
-    """(id, place, chars) of the line occurrences to remove, once each."""
+    """(id, text_hash, place, chars) of the line occurrences to remove, once each."""
     found = occurrences(docs, min_chars)
-    lines = found.groupBy("k1", "k2").agg(F.any_value("norm").alias("norm"), F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"))
+    lines = found.groupBy("k1", "k2").agg(F.any_value("norm").alias("norm"), F.min(F.struct("id", "text_hash", "place")).alias("first"), F.count("*").alias("n"))
     # still partitioned by the line's key: the shingles of a line meet again without a shuffle
     # (and with keys and minima of fixed width, they are summed up by hash, not by sorting)
-    own = ["k1", "k2", "id", "place", "n"]
-    hashed = lines.select("k1", "k2", "first.id", "first.place", "n", F.explode(shingle_array(F.col("norm"), every=every)).alias("s")).withColumn("h", F.xxhash64("s"))
+    own = ["k1", "k2", "id", "text_hash", "place", "n"]
+    hashed = lines.select("k1", "k2", "first.id", "first.text_hash", "first.place", "n", F.explode(shingle_array(F.col("norm"), every=every)).alias("s")).withColumn("h", F.xxhash64("s"))
     turned = {r: F.col("h") if r == 0 else F.shiftleft("h", 8 * r).bitwiseOR(F.shiftrightunsigned("h", 64 - 8 * r)) for r in range(8)}
     minima = [F.min(turned[i % 8].bitwiseXOR(F.lit(_seed(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     signed = hashed.groupBy(*own).agg(*minima)
-    signed = materialise(signed.select("k1", F.struct("id", "place").alias("first"), "n", F.array(*bands).alias("bands")))
+    signed = materialise(signed.select("k1", F.struct("id", "text_hash", "place").alias("first"), "n", F.array(*bands).alias("bands")))
     buckets = signed.select(F.explode("bands").alias("bucket"), F.col("k1").alias("id"))
 
     def features(ids: DataFrame) -> DataFrame:
@@ -89,25 +94,26 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int
     stays = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).filter("all > 1")
     # lines of one occurrence in all need no look; the others learn which occurrence stays
     ruled = named.join(stays, "root").select("k1", "stays")
-    places = found.select("k1", "id", "place", F.length("norm").alias("chars"))
-    return places.join(ruled, "k1").filter(F.struct("id", "place") != F.col("stays")).select("id", "place", "chars").distinct()
+    places = found.select("k1", "id", "text_hash", "place", F.length("norm").alias("chars"))
+    return places.join(ruled, "k1").filter(F.struct("id", "text_hash", "place") != F.col("stays")).select("id", "text_hash", "place", "chars").distinct()
 
 
 def report(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
     """Per document row: doc_id, n_lines, n_removed, removed_chars (of the normal forms)."""
-    gone = repeated_lines(docs, threshold, min_chars, every).groupBy("id").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    keyed = counted.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    return keyed.join(gone, "id", "left").select("doc_id", "n_lines", F.coalesce("n", F.lit(0)).alias("n_removed"), F.coalesce("chars", F.lit(0)).cast("long").alias("removed_chars"))
+    gone = repeated_lines(docs, threshold, min_chars, every).groupBy("id", "text_hash").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_lines.alias("n_lines"), *row_key())
+    return keyed.join(gone, ["id", "text_hash"], "left").select("doc_id", "n_lines", F.coalesce("n", F.lit(0)).alias("n_removed"), F.coalesce("chars", F.lit(0)).cast("long").alias("removed_chars"))
 
 
 def remove(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
     """The documents without the removed lines; all other columns as they are (n_chars, if any, is counted anew)."""
-    gone = repeated_lines(docs, threshold, min_chars, every).groupBy("id").agg(F.collect_list("place").alias("_places")).withColumnRenamed("id", "_id")
+    gone = repeated_lines(docs, threshold, min_chars, every).groupBy("id", "text_hash").agg(F.collect_list("place").alias("_places")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "_places")
     lines = F.split("text", "\n")
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_places", i), x)), lambda x: x.isNotNull())
     text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(gone, "_id", "left").withColumn("text", text)
+    key, text_hash = row_key()
+    keyed = docs.withColumns({"_id": key, "_hash": text_hash}).join(gone, ["_id", "_hash"], "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         keyed = keyed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return keyed.select(docs.columns)

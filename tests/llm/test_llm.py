@@ -225,6 +225,18 @@ def test_line_dedup_sees_every_character(spark):
     assert [r.s for r in shingles] == [[n[j : j + 8] for j in range(max(1, len(n) - 7))] for n in norms.values()]
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    line = "this very line is found in more than one document"
+    own = [f"a line that only document {w} has in this place" for w in ("one", "two", "three", "four")]
+    texts = [(None, f"{own[0]}\n{line}"), (None, f"{own[1]}\nx\n{own[2]}\n{line}"), (None, f"x\n{own[3][::-1]}\ny\n{own[0][::-1]}"), (7, line), (7, f"{own[2][::-1]}\nzz"), (8, None), (None, None)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    kept = [r.text for r in line_dedup.remove(rows, every=True).collect()]
+    assert len(kept) == len(texts) and sum((t or "").split("\n").count(line) for t in kept) == 1
+    want = sorted(x for _, t in texts for x in (t or "").split("\n") if x != line and x)
+    assert sorted(x for t in kept for x in (t or "").split("\n") if x != line and x) == want
+    assert sum(r.n_removed for r in line_dedup.report(rows, every=True).collect()) == 2
+
+
 def test_quality(docs):
     rows = {r.doc_id: r for r in quality.assess(docs).collect()}
     for d, t in DOCS:
