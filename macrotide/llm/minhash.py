@@ -10,10 +10,12 @@ registers are cut into 32 bands of 4; documents that share a band are verified b
 exact Jaccard similarity of their shingle sets, and links (0.8 or more) are joined to
 classes (``components.similar_components``).
 
-Documents with equal shingle sets are one class before any banding, represented by
-the least doc_id, so exact copies never meet in a band. Null or wordless texts are
-similar to nothing: each is a class of its own. Rows that share a doc_id are one
-document (a null doc_id is one too). Other columns are ignored.
+A document is its doc_id (or null, which comes first) and the hash of its text; rows equal
+in both are one document. Documents with equal shingle sets are one class before any
+banding, so exact copies never meet in a band. Null or wordless texts are similar to
+nothing: each is a class of its own. Of each class the document with the least doc_id
+(then text hash) stays. ``class_id`` is that doc_id, so where ids are null or repeated
+several classes can bear one ``class_id``. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .storage import NULL_ID, materialise
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 
-_SIGNED = "id long, k1 long, k2 long, bands array<long>"
+_SIGNED = "id long, text_hash long, k1 long, k2 long, bands array<long>"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,22 +85,23 @@ def prob_min_hash(items: np.ndarray, weights: np.ndarray, rows: np.ndarray, regi
 def _sign(size: int, bands: int, rows_per_band: int):
     def run(batches):
         for batch in batches:
-            for lo, hi in row_blocks(batch.column(1), 1 << 20):
-                items, counts, rows = shingles(*utf8(batch.column(1).slice(lo, hi - lo)), size)
+            for lo, hi in row_blocks(batch.column(2), 1 << 20):
+                items, counts, rows = shingles(*utf8(batch.column(2).slice(lo, hi - lo)), size)
                 held = np.flatnonzero(np.diff(rows))
                 registers = prob_min_hash(items, 1 + np.log(counts), np.append(rows[held], len(items)), bands * rows_per_band)
                 key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(held), bands))
                 for r in range(rows_per_band):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + registers[:, r::rows_per_band])
-                ids = np.array([NULL_ID if x is None else x for x in batch.column(0).slice(lo, hi - lo).to_pylist()], np.int64)
-                k1, k2 = mix(ids.view(np.uint64)), np.zeros(len(ids), np.uint64)
+                ids, text_hash = (batch.column(c).slice(lo, hi - lo) for c in (0, 1))
+                # a text without words is a group of its own: keyed by the document itself
+                k1, k2 = (mix(x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) for x in (ids, text_hash))
                 if len(held):
                     k1[held], k2[held] = (np.add.reduceat(mix(items ^ np.uint64(c)), rows[held]) for c in (0, 0x2545F4914F6CDD1D))
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 offsets[held + 1] = bands
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(key.ravel().view(np.int64)))],
-                    ["id", "k1", "k2", "bands"],
+                    [ids, text_hash, pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(key.ravel().view(np.int64)))],
+                    ["id", "text_hash", "k1", "k2", "bands"],
                 )
 
     return run
@@ -114,34 +117,40 @@ def _sets(size: int):
     return run
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document row: doc_id, class_id (least doc_id of its class) and kept (whether it is that one)."""
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), "text")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with what tells documents apart: _id, the doc_id with a place for null, and _hash of the text."""
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_hash": F.xxhash64("text")})
+
+
+def _classes(docs: DataFrame, threshold: float, size: int, bands: int, rows: int) -> DataFrame:
+    """(id, text_hash, first) per row; first: (id, text_hash) of the document of the row's class that stays."""
+    plain = _keyed(docs).select(F.col("_id").alias("id"), F.col("_hash").alias("text_hash"), "text")
     signed = materialise(plain.mapInArrow(_sign(size, bands, rows), _SIGNED))
-    copies = materialise(signed.groupBy("k1", "k2").agg(F.min("id").alias("first")))
-    chosen = signed.join(copies.select(F.col("first").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi")
-    buckets = chosen.select("id", F.explode("bands").alias("bucket")).select("bucket", "id")
+    # a copy group is a node of the links; it is written, so its number stays
+    copies = materialise(signed.groupBy("k1", "k2").agg(F.min(F.struct("id", "text_hash")).alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    chosen = signed.join(copies.select("first.id", "first.text_hash", "k1", "k2", "node"), ["id", "text_hash", "k1", "k2"]).dropDuplicates(["node"])
+    buckets = chosen.select(F.explode("bands").alias("bucket"), F.col("node").alias("id"))
 
-    def features(ids: DataFrame) -> DataFrame:
-        return plain.join(ids, "id", "left_semi").mapInArrow(_sets(size), "id long, items array<long>")
+    def features(nodes: DataFrame) -> DataFrame:
+        wanted = copies.join(nodes.withColumnRenamed("id", "node"), "node", "left_semi").select("first.id", "first.text_hash", "node")
+        texts = plain.join(wanted, ["id", "text_hash"]).dropDuplicates(["id", "text_hash"])
+        return texts.select(F.col("node").alias("id"), "text").mapInArrow(_sets(size), "id long, items array<long>")
 
-    # one document in several copy groups (rows that share a doc_id) links them
-    shared = signed.join(copies, ["k1", "k2"]).filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    repeated = signed.groupBy("id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select(F.col("id").alias("a"))
     roots = similar_components(buckets, features, threshold)
-    if not repeated.isEmpty():
-        from .components import connected
+    named = copies.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("k1", "k2", "first", F.coalesce("root", "node").alias("root"))
+    stays = named.groupBy("root").agg(F.min("first").alias("stays"))
+    return signed.join(named.join(stays, "root").select("k1", "k2", "stays"), ["k1", "k2"]).select("id", "text_hash", F.col("stays").alias("first"))
 
-        links = shared.join(repeated, "a", "left_semi").unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        roots = materialise(connected(links))
-    named = copies.join(roots.select(F.col("id").alias("first"), "root"), "first", "left").select("k1", "k2", F.coalesce("root", "first").alias("class_id"))
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per document row: doc_id, class_id (least doc_id of its class) and kept (whether it is the document that stays)."""
+    found = _classes(docs, threshold, size, bands, rows)
     doc_id = F.when(F.col("id") != NULL_ID, F.col("id"))
-    class_id = F.when(F.col("class_id") != NULL_ID, F.col("class_id"))
-    return signed.join(named, ["k1", "k2"]).select(doc_id.alias("doc_id"), class_id.alias("class_id"), (F.col("id") == F.col("class_id")).alias("kept"))
+    class_id = F.when(F.col("first.id") != NULL_ID, F.col("first.id"))
+    return found.select(doc_id.alias("doc_id"), class_id.alias("class_id"), (F.struct("id", "text_hash") == F.col("first")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are the least doc_id of their class, once each, with their columns."""
-    kept = classes(docs, threshold).filter("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")).distinct()
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return keyed.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(docs.columns)
+    """The first document of each class, once each, with its columns."""
+    kept = _classes(docs, threshold, SHINGLE, BANDS, ROWS).select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash")).distinct()
+    return _keyed(docs).join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(docs.columns)

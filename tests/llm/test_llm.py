@@ -182,6 +182,17 @@ def test_near_dedup(docs):
     assert minhash.classes(empty(docs)).count() == 0
 
 
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    near = text(1).replace("w1x0 ", "other ")
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (None, text(2)), (5, near), (5, text(4)), (5, text(4).upper()), (6, text(5)), (6, None), (None, None), (None, " "), (7, text(3)), (8, text(6)), (9, text(4))]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, extra int").repartition(3)
+    kept = Counter((r.doc_id, (r.text or "").lower() if r.text is not None else None) for r in minhash.keep_first(docs).collect())
+    assert kept == Counter([(None, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (6, text(5)), (6, None), (None, None), (None, " "), (8, text(6))])
+    found = minhash.classes(docs).collect()
+    assert len(found) == len(rows) and sorted(r.kept for r in found) == [False] * 4 + [True] * 10
+
+
 def test_line_dedup(docs):
     places = defaultdict(list)
     for d, t in DOCS:
