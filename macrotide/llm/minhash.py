@@ -1,11 +1,13 @@
-"""MinHash near-dedup with ProbMinHash signatures of weighted shingles.
+"""MinHash near-dedup with ProbMinHash signatures of shingle sets.
 
 A shingle is five consecutive words (``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased); a text
-of one to four words is one shingle. A shingle that occurs n times weighs 1 + ln n.
+of one to four words is one shingle. However often a shingle occurs, it weighs 1, as in
+the similarity that links are decided by; weights by count would part near copies that
+differ in how often a passage is repeated.
 Every shingle is a Poisson process whose rate is its weight: its arrivals fall on
 random registers, each register keeps its earliest arrival's shingle, and a shingle
 stops once it can no longer beat the latest register of its document. Two registers
-agree with the probability Jaccard similarity of the weighted sets. Signatures of 128
+agree with the probability Jaccard similarity, at equal weights that of the sets. Signatures of 128
 registers are cut into 32 bands of 4; documents that share a band are verified by the
 exact Jaccard similarity of their shingle sets, and links (0.8 or more) are joined to
 classes (``components.similar_components``).
@@ -86,9 +88,9 @@ def _sign(size: int, bands: int, rows_per_band: int):
     def run(batches):
         for batch in batches:
             for lo, hi in row_blocks(batch.column(2), 1 << 20):
-                items, counts, rows = shingles(*utf8(batch.column(2).slice(lo, hi - lo)), size)
+                items, _, rows = shingles(*utf8(batch.column(2).slice(lo, hi - lo)), size)
                 held = np.flatnonzero(np.diff(rows))
-                registers = prob_min_hash(items, 1 + np.log(counts), np.append(rows[held], len(items)), bands * rows_per_band)
+                registers = prob_min_hash(items, np.ones(len(items)), np.append(rows[held], len(items)), bands * rows_per_band)
                 key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(held), bands))
                 for r in range(rows_per_band):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + registers[:, r::rows_per_band])

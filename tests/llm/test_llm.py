@@ -193,6 +193,13 @@ def test_near_dedup_tells_rows_of_one_id_apart(spark):
     assert len(found) == len(rows) and sorted(r.kept for r in found) == [False] * 4 + [True] * 10
 
 
+def test_near_dedup_finds_copies_with_repeated_passages(spark):
+    words = lambda n, p: " ".join(f"{p}{i}" for i in range(n))
+    rows = [x for k in range(16) for x in ((2 * k, words(100, f"a{k}x")), (2 * k + 1, f"{words(100, f'a{k}x')} " + " ".join([words(19, f"b{k}x")] * 300)))]
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 def test_line_dedup(docs):
     places = defaultdict(list)
     for d, t in DOCS:
