@@ -1,8 +1,8 @@
 """Line dedup by MinHash of character shingles, with DataFrame functions only.
 
 A line is a part of the text between line feeds. Its normal form is lower-case, with
-each run of white space one space, trimmed. Lines with a normal form of ``MIN_CHARS``
-characters or more take part; shorter ones (blank lines, bare marks) always stay.
+each run of white space one space, trimmed. Lines with a normal form of ``min_chars``
+characters or more take part, in ``WHOLE`` all but blank lines; shorter ones always stay.
 The character shingles of a line are, with ``every``, the ``SHINGLE`` characters from each of
 its characters on, as far as there are that many; a shorter line is one shingle. Without it
 they are those from each word's start (fewer at the line's end), which leave what follows the
@@ -32,7 +32,7 @@ from .storage import NULL_ID, materialise
 MIN_CHARS, SHINGLE, THRESHOLD = 20, 8, 0.8
 BANDS, ROWS = 16, 4
 #: The arguments of the whole job.
-WHOLE = {"every": True}
+WHOLE = {"min_chars": 1, "every": True}
 
 
 def normal_form(line: Column) -> Column:

@@ -255,6 +255,13 @@ def test_line_dedup_tells_rows_of_one_id_apart(spark):
     assert sum(r.n_removed for r in line_dedup.report(rows, every=True).collect()) == 2
 
 
+def test_line_dedup_takes_short_lines(spark):
+    texts = ["Read more\nfirst text\n\nx", "read  MORE\nsecond\n\nx", "Read more\nReed more\nthird text", "Share this page!\nx", "Share this page\n\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in line_dedup.remove(rows, **line_dedup.WHOLE).collect()}
+    assert kept == {0: texts[0], 1: "second\n", 2: "Reed more\nthird text", 3: "Share this page!", 4: "\n"}
+
+
 def test_quality(docs):
     rows = {r.doc_id: r for r in quality.assess(docs).collect()}
     for d, t in DOCS:
