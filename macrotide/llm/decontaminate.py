@@ -26,7 +26,7 @@ WINDOW = 13
 #: Bytes of benchmark text that one pass over the documents searches for.
 BENCHMARK_BLOCK_BYTES = 16 << 20
 
-_MATCHES = "row long, n_words long, hits array<int>, items array<long>, longest int, locations array<struct<start:int,length:int,item_id:long>>"
+_MATCHES = "row long, text_hash long, n_words long, hits array<int>, items array<long>, longest int, locations array<struct<start:int,length:int,item_id:long>>"
 
 
 class Suffixes:
@@ -135,7 +135,7 @@ def _matcher(wanted):
     def run(batches):
         suffixes = wanted.value
         for batch in batches:
-            ids, text = batch.column(0), batch.column(1)
+            ids, text_hash, text = batch.column(0), batch.column(1), batch.column(2)
             for lo, hi in row_blocks(text):
                 n, row, place, suffix = shard_matches(*utf8(text.slice(lo, hi - lo)), suffixes)
                 reports = [([], [], 0, [])] * (hi - lo)
@@ -146,25 +146,26 @@ def _matcher(wanted):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo),
+                        text_hash.slice(lo, hi - lo),
                         pa.array(n, pa.int64()),
                         pa.array([r[0] for r in reports], pa.list_(pa.int32())),
                         pa.array([r[1] for r in reports], pa.list_(pa.int64())),
                         pa.array([r[2] for r in reports], pa.int32()),
                         pa.array([r[3] for r in reports], pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item_id", pa.int64())]))),
                     ],
-                    ["row", "n_words", "hits", "items", "longest", "locations"],
+                    ["row", "text_hash", "n_words", "hits", "items", "longest", "locations"],
                 )
 
     return run
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BENCHMARK_BLOCK_BYTES) -> DataFrame:
-    """Per document row: doc_id, n_words, hits (hit word places), items, longest (words) and locations of the maximal matches."""
+    """Per document row: doc_id, text_hash, n_words, hits (hit word places), items, longest (words) and locations of the maximal matches."""
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("row"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("row"), F.xxhash64("text").alias("text_hash"), "text")
     found = None
     for b in range(blocks):
         rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
@@ -172,18 +173,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
         wanted = spark.sparkContext.broadcast(Suffixes([r[0] for r in rows], [r[1] for r in rows], window))
         one = keyed.mapInArrow(_matcher(wanted), _MATCHES)
         found = one if found is None else found.unionByName(one)
-    if blocks > 1:  # the text hash tells rows with one doc_id apart only by what they hold, so they are merged
-        found = found.groupBy("row", "n_words").agg(
-            F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+    if blocks > 1:  # rows equal in id and text have equal results; each block gives as many of them as there are rows
+        found = found.groupBy("row", "text_hash", "n_words").agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.max("longest").alias("longest"),
-            F.flatten(F.collect_list("locations")).alias("locations"),
+            F.array_distinct(F.flatten(F.collect_list("locations"))).alias("locations"),
+            (F.count("*") / blocks).cast("int").alias("_n"),
         )
+        found = found.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).drop("_n")
     return found.withColumnRenamed("row", "doc_id")
 
 
-def verdict(found: DataFrame, share: int = 20) -> DataFrame:
-    """Digest columns and the rule: contaminated if n_hit > 0 and ``share`` * n_hit >= n_words."""
+def verdict(found: DataFrame, share: int = 20, *keep: str) -> DataFrame:
+    """Digest columns, those of ``keep`` and the rule: contaminated if n_hit > 0 and ``share`` * n_hit >= n_words."""
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     n_hit = F.size("hits").cast("long")
     return found.select(
@@ -194,6 +197,7 @@ def verdict(found: DataFrame, share: int = 20) -> DataFrame:
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
         F.col("longest").cast("long").alias("longest_match"),
+        *keep,
     )
 
 
@@ -218,12 +222,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: in
     """The documents that are not contaminated, with their columns as they are.
 
     A benchmark of one block is decided on in the pass that searches it, without a
-    shuffle; one of more blocks by a join on doc_id.
+    shuffle; one of more blocks by a join on doc_id and the hash of the text.
     """
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     if (bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= block_bytes:
         rows = sorted(bench.collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
         wanted = docs.sparkSession.sparkContext.broadcast(Suffixes([r[0] for r in rows], [r[1] for r in rows], window))
         return docs.mapInArrow(_keeper(wanted, share, docs.columns.index("text")), docs.schema)
-    bad = verdict(matches(docs, benchmark, window, block_bytes), share).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    found = matches(docs, benchmark, window, block_bytes)
+    bad = verdict(found, share, "text_hash").filter("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")

@@ -78,6 +78,19 @@ def test_decontamination(spark, docs):
     assert decontaminate.clean(empty(docs), bench).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == len(DOCS)
 
 
+def test_decontamination_judges_single_rows_in_blocks(spark):
+    items = [(i, " ".join(f"item{i}w{j}" for j in range(15))) for i in range(6)]
+    bad, clean = [f"{t} tail" for _, t in items[:3]], [" ".join(f"clean{i}w{j}" for j in range(16)) for i in range(3)]
+    rows = [(None, bad[0]), (None, clean[0]), (None, clean[0]), (None, bad[0]), (5, clean[1]), (5, bad[1]), (5, bad[2]), (6, clean[2]), (None, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    results = []
+    for size in (decontaminate.BENCHMARK_BLOCK_BYTES, 200):
+        kept = decontaminate.clean(docs, bench, block_bytes=size).collect()
+        assert Counter((r.doc_id, r.text) for r in kept) == Counter(r for r in rows if r[1] not in bad)
+        results.append(Counter(tuple(r) for r in decontaminate.verdict(decontaminate.matches(docs, bench, block_bytes=size)).collect()))
+    assert results[0] == results[1] and sum(results[0].values()) == len(rows)
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
