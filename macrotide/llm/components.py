@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import discard, materialise
+
+#: Buckets of more members than this are thinned out in rounds before the final comparison.
+CROWD = 8
+#: Partners that each member of such a bucket meets in a round, and the share of them that must be
+#: linked for another round to pay.
+PARTNERS, PAYS = 6, 0.1
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -14,9 +20,11 @@ def connected(edges: DataFrame) -> DataFrame:
     Distributed union-find by alternating large-star and small-star rounds: every
     round hangs neighbours below the least one, and the number of rounds grows with
     the logarithm of the longest path. Each round is a written table, so lineage stays
-    short. Empty edges give an empty table.
+    short; the one before it is deleted. Empty edges give an empty table.
     """
+    mark = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = now.agg(*mark).first()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -26,12 +34,14 @@ def connected(edges: DataFrame) -> DataFrame:
         least = star.groupBy("a").agg(F.min("b").alias("m"))
         small = star.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        mark = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
-        if after.agg(*mark).first() == now.agg(*mark).first():
+        discard(now)
+        now, before, seen = after, seen, after.agg(*mark).first()
+        if seen == before:
             break
-        now = after
-    roots = after.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    return roots.unionByName(after.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    roots = now.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    named = materialise(roots.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()))
+    discard(now)
+    return named
 
 
 def similarity(pairs: DataFrame, features: DataFrame) -> DataFrame:
@@ -54,13 +64,50 @@ def parity_sketches(features: DataFrame, longs: int) -> DataFrame:
     return each.groupBy("id", "_row", "size").agg(*flips).drop("_row")
 
 
+def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components with further links (a, b); the tables of both are deleted."""
+    after = connected(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links.select("a", "b")))
+    discard(roots, links)
+    return after
+
+
+def _may_link(threshold: float, longs: int):
+    """Of rows x and y of one bucket: in different components, and no bound rules a link out."""
+    pivot = F.abs(F.col("x.near") - F.col("y.near")) <= 1 - threshold + 1e-9
+    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(longs)), F.lit(0))
+    close = differ <= (F.col("x.size") + F.col("y.size")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    return (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & pivot & close
+
+
+def _pairs(x: DataFrame, y: DataFrame, on) -> DataFrame:
+    return x.alias("x").join(y.alias("y"), on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def _meetings(open_: DataFrame, turn: int, may_link) -> DataFrame:
+    """Pairs (a, b) of members of one bucket but different components that meet in a slot.
+
+    Each member takes ``PARTNERS`` random slots of its bucket, which has half as many slots as
+    members, so a round forms a few pairs for each member, whatever the bucket's size.
+    """
+    tries = open_.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(PARTNERS - 1))))
+    slotted = tries.withColumn("slot", F.pmod(F.xxhash64("id", "t", F.lit(turn)), (F.col("n") / 2).cast("long")))
+    return _pairs(slotted, slotted, (F.col("x.t") == F.col("y.t")) & (F.col("x.slot") == F.col("y.slot")) & may_link)
+
+
 def similar_components(buckets: DataFrame, features_of, threshold: float, longs: int = 16) -> DataFrame:
     """(id, root) of all ids that are linked: those that share a bucket and have Jaccard of ``threshold`` or more.
 
-    buckets: (bucket, id), long. features_of(ids) gives (id, items) for a table of ids.
+    buckets: (bucket, id), long, distinct. features_of(ids) gives (id, items) for a table of ids.
     No group is expanded into all its pairs. First each member is compared with the
-    least id of its bucket. Members of one bucket that this leaves in different
-    components are candidates, unless a bound rules a link out: the triangle inequality
+    least id of its bucket. In crowded buckets, members that this leaves in different
+    components meet random partners, a few in each round, as long as enough of them are linked: a
+    group of near copies grows together in a few rounds, however large it is. Last,
+    members of one bucket that are still in different components are
+    candidates, unless a bound rules a link out: the triangle inequality
     of the Jaccard distance with the least id as the pivot, or the parity sketches (of
     ``longs`` times 64 bits), which differ in no more bits than the sets in items. Both
     bounds are exact and part of the join's condition, so only pairs that are linked or
@@ -68,27 +115,36 @@ def similar_components(buckets: DataFrame, features_of, threshold: float, longs:
     compared or already connected.
     """
     # the least ids are aggregated before the shuffle and joined back, so a hot bucket's rows can be split over tasks
-    least = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("_most")).filter("a <> _most").select("bucket", "a")
-    members = materialise(buckets.join(least, "bucket").select("bucket", "a", F.col("id").alias("b")))
-    features = materialise(features_of(members.select(F.col("b").alias("id")).distinct()))
-    first = materialise(similarity(members.filter("a <> b").select("a", "b").distinct(), features))
-    linked = first.filter(F.col("jaccard") >= threshold).select("a", "b")
-    roots = materialise(connected(linked))
-    placed = (
-        members.join(first, ["a", "b"], "left")
-        .join(roots.withColumnRenamed("id", "b"), "b", "left")
-        .select("bucket", F.col("b").alias("id"), F.coalesce("root", "b").alias("root"), F.coalesce("jaccard", F.lit(1.0)).alias("near"))
-    )
+    shared = materialise(buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1"))
+    members = materialise(buckets.join(shared, "bucket").select("bucket", "a", "n", "id"))
+    discard(shared)
+    features = materialise(features_of(members.select("id").distinct()))
+    star = members.filter("a <> id").select("a", F.col("id").alias("b")).distinct()
+    first = materialise(similarity(star, features))
+    roots = connected(first.filter(F.col("jaccard") >= threshold).select("a", "b"))
+    # members of buckets that lie in one component are done with
+    placed = _with_roots(members.join(first.withColumnRenamed("b", "id"), ["a", "id"], "left").withColumn("near", F.coalesce("jaccard", F.lit(1.0))), roots)
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = materialise(placed.join(mixed, "bucket"))
-    sketches = parity_sketches(features.join(open_.select("id").distinct(), "id", "left_semi"), longs)
-    rest = materialise(open_.join(sketches, "id"))
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & (F.abs(F.col("x.near") - F.col("y.near")) <= 1 - threshold + 1e-9)
-    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(longs)), F.lit(0))
-    close = differ <= (F.col("x.size") + F.col("y.size")) * ((1 - threshold) / (1 + threshold)) + 1e-9
-    second = x.join(y, apart & close).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialise(similarity(second, features).filter(F.col("jaccard") >= threshold).select("a", "b"))
+    left = materialise(placed.join(mixed, "bucket").select("bucket", "n", "id", "near"))
+    sketches = parity_sketches(features.join(left.select("id").distinct(), "id", "left_semi"), longs)
+    sketched = materialise(left.join(sketches, "id"))
+    discard(left, members)
+    may_link, turn, pays = _may_link(threshold, longs), 0, True
+    while pays:
+        met = materialise(similarity(_meetings(_with_roots(sketched.filter(F.col("n") > CROWD), roots), turn, may_link), features))
+        links = materialise(met.filter(F.col("jaccard") >= threshold))
+        found, turn = links.count(), turn + 1
+        pays = found > PAYS * met.count()
+        discard(met)
+        if found:
+            roots = _merged(roots, links)
+        else:
+            discard(links)
+    rest = materialise(_with_roots(sketched, roots))
+    second = _pairs(rest, rest, may_link).join(first, ["a", "b"], "left_anti")
+    more = materialise(similarity(second, features).filter(F.col("jaccard") >= threshold))
+    discard(rest, sketched, features, first)
     if more.isEmpty():
+        discard(more)
         return roots
-    return materialise(connected(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)))
+    return _merged(roots, more)

@@ -2,15 +2,15 @@
 
 A line is a part of the text between line feeds. Its normal form is lower-case, with
 each run of white space one space, trimmed. Lines with a normal form of ``min_chars``
-characters or more take part, in ``WHOLE`` all but blank lines; shorter ones always stay.
-The character shingles of a line are, with ``every``, the ``SHINGLE`` characters from each of
-its characters on, as far as there are that many; a shorter line is one shingle. Without it
-they are those from each word's start (fewer at the line's end), which leave what follows the
-eighth character of a word unseen. The registered query and the pipeline take ``WHOLE``.
-
-Equal normal forms are one line from the first shuffle on, with the place of the first
-occurrence. Each distinct line gets 64 minima of its shingle hashes, permuted by
-rotation and exclusive-or with fixed random numbers, in 16 bands of 4. Lines that share a band are
+characters or more take part, by default all but blank lines.
+The character shingles of a line are the ``SHINGLE`` characters from each of its characters on,
+as far as there are that many; a shorter line is one shingle.
+
+Lines are signed within the scan: each gets 24 minima of its shingle hashes, permuted by
+rotation and exclusive-or with fixed random numbers, and equal normal forms are one line from
+the first shuffle on, which moves keys and minima but no text. The minima stand in 6 rows of 4;
+the rows and the diagonals are 12 bands of 4, so two lines of similarity 0.8 share a band with a
+probability of 0.991 (0.998 at 0.85, 0.9999 at 0.9). Lines that share a band are
 verified by exact Jaccard similarity of their shingle sets (0.8 or more) and joined by
 distributed union-find (``components``). Of each component the first occurrence stays,
 in the order of doc_id and line number; all other occurrences are removed.
@@ -18,7 +18,7 @@ in the order of doc_id and line number; all other occurrences are removed.
 Null and empty texts have no line that takes part. A null doc_id comes first. A document is
 its doc_id (or null) and the hash of its text: rows that share a doc_id but not the text are
 documents of their own, in the order of that hash, and rows equal in both are one document,
-with the same lines removed. Other columns are kept as they are.
+with the same lines removed. Other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import similar_components
-from .storage import NULL_ID, materialise
+from .storage import NULL_ID, discard, materialise
 
-MIN_CHARS, SHINGLE, THRESHOLD = 20, 8, 0.8
-BANDS, ROWS = 16, 4
-#: The arguments of the whole job.
-WHOLE = {"min_chars": 1, "every": True}
+MIN_CHARS, SHINGLE, THRESHOLD = 1, 8, 0.8
+#: Rows of minima, and minima in each.
+ROWS, WIDTH = 6, 4
+#: Shingles that are hashed side by side before a row of them reaches the minima.
+STEP = 8
+#: A character is as many bytes in the form that shingles are cut from, whatever it is.
+_BYTES = 4
 
 
 def normal_form(line: Column) -> Column:
@@ -43,11 +46,26 @@ def normal_form(line: Column) -> Column:
     return F.trim(F.when(odd, F.regexp_replace(plain, r"[ \t\x0b\f\r]+", " ")).otherwise(plain))
 
 
-def shingle_array(norm: Column, size: int = SHINGLE, every: bool = False) -> Column:
-    if not every:
-        return F.regexp_extract_all(norm, F.lit(rf"(?<![^ ])(?=(.{{1,{size}}}))"), F.lit(1))
-    found = F.regexp_extract_all(norm, F.lit(rf"(?s)(?=(.{{{size}}}))."), F.lit(1))  # one pass; the last dot steps over whole characters
-    return F.when(F.length(norm) < size, F.array(norm)).otherwise(found)
+def codes(norm: Column) -> Column:
+    """The characters of a line as binary of fixed width."""
+    return F.encode(norm, "UTF-32")
+
+
+def shingle_hash(code: Column, at: Column) -> Column:
+    """The hash of the shingle that starts at the character ``at`` (from 0)."""
+    return F.xxhash64(F.substr(code, _BYTES * at + 1, F.lit(_BYTES * SHINGLE)))
+
+
+def shingle_rows(coded: DataFrame, *keep: str) -> DataFrame:
+    """Of rows with chars and code: the columns of ``keep``, first (whether the line begins here) and
+    h0, h1, ..., the hashes of ``STEP`` shingles side by side; past the last shingle that one is repeated."""
+    ended = coded.withColumn("last", F.greatest(F.col("chars") - SHINGLE, F.lit(0)))
+    starts = ended.select(*keep, "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
+    hashes = [shingle_hash(F.col("code"), F.least(F.col("i") + g, F.col("last"))).alias(f"h{g}") for g in range(STEP)]
+    return starts.select(*keep, (F.col("i") == 0).alias("first"), *hashes)
+
+
+_HASHES = [f"h{g}" for g in range(STEP)]
 
 
 def _seed(i: int) -> int:
@@ -58,62 +76,90 @@ def _seed(i: int) -> int:
     return x - 2**63
 
 
+def _permuted(h: Column, i: int) -> Column:
+    by = 16 * (i % 4)
+    turned = F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by else h
+    return turned.bitwiseXOR(F.lit(_seed(i)))
+
+
+def band_members(rows: int = ROWS, width: int = WIDTH) -> list[list[int]]:
+    """Which minima each band takes: the rows, then the diagonals, which share one minimum with a row at most."""
+    return [[(b + slope * c) % rows * width + c for c in range(width)] for slope in (0, 1) for b in range(rows)]
+
+
 def row_key() -> list[Column]:
     """What tells documents apart: doc_id, with a place for null, and the hash of the text."""
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("text_hash")]
 
 
-def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, text_hash, place, norm, k1, k2) of the lines that take part."""
-    lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("place", "line")).select("id", "text_hash", "place", normal_form(F.col("line")).alias("norm"))
-    return lines.filter(F.length("norm") >= min_chars).withColumn("k1", F.xxhash64("norm")).withColumn("k2", F.hash("norm", F.lit(7)))
+def _line_keys() -> list[Column]:
+    return [F.xxhash64("norm").alias("k1"), F.hash("norm", F.lit(7)).alias("k2"), F.length("norm").alias("chars")]
+
+
+def signed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(k1, k2, n, bands) of the distinct lines that take part; n counts the occurrences."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(normal_form(F.col("line")).alias("norm"))
+    rows = shingle_rows(lines.select(*_line_keys(), codes(F.col("norm")).alias("code")), "k1", "k2", "chars")
+    counted = F.sum((F.col("first") & (F.col("chars") >= min_chars)).cast("long")).alias("n")
+    minima = [F.min(F.least(*(_permuted(F.col(h), m) for h in _HASHES))).alias(f"m{m}") for m in range(ROWS * WIDTH)]
+    # all of fixed width: summed up by hash within the scan, then once for each line
+    summed = rows.groupBy("k1", "k2").agg(counted, *minima).filter("n > 0")
+    bands = [F.xxhash64(F.lit(b), *(f"m{m}" for m in taken)) for b, taken in enumerate(band_members())]
+    return summed.select("k1", "k2", "n", F.array(*bands).alias("bands"))
+
+
+def shingle_sets(lines: DataFrame) -> DataFrame:
+    """(node, items): the distinct shingle hashes of each node's line; lines: (node, norm), the same norm in all rows of a node."""
+    one = lines.groupBy("node").agg(F.any_value(codes(F.col("norm"))).alias("code"), F.any_value(F.length("norm")).alias("chars"))
+    # half of each hash does: the sets that are compared are small, and the table of them is not
+    each = shingle_rows(one, "node").select("node", F.array(*(F.shiftright(h, 32).cast("int") for h in _HASHES)).alias("some"))
+    return each.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("some"))).alias("items"))
 
 
-def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, text_hash, place, chars) of the line occurrences to remove, once each."""
-    found = occurrences(docs, min_chars)
-    lines = found.groupBy("k1", "k2").agg(F.any_value("norm").alias("norm"), F.min(F.struct("id", "text_hash", "place")).alias("first"), F.count("*").alias("n"))
-    # still partitioned by the line's key: the shingles of a line meet again without a shuffle
-    # (and with keys and minima of fixed width, they are summed up by hash, not by sorting)
-    own = ["k1", "k2", "id", "text_hash", "place", "n"]
-    hashed = lines.select("k1", "k2", "first.id", "first.text_hash", "first.place", "n", F.explode(shingle_array(F.col("norm"), every=every)).alias("s")).withColumn("h", F.xxhash64("s"))
-    turned = {r: F.col("h") if r == 0 else F.shiftleft("h", 8 * r).bitwiseOR(F.shiftrightunsigned("h", 64 - 8 * r)) for r in range(8)}
-    minima = [F.min(turned[i % 8].bitwiseXOR(F.lit(_seed(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    signed = hashed.groupBy(*own).agg(*minima)
-    signed = materialise(signed.select("k1", F.struct("id", "text_hash", "place").alias("first"), "n", F.array(*bands).alias("bands")))
-    buckets = signed.select(F.explode("bands").alias("bucket"), F.col("k1").alias("id"))
-
-    def features(ids: DataFrame) -> DataFrame:
-        wanted = found.withColumnRenamed("id", "doc").join(ids.withColumnRenamed("id", "k1"), "k1", "left_semi")
-        one = wanted.groupBy("k1").agg(F.any_value("norm").alias("norm"))
-        return one.select(F.col("k1").alias("id"), F.array_distinct(F.transform(shingle_array(F.col("norm"), every=every), lambda s: F.xxhash64(s))).alias("items"))
-
-    roots = similar_components(buckets, features, threshold, longs=4)
-    named = signed.join(roots.select(F.col("id").alias("k1"), "root"), "k1", "left").select("k1", "first", "n", F.coalesce("root", "k1").alias("root"))
-    stays = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).filter("all > 1")
-    # lines of one occurrence in all need no look; the others learn which occurrence stays
-    ruled = named.join(stays, "root").select("k1", "stays")
-    places = found.select("k1", "id", "text_hash", "place", F.length("norm").alias("chars"))
-    return places.join(ruled, "k1").filter(F.struct("id", "text_hash", "place") != F.col("stays")).select("id", "text_hash", "place", "chars").distinct()
-
-
-def report(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
+    # written, a line keeps its number
+    signed = materialise(signed_lines(docs, min_chars).withColumn("node", F.monotonically_increasing_id()))
+    held: list[DataFrame] = []
+
+    def features(nodes: DataFrame) -> DataFrame:
+        """Finds, in one more scan, the occurrences of all lines that may matter, with the texts of candidates."""
+        asked = nodes.select(F.col("id").alias("node"), F.lit(True).alias("candidate"))
+        wanted = materialise(signed.join(asked, "node", "left").filter("n > 1 OR candidate").select("k1", "k2", "node", "n", "candidate"))
+        lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("place", "line")).select("id", "text_hash", "place", normal_form(F.col("line")).alias("norm"))
+        found = lines.select("id", "text_hash", "place", *_line_keys(), "norm").join(wanted, ["k1", "k2"])
+        held.append(materialise(found.select("node", "n", "id", "text_hash", "place", "chars", F.when(F.col("candidate"), F.col("norm")).alias("norm"))))
+        discard(wanted)
+        return shingle_sets(held[0].filter("norm IS NOT NULL")).withColumnRenamed("node", "id")
+
+    roots = similar_components(signed.select(F.explode("bands").alias("bucket"), F.col("node").alias("id")), features, threshold)
+    linked = roots.withColumnRenamed("id", "node")
+    rows = held[0].drop("norm").join(linked, "node", "left").filter("n > 1 OR root IS NOT NULL")
+    rows = rows.select(F.coalesce("root", "node").alias("root"), "id", "text_hash", "place", "chars")
+    stays = rows.groupBy("root").agg(F.min(F.struct("id", "text_hash", "place")).alias("stays"))
+    gone = rows.join(stays, "root").filter(F.struct("id", "text_hash", "place") != F.col("stays")).select("id", "text_hash", "place", "chars").distinct()
+    gone = materialise(gone)
+    discard(signed, roots, *held)
+    return gone
+
+
+def report(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """Per document row: doc_id, n_lines, n_removed, removed_chars (of the normal forms)."""
-    gone = repeated_lines(docs, threshold, min_chars, every).groupBy("id", "text_hash").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    gone = repeated_lines(docs, threshold, min_chars).groupBy("id", "text_hash").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_lines.alias("n_lines"), *row_key())
     return keyed.join(gone, ["id", "text_hash"], "left").select("doc_id", "n_lines", F.coalesce("n", F.lit(0)).alias("n_removed"), F.coalesce("chars", F.lit(0)).cast("long").alias("removed_chars"))
 
 
-def remove(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS, every: bool = False) -> DataFrame:
+def remove(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without the removed lines; all other columns as they are (n_chars, if any, is counted anew)."""
-    gone = repeated_lines(docs, threshold, min_chars, every).groupBy("id", "text_hash").agg(F.collect_list("place").alias("_places")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "_places")
-    lines = F.split("text", "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_places", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    key, text_hash = row_key()
-    keyed = docs.withColumns({"_id": key, "_hash": text_hash}).join(gone, ["_id", "_hash"], "left").withColumn("text", text)
+    gone = repeated_lines(docs, threshold, min_chars).groupBy("id", "text_hash").agg(F.collect_list("place").alias("places"))
+    # the input's columns travel in one struct, so that none of their names can clash
+    keyed = docs.select(*row_key(), F.struct(*docs.columns).alias("row")).join(gone, ["id", "text_hash"], "left")
+    kept = F.filter(F.transform(F.split("row.text", "\n"), lambda x, i: F.when(~F.array_contains("places", i), x)), lambda x: x.isNotNull())
+    text = F.when(F.col("places").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    changed = keyed.select("row", text.alias("text"))
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        keyed = keyed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return keyed.select(docs.columns)
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return changed.select(*(own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

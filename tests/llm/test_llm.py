@@ -218,9 +218,9 @@ def test_line_dedup(docs):
     for d, t in DOCS:
         for i, line in enumerate((t or "").split("\n") if t is not None else []):
             norm = re.sub("[ \t\x0b\f\r]+", " ", line.lower()).strip(" ")
-            if len(norm) >= 20:
+            if norm:
                 places[norm].append((-(2**63) if d is None else d, i))
-    sets = {n: {n[i : i + 8] for i in range(len(n)) if n[i] != " " and (i == 0 or n[i - 1] == " ")} for n in places}
+    sets = {n: {n[i : i + 8] for i in range(max(1, len(n) - 7))} for n in places}
     groups = defaultdict(list)
     for n, r in components(sets).items():
         groups[r] += places[n]
@@ -250,10 +250,10 @@ def test_line_dedup_sees_every_character(spark):
     norms = {i: normal(x) for i, x in enumerate(lines)}
     root = components({i: {n[j : j + 8] for j in range(max(1, len(n) - 7))} for i, n in norms.items()})
     rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    got = {r.doc_id: r.n_removed for r in line_dedup.report(rows, every=True).collect()}
+    got = {r.doc_id: r.n_removed for r in line_dedup.report(rows).collect()}
     assert got == {i: int(root[i] != i) for i in norms} and sum(got.values()) == 7
-    shingles = rows.select(line_dedup.shingle_array(line_dedup.normal_form(rows.text), every=True).alias("s")).collect()
-    assert [r.s for r in shingles] == [[n[j : j + 8] for j in range(max(1, len(n) - 7))] for n in norms.values()]
+    sets = {r.node: len(r["items"]) for r in line_dedup.shingle_sets(rows.select(rows.doc_id.alias("node"), line_dedup.normal_form(rows.text).alias("norm"))).collect()}
+    assert sets == {i: len({n[j : j + 8] for j in range(max(1, len(n) - 7))}) for i, n in norms.items()}
 
 
 def test_line_dedup_tells_rows_of_one_id_apart(spark):
@@ -261,17 +261,17 @@ def test_line_dedup_tells_rows_of_one_id_apart(spark):
     own = [f"a line that only document {w} has in this place" for w in ("one", "two", "three", "four")]
     texts = [(None, f"{own[0]}\n{line}"), (None, f"{own[1]}\nx\n{own[2]}\n{line}"), (None, f"x\n{own[3][::-1]}\ny\n{own[0][::-1]}"), (7, line), (7, f"{own[2][::-1]}\nzz"), (8, None), (None, None)]
     rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
-    kept = [r.text for r in line_dedup.remove(rows, every=True).collect()]
+    kept = [r.text for r in line_dedup.remove(rows, min_chars=20).collect()]
     assert len(kept) == len(texts) and sum((t or "").split("\n").count(line) for t in kept) == 1
     want = sorted(x for _, t in texts for x in (t or "").split("\n") if x != line and x)
     assert sorted(x for t in kept for x in (t or "").split("\n") if x != line and x) == want
-    assert sum(r.n_removed for r in line_dedup.report(rows, every=True).collect()) == 2
+    assert sum(r.n_removed for r in line_dedup.report(rows, min_chars=20).collect()) == 2
 
 
 def test_line_dedup_takes_short_lines(spark):
     texts = ["Read more\nfirst text\n\nx", "read  MORE\nsecond\n\nx", "Read more\nReed more\nthird text", "Share this page!\nx", "Share this page\n\n"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = {r.doc_id: r.text for r in line_dedup.remove(rows, **line_dedup.WHOLE).collect()}
+    kept = {r.doc_id: r.text for r in line_dedup.remove(rows).collect()}
     assert kept == {0: texts[0], 1: "second\n", 2: "Reed more\nthird text", 3: "Share this page!", 4: "\n"}
 
 
