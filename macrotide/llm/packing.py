@@ -22,24 +22,31 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrowtext import row_blocks, utf8
 from .storage import materialise
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a Python worker remembers; beyond that it starts anew.
+#: Words whose ids a Python worker remembers; beyond that those not met again lately are forgotten.
 WORD_CACHE = 500_000
+#: Bytes of text that are split and numbered at once.
+BLOCK_BYTES = 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """Token ids of space-free words, as little-endian unsigned 32-bit bytes.
+class WordIds:
+    """Token ids of texts, word by word.
 
-    The pre-tokeniser never joins text across a space or line feed, so the ids of a
-    text are those of its words one after another.
+    The pre-tokeniser never joins text across a space or line feed, so the ids of a text are
+    those of its words one after another. Arrow splits the texts of a batch and numbers their
+    distinct words; only those are looked up. Ids are kept as little-endian unsigned 32-bit bytes,
+    in two generations: a word met again moves to the young one, and when that is half of the
+    memory, the old one is dropped, so frequent words stay.
     """
 
     def __init__(self, path: str):
@@ -47,38 +54,78 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.cores: dict[str, bytes] = {}
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.model.get_vocab().items() if token.endswith("</w>")]] = True
+        self.marks = dict(zip(".,!", self._each([".", ",", "!"]), strict=True))
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
-    def encode(self, words: list[str]) -> list[bytes]:
+    def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn(self, words: set[str]) -> None:
-        """A word of letters with one mark after it has the ids of the lower-case letters, then those of the mark."""
-        split = {}
-        for w in words:
-            core, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",", "!") else (w, "")
-            if core.isalpha() and "\u03a3" not in core and "\u0130" not in core:
-                split[w] = (core.lower(), mark)
-            else:
-                split[w] = (w, "")
-        new = list({part for pair in split.values() for part in pair if part and part not in self.cores})
-        self.cores.update(zip(new, self.encode(new), strict=True))
-        self.cores[""] = b""
-        self.update((w, self.cores[a] + self.cores[b]) for w, (a, b) in split.items())
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set()
-        for words in split:
-            new.update(w for w in words if w not in self)
-        if len(self) + len(new) > WORD_CACHE:  # start anew, with all words that are needed now
-            self.clear()
-            self.cores.clear()
-            new = set().union(*split)
-        if new:
-            self.learn(new)
-        look = self.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone: encoded side by side, then cut where the ids end a word."""
+        if not words:
+            return []
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(words):  # a script in which letters alone are not one pre-token
+            return self._each(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some distinct words."""
+        if len(self.young) > WORD_CACHE // 2:
+            self.old, self.young = self.young, {"": b""}
+        young, old = self.young, self.old
+        found = list(map(young.get, words))
+        split, fresh, others = [], {}, []
+        for i, known in enumerate(found):
+            if known is not None:
+                continue
+            w = words[i]
+            if (known := old.get(w)) is not None:
+                found[i] = young[w] = known
+                continue
+            # a word of letters with one mark after it has the ids of the lower-case letters, then those of the mark
+            core, mark = (w[:-1], w[-1]) if w[-1] in self.marks else (w, "")
+            if not core.isalpha() or "\u03a3" in core or "\u0130" in core:
+                others.append(i)
+                continue
+            core = core.lower()
+            split.append((i, core, mark))
+            if core not in fresh:
+                fresh[core] = young.get(core) or old.get(core)
+        new = [w for w, known in fresh.items() if known is None]
+        fresh.update(zip(new, self._letters(new), strict=True))
+        for i, core, mark in split:
+            young[core] = ids = fresh[core]
+            young[words[i]] = found[i] = ids + self.marks[mark] if mark else ids
+        for i, ids in zip(others, self._each([words[i] for i in others]), strict=True):
+            young[words[i]] = found[i] = ids
+        return found
+
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text begins; null is empty."""
+        spaced = pc.replace_substring(column.cast(pa.large_string()).fill_null(""), "\n", " ")
+        data, _ = utf8(spaced)
+        if not (data >> 1 == 0x66).any() and not pc.any(pc.match_substring(spaced, "<|")).as_py():
+            # the model lower-cases too, but after composing marks (bytes CC and CD) and setting special tokens apart
+            spaced = pc.ascii_lower(spaced)
+        split = pc.split_pattern(spaced, " ")
+        coded = pc.dictionary_encode(split.flatten())
+        ids = self.lookup(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        word = coded.indices.to_numpy()
+        count = size[word]
+        until = np.zeros(len(word) + 1, np.int64)
+        np.cumsum(count, out=until[1:])
+        first = (np.cumsum(size, dtype=np.int64) - size)[word] - until[:-1]
+        at = np.repeat(first, count)
+        at += np.arange(until[-1])
+        offsets = split.offsets.to_numpy()
+        return np.frombuffer(b"".join(ids), "<u4")[at], until[offsets - offsets[0]]
 
 
 _models: dict[str, WordIds] = {}
@@ -90,14 +137,14 @@ def _cutter(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches):
         words = _models.get(path) or _models.setdefault(path, WordIds(path))
         for batch in batches:
-            ids_of, text = batch.column(0), batch.column(1)
-            for lo in range(0, len(text), 500):
-                texts = [t or "" for t in text.slice(lo, 500).to_pylist()]
+            for lo, hi in row_blocks(batch.column(1), BLOCK_BYTES):
+                ids, starts = words.texts(batch.column(1).slice(lo, hi - lo))
+                data, starts = memoryview(ids.tobytes()), (starts * 4).tolist()
                 rows: list[tuple] = []
-                for doc, ids in zip(ids_of.slice(lo, 500).to_pylist(), words.texts(texts), strict=True):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[at : at + 4 * capacity]
+                for r, doc in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
+                    own = bytes(data[starts[r] : starts[r + 1]]) + end
+                    for k, at in enumerate(range(0, len(own), 4 * capacity)):
+                        piece = own[at : at + 4 * capacity]
                         rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), piece))
                 columns = list(zip(*rows, strict=True))
                 arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=False)]

@@ -111,12 +111,23 @@ def test_packing(docs):
     assert packing.pack(empty(docs), tokenizer()).count() == 0
 
 
-def test_word_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr(packing, "WORD_CACHE", 40)
-    words = packing.WordIds(tokenizer())
-    texts = [t or "" for _, t in DOCS]
-    first = [words.texts([t])[0] for t in texts + texts]
-    assert first == [bytes().join(i.to_bytes(4, "little") for i in words.model.encode(t, add_special_tokens=False).ids) for t in texts + texts]
+def test_word_ids_are_the_models(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    odd = ["H\u0331 h\u0331 A\u0301 \u0301x", "<|endoftext|> <|ENDOFTEXT|> a<|endoftext|>b", "\u03a3\u039f\u03a3 \u0130stanbul \u212a \ufb01n", "it's IT'S we'll... no?! a,b c, d,, .", "  two  spaces\n\n\ttab\r\n", "\u4eca\u65e5\u306f \u0e44\u0e17\u0e22 \U0001f600\U0001f600. x1y2 \u00b2 \u2160 \u00aa", "", None, "\u01c5 \u1e9e STRASSE stra\u00dfe \u00a0nbsp\u2003em"]
+    letters = "aAbB\u00e9\u00c9 .,!?'-0\n\u0301\u03c3\u03a3\u0410"
+    many = odd + [t for _, t in DOCS] + ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(400)]
+    for cache in (40, 500_000):
+        monkeypatch.setattr(packing, "WORD_CACHE", cache)
+        words = packing.WordIds(tokenizer())
+        want = [words.model.encode(t or "", add_special_tokens=False).ids for t in many]
+        for _ in range(2):
+            got = []
+            for lo in range(0, len(many), 7):
+                ids, starts = words.texts(pa.array(many[lo : lo + 7], pa.string()))
+                got += [ids[a:b].tolist() for a, b in itertools.pairwise(starts)]
+            assert got == want
 
 
 def test_fullest_is_optimal():
