@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import LOWER, mix, row_blocks, utf8, window_hashes, within_rows, word_hashes, words
 from .components import similar_components
-from .storage import NULL_ID, materialise
+from .storage import NULL_ID, discard, materialise
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -119,14 +119,14 @@ def _sets(size: int):
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with what tells documents apart: _id, the doc_id with a place for null, and _hash of the text."""
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_hash": F.xxhash64("text")})
+def _keyed(docs: DataFrame, *columns) -> DataFrame:
+    """``columns`` with what tells documents apart: id, the doc_id with a place for null, and text_hash."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("text_hash"), *columns)
 
 
 def _classes(docs: DataFrame, threshold: float, size: int, bands: int, rows: int) -> DataFrame:
     """(id, text_hash, first) per row; first: (id, text_hash) of the document of the row's class that stays."""
-    plain = _keyed(docs).select(F.col("_id").alias("id"), F.col("_hash").alias("text_hash"), "text")
+    plain = _keyed(docs, "text")
     signed = materialise(plain.mapInArrow(_sign(size, bands, rows), _SIGNED))
     # a copy group is a node of the links; it is written, so its number stays
     copies = materialise(signed.groupBy("k1", "k2").agg(F.min(F.struct("id", "text_hash")).alias("first")).withColumn("node", F.monotonically_increasing_id()))
@@ -141,7 +141,10 @@ def _classes(docs: DataFrame, threshold: float, size: int, bands: int, rows: int
     roots = similar_components(buckets, features, threshold)
     named = copies.join(roots.select(F.col("id").alias("node"), "root"), "node", "left").select("k1", "k2", "first", F.coalesce("root", "node").alias("root"))
     stays = named.groupBy("root").agg(F.min("first").alias("stays"))
-    return signed.join(named.join(stays, "root").select("k1", "k2", "stays"), ["k1", "k2"]).select("id", "text_hash", F.col("stays").alias("first"))
+    found = signed.join(named.join(stays, "root").select("k1", "k2", "stays"), ["k1", "k2"]).select("id", "text_hash", F.col("stays").alias("first"))
+    found = materialise(found)
+    discard(signed, copies, roots)
+    return found
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -154,5 +157,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The first document of each class, once each, with its columns."""
-    kept = _classes(docs, threshold, SHINGLE, BANDS, ROWS).select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash")).distinct()
-    return _keyed(docs).join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(docs.columns)
+    kept = _classes(docs, threshold, SHINGLE, BANDS, ROWS).select("first.id", "first.text_hash").distinct()
+    # the input's columns travel in one struct, so that none of their names can clash
+    rows = _keyed(docs, F.struct(*docs.columns).alias("row")).join(kept, ["id", "text_hash"], "left_semi")
+    return rows.dropDuplicates(["id", "text_hash"]).select("row.*")

@@ -9,8 +9,9 @@ half of its characters.
 
 The host of a document is its column ``source``; null is a host of its own. Null texts
 have no words and fail the base rules. Lines without a word are neither counted nor
-removed. Repeated rows count once per row and get the same verdict. Other columns are
-kept by ``apply_rules`` and ignored by ``assess``.
+removed. A document is its doc_id, or the hash of its text where that is null: rows that
+share it count once, for lines as for hosts, and each row gets its own verdict. Other columns
+are kept by ``apply_rules``, whatever their names, and ignored by ``assess``.
 """
 
 from __future__ import annotations
@@ -77,8 +78,9 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
     """(host, line) hashes of the lines above the limit."""
     norm = F.transform(F.split("text", "\n"), normal_form)
     held = F.array_distinct(F.transform(F.filter(norm, lambda x: x != ""), lambda x: F.xxhash64(x)))
-    counts = docs.select(F.xxhash64("source").alias("host"), F.explode(held).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    hosts = docs.groupBy(F.xxhash64("source").alias("host")).agg(F.count("*").alias("docs"))
+    host, document = F.xxhash64("source").alias("host"), F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).alias("document")
+    counts = docs.select(host, document, F.explode(held).alias("line")).groupBy("host", "line").agg(F.count_distinct("document").alias("n")).filter(F.col("n") >= min_docs)
+    hosts = docs.select(host, document).groupBy("host").agg(F.count_distinct("document").alias("docs"))
     return counts.join(hosts, "host").filter(F.col("n") > max_share * F.col("docs")).select("host", "line")
 
 
@@ -108,11 +110,14 @@ def assess(docs: DataFrame, **limits) -> DataFrame:
 
 def apply_rules(docs: DataFrame, **limits) -> DataFrame:
     """The documents that pass, without their lines above the limit; n_chars, if there, is counted anew."""
-    gone = _removed(docs, limits).groupBy("doc", "text_hash").agg(F.collect_set("place").alias("_places"), F.sum("chars").alias("_removed")).withColumnRenamed("text_hash", "_hash")
-    passed = base_counts(docs).filter(~F.col("base_failed")).select(*docs.columns).withColumn("_text_hash", F.xxhash64("text"))
-    joined = passed.join(gone, passed["doc_id"].eqNullSafe(gone["doc"]) & (passed["_text_hash"] == gone["_hash"]), "left").filter(_sound(F.length("text"), F.col("_removed")))
-    kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("_places", i), x)), lambda x: x.isNotNull())
-    out = joined.withColumn("text", F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    gone = _removed(docs, limits).groupBy("doc", "text_hash").agg(F.collect_set("place").alias("places"), F.sum("chars").alias("removed"))
+    # the input's columns travel in one struct, so that none of their names can clash
+    passed = base_counts(docs.select(F.struct(*docs.columns).alias("row"), "text")).filter(~F.col("base_failed")).select("row")
+    keyed = passed.select("row", F.col("row.doc_id").alias("own_doc"), F.xxhash64("row.text").alias("own_hash"))
+    joined = keyed.join(gone, keyed["own_doc"].eqNullSafe(gone["doc"]) & (keyed["own_hash"] == gone["text_hash"]), "left").filter(_sound(F.length("row.text"), F.col("removed")))
+    kept = F.filter(F.transform(F.split("row.text", "\n"), lambda x, i: F.when(~F.array_contains("places", i), x)), lambda x: x.isNotNull())
+    out = joined.select("row", F.when(F.col("places").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n")).alias("text"))
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -93,7 +93,7 @@ counted AS (
 lines AS (
   SELECT doc_id, source, s, trim(regexp_replace(lower(s), '[ \t\x0b\f\r]+', ' ', 'g'), ' ') AS norm
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS s FROM base)),
-hosts AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM documents GROUP BY source),
 frequent AS (
   SELECT source, norm
   FROM (SELECT source, norm, count(DISTINCT doc_id) AS n FROM lines WHERE norm <> '' GROUP BY source, norm) c

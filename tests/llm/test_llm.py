@@ -394,3 +394,146 @@ def test_groups_just_under_the_threshold_lose_no_link(spark):
     buckets = spark.createDataFrame([(1, i) for i in sets], "bucket long, id long")
     found = similar_components(buckets, lambda ids: features.join(ids, "id", "left_semi"), 0.8, longs=4)
     assert {r["id"]: r["root"] for r in found.collect()} == linked
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, n_words long, _words string, _id string, row string, places string, id string, text_hash string, norm string"
+
+
+def clashing(spark, texts):
+    """Documents with further columns whose names operators might use themselves."""
+    return spark.createDataFrame([(d, t, "xx", "h", -1, -5, "a", "b", "c", "d", "e", "f", "g") for d, t in texts], CLASHING)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def test_quality_counts_documents_not_rows(spark):
+    rng = random.Random(6)
+    text = "\n".join(prose(rng, 30) for _ in range(2))
+    rows = clashing(spark, [(1, text)] * 6 + [(None, prose(rng, 60))] * 6 + [(k, "shared line of this host\n" + prose(rng, 60)) for k in range(2, 9)] + [(99, None), (98, "")])
+    got = Counter((r.doc_id, r.kept, r.n_lines_removed) for r in quality.assess(rows).collect())
+    assert got == Counter({(1, True, 0): 6, (None, True, 0): 6, (99, False, 0): 1, (98, False, 0): 1} | {(k, True, 1): 1 for k in range(2, 9)})
+    passed = quality.apply_rules(rows).collect()
+    assert len(passed) == 19 and all(r.n_words == -5 and r._words == "a" and r.n_chars == len(r.text) and "shared line" not in r.text for r in passed)
+
+
+def test_dedups_keep_clashing_columns(spark):
+    rng = random.Random(7)
+    texts = [(None, prose(rng, 40)), (None, prose(rng, 40)), (3, prose(rng, 40)), (4, None), (5, "")]
+    rows = clashing(spark, [*texts, texts[2]])
+    kept = minhash.keep_first(rows)
+    assert kept.columns == rows.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(texts)
+    lines = line_dedup.remove(rows)
+    assert lines.columns == rows.columns and Counter((r.doc_id, r.text) for r in lines.collect()) == Counter([*texts, texts[2]])
+    assert {(r._id, r.row, r.places, r.id, r.text_hash, r.norm) for f in (kept, lines) for r in f.collect()} == {("b", "c", "d", "e", "f", "g")}
+
+
+def brute_pipeline(docs, bench):
+    """The stages up to packing, by hand; docs are (doc_id, source, text)."""
+    docs = [list(x) for x in docs]
+    blank = lambda t: not re.search(WORD, t)
+    # quality
+    holds, hosts = defaultdict(set), defaultdict(set)
+    name = lambda d, t: (d, t if d is None else None)
+    for d, s, t in docs:
+        hosts[s].add(name(d, t))
+        for x in (t or "").split("\n"):
+            if normal(x):
+                holds[s, normal(x)].add(name(d, t))
+    much = {k for k, v in holds.items() if len(v) >= 5 and len(v) > 0.1 * len(hosts[k[0]])}
+    passed = []
+    for d, s, t in docs:
+        w = re.findall(WORD, t or "")
+        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        repeated = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        lines = (t or "").split("\n")
+        cut = [x for x in lines if (s, normal(x)) in much]
+        if len(w) >= 50 and 100 * len(repeated) <= 50 * len(w) and 2 * sum(map(len, cut)) <= len(t):
+            passed.append((d, "\n".join(x for x in lines if (s, normal(x)) not in much)))
+    # lines
+    order = lambda d: -(2**63) if d is None else d
+    places = defaultdict(set)
+    for d, t in set(passed):
+        for i, x in enumerate(t.split("\n")):
+            if normal(x):
+                places[normal(x)].add((order(d), t, i))
+    groups = defaultdict(set)
+    for n, r in components({n: {n[i : i + 8] for i in range(max(1, len(n) - 7))} for n in places}).items():
+        groups[r] |= places[n]
+    gone = {p for g in groups.values() for p in g - {min(g)}}
+    passed = [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if (order(d), t, i) not in gone)) for d, t in passed]
+    passed = sorted({(d, t) for d, t in passed if not blank(t)}, key=lambda x: (order(x[0]), x[1]))
+    # near copies
+    sets = {}
+    for d, t in passed:
+        w = re.findall(WORD, low(t))
+        sets[order(d), t] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    first = {}
+    for k, r in components(sets).items():
+        first[r] = min(first.get(r, k), k)
+    passed = {(d if d != order(None) else None, t) for d, t in first.values()}
+    # benchmark
+    alnum = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+    windows = set()
+    for t in bench:
+        w = re.findall(alnum, low(t))
+        windows |= {tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12))} if w else set()
+    clean = []
+    for d, t in passed:
+        w = re.findall(alnum, low(t))
+        hit = {i + k for n in {len(x) for x in windows} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for k in range(n)}
+        if not hit or 20 * len(hit) < len(w):
+            clean.append((d, t))
+    return clean
+
+
+@pytest.fixture(scope="module")
+def small_corpus():
+    rng = random.Random(8)
+    bench = [prose(rng, 40) for _ in range(3)]
+    shared, banner = prose(rng, 12), "the banner of host a"
+    docs = []
+    for k in range(14):
+        lines = [prose(rng, rng.randrange(8, 25)) for _ in range(6)]
+        if k % 3 == 0:
+            lines.insert(rng.randrange(5), shared if k % 2 else shared + " x")
+        if k < 7:
+            lines.insert(0, banner)
+        docs.append((k if k % 5 else None, "a" if k < 9 else None, "\n".join(lines)))
+    docs.append((20, "b", docs[1][2]))  # a copy: line dedup leaves it no word
+    docs.append((21, "b", "\n".join([*(prose(rng, 20) for _ in range(3)), bench[0]])))
+    docs += [(22, "b", " ".join(["word"] * 80)), (23, None, None), (24, "b", ""), (25, "a", "too short"), docs[3], docs[3]]
+    docs.append((26, "b", docs[2][2].replace("\n", " ") + " " + prose(rng, 3)))  # a near copy that shares no line
+    docs.append((27, "b", prose(rng, 5000)))
+    return docs, bench
+
+
+def test_pipeline_against_brute_force(spark, small_corpus, tmp_path):
+    import corpus_pipeline
+
+    docs, bench = small_corpus
+    extra = "doc_id long, source string, text string, lang string, n_chars long, n_words long, row string, _id string"
+    rows = spark.createDataFrame([(*x, "en", 1, -5, "r", "i") for x in docs], extra).select("doc_id", "text", "lang", "source", "n_chars", "n_words", "row", "_id")
+    rows.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = brute_pipeline(docs, bench)
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == rows.columns
+    assert Counter((r.doc_id, r.text) for r in now.collect()) == Counter(want) and 8 < len(want) < len(docs) - 5
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    lengths = Counter()
+    model = packing.WordIds(tokenizer()).model
+    for _, t in want:
+        lengths[len(model.encode(t, add_special_tokens=False).ids) + 1] += 1
+    assert sum(r.length for r in packed) == sum(n * k for n, k in lengths.items()) and min(r.length for r in packed) > 1 and len(packed) >= len(want)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
