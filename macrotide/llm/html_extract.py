@@ -1,14 +1,17 @@
 """Main-text extraction from HTML by tree scoring.
 
-Each page is parsed to a tree without needing valid markup. Subtrees that are never
-part of an article (scripts, menus, forms, page headers and footers, asides, hidden
-parts, and parts whose class, id or role says so) are cut. Every paragraph passes
-points for its length and its commas to its ancestors, halved at each level; a
-container's points are discounted by its link density. The best container and those of
-its siblings that score or read like it are kept; within them, link lists are left out.
-
-Null and empty pages give an empty text. Each row is treated by itself, so repeated
-rows give repeated results. Other columns are ignored.
+Each page is parsed to a tree without needing valid markup. Scripts, styles, controls and
+hidden parts are never part of an article. Menus, page headers and footers, asides, forms and parts whose
+class, id or role says so are left out too, unless they wrap the article: a part that holds an
+``article`` or ``main`` element, or (for forms and class words) most of the page's text, stays, and only the
+parts within it are judged. Every paragraph passes points for its length and its commas to its
+ancestors, halved at each level; a container's points are discounted by its link density. The
+best container and those of its siblings that score or read like it are kept, inside ``article``
+and ``main`` as elsewhere; within ``article`` all siblings up to it are kept but those that are mostly links.
+Nothing within the best container is left out.
+
+A tag with an unclosed quote ends at the next ``>``. Null and empty pages give an empty text. Each row is
+treated by itself, so repeated rows give repeated results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,16 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)(?:>|\Z)""", re.S)
+#: A comment, a declaration, or a tag: with quotes that close before white space or the tag's end, else up to the next ``>``.
+_MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"(?=[\s>]|/>)|'[^']*+'(?=[\s>]|/>))*+(?=>)|[^>]*+)(?:>|\Z)""", re.S
+)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _SPACE = re.compile(r"\s+")
 
 #: Elements by their role in the tree.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-CUT = frozenset("head nav footer aside form button select dialog menu svg canvas object audio video figure map fieldset label".split())
+CUT = frozenset("head button select dialog svg canvas object audio video map label".split())
+ASIDE = frozenset("nav footer aside menu header".split())
+FORMS = frozenset("form fieldset".split())
 BLOCK = frozenset(
-    "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption address header center details summary hr figcaption".split()
+    "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption address header center details summary hr figure figcaption nav footer aside form fieldset".split()
 )
 PARAGRAPH = frozenset("p pre td blockquote li dd div section".split())
 #: Words of a class or id that mark a part as not of the article.
@@ -42,11 +50,16 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 STOPS = frozenset("ul ol dl table article section main div body html td th".split())
 
 
+#: Class words about other parts of the page: 'no-sidebar', 'has-comments', 'with_banner'.
+_NOT_ITSELF = re.compile(r"\b(?:no|not|has|have|with|without|hide|show|is)[-_][a-z]+")
+
+
 class Node:
-    __slots__ = ("children", "dropped", "links", "parent", "points", "size", "tag")
+    __slots__ = ("children", "doubt", "dropped", "holds", "links", "parent", "points", "size", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, doubt: str = ""):
+        self.tag, self.parent, self.doubt = tag, parent, doubt
+        self.dropped, self.holds = doubt == "never", False
         self.children: list[Node | str] = []
         self.points = 0.0
         self.size = self.links = 0
@@ -56,17 +69,24 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(source)}
 
 
-def _is_cut(tag: str, source: str, in_article: bool) -> bool:
-    if tag in CUT or tag == "header" and not in_article:
-        return True
+def _doubt(tag: str, source: str, in_article: bool) -> str:
+    """Why a part may not be of the article: "never", "aside" (by its element) or "name" (by its class, id or role, or a form)."""
+    if tag in CUT:
+        return "never"
+    if tag in ASIDE and not (tag == "header" and in_article):
+        return "aside"
+    if tag in FORMS:
+        return "name"
     if not source or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
     a = _attributes(source)
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in UNLIKELY_ROLES or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    found = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())) & UNLIKELY
-    return bool(found) and not (in_article and found <= {"header", "tags"})
+    if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
+        return "never"
+    if a.get("role", "").lower() in UNLIKELY_ROLES:
+        return "name"
+    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()
+    found = set(re.findall(r"[a-z]+", _NOT_ITSELF.sub(" ", names))) & UNLIKELY
+    return "name" if found and not (in_article and found <= {"header", "tags"}) else ""
 
 
 def parse(source: str) -> Node:
@@ -120,31 +140,55 @@ def parse(source: str) -> Node:
             if tag == "hr":
                 node.children.append(Node("hr", node))
             continue
-        child = Node(tag, node, _is_cut(tag, m[3], articles > 0))
+        child = Node(tag, node, _doubt(tag, m[3], articles > 0))
         node.children.append(child)
         articles += tag in ("article", "main")
         node = child
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Sets the text and link sizes of all parts that are not cut; returns them, parents first."""
+def _order(root: Node) -> list[Node]:
+    """All parts that are not left out, parents first."""
     order, queue = [], [root]
     while queue:
         node = queue.pop()
         order.append(node)
         queue += [c for c in node.children if isinstance(c, Node) and not c.dropped]
+    return order
+
+
+def _measure(root: Node) -> list[Node]:
+    """Sets the text and link sizes of all parts that are not left out; returns them, parents first."""
+    order = _order(root)
     for node in reversed(order):
-        own = sum(len(_SPACE.sub(" ", c)) for c in node.children if isinstance(c, str) and not c.isspace())
-        node.size += own
+        node.size += sum(len(_SPACE.sub(" ", c)) for c in node.children if isinstance(c, str) and not c.isspace())
+        node.holds |= node.tag in ("article", "main")
         if node.tag == "a":
             node.links = node.size
         if node.parent is not None:
             node.parent.size += node.size
             node.parent.links += node.links
+            node.parent.holds |= node.holds
     return order
 
 
+def _settle(root: Node) -> list[Node]:
+    """Leaves out the parts in doubt that do not wrap the article, then measures what is left."""
+    total = _measure(root)[0].size
+    queue = [root]
+    while queue:
+        node = queue.pop()
+        wraps = node.holds or node.doubt == "name" and node.size > 3 * (total - node.size)
+        if node.doubt and not wraps:
+            node.dropped = True
+        elif not node.dropped:
+            queue += [c for c in node.children if isinstance(c, Node)]
+    order = _order(root)
+    for node in order:
+        node.size = node.links = 0
+    return _measure(root)
+
+
 def _density(node: Node) -> float:
     return node.links / node.size if node.size else 0.0
 
@@ -164,9 +208,8 @@ def _plain(node: Node) -> str:
     return "".join(out)
 
 
-def best_containers(root: Node) -> list[Node]:
-    """The container with the most points and its kept siblings, in page order."""
-    nodes = _measure(root)
+def _score(nodes: list[Node]) -> dict[int, float]:
+    """Passes the points of paragraphs to their ancestors; the discounted points of each that got any."""
     scored = []
     for node in nodes:
         if node.tag not in PARAGRAPH or _has_block(node) or node.parent is None:
@@ -181,43 +224,56 @@ def best_containers(root: Node) -> list[Node]:
                 scored.append(up)
             up.points += points * share
             up, share = up.parent, share / 2
-    if not scored:
+    return {id(x): x.points * (1 - _density(x)) for x in scored}
+
+
+def best_containers(root: Node) -> list[Node]:
+    """The container with the most points and its kept siblings, in page order."""
+    nodes = _settle(root)
+    final = _score(nodes)
+    if not final:
         named = [x for x in nodes if x.tag in ("article", "main") and x.size]
         return named[:1] or [root]
-    final = {id(x): x.points * (1 - _density(x)) for x in scored}
-    best = max(scored, key=lambda x: final[id(x)])
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    if up is not None:  # the page itself says where its article begins and ends
-        return [up]
-    if best.parent is None:
-        return [best]
-    limit, kept = max(2.0, 0.2 * final[id(best)]), []
-    for x in best.parent.children:
-        if not isinstance(x, Node) or x.dropped:
-            continue
-        reads = x.tag in ("p", "pre", "blockquote") and x.size and (_density(x) < 0.25 if x.size > 80 else _density(x) == 0)
-        title = x.tag in ("h1", "h2") and x.size and _density(x) < 0.5
-        if x is best or final.get(id(x), 0) >= limit or reads or title:
-            kept.append(x)
+    best = max((x for x in nodes if id(x) in final), key=lambda x: final[id(x)])
+    article = _up_to(best, "article")
+    top = article or _up_to(best, "main")
+    limit, kept, node = max(2.0, 0.2 * final[id(best)]), [best], best
+    while node is not top and node.parent is not None and (top or node is best):
+        around = [x for x in node.parent.children if isinstance(x, Node) and not x.dropped and x.size]
+        at = next(i for i, x in enumerate(around) if x is node) if node.size else len(around)
+        near = [x is not node and (_density(x) <= 0.5 if article else _like(x, final, limit)) for x in around]
+        kept = [x for x, keep in zip(around[:at], near, strict=False) if keep] + kept + [x for x, keep in zip(around[at:], near[at:], strict=True) if keep]
+        node = node.parent
     return kept
 
 
-def _blocks(node: Node, top: bool, out: list[list[str]]) -> None:
-    """Appends the text of a kept part, a new list for each block."""
-    stack: list = [(node, top)]
+def _up_to(node: Node | None, tag: str) -> Node | None:
+    while node is not None and node.tag != tag:
+        node = node.parent
+    return node
+
+
+def _like(x: Node, final: dict[int, float], limit: float) -> bool:
+    reads = x.tag in ("p", "pre", "blockquote") and (_density(x) < 0.25 if x.size > 80 else _density(x) == 0)
+    title = x.tag in ("h1", "h2") and _density(x) < 0.5
+    return final.get(id(x), 0) >= limit or reads or title
+
+
+def _blocks(node: Node, out: list[list[str]]) -> None:
+    """Appends the text of a kept part, a new list for each block; of a whole page, parts that are mostly links are left out."""
+    page = node.parent is None
+    stack: list = [node]
     while stack:
-        x, first = stack.pop()
+        x = stack.pop()
         if x is None:
             out.append([])
         elif isinstance(x, str):
             out[-1].append(x)
-        elif not x.dropped and (first or not (x.tag in ("ul", "ol", "dl", "table", "div", "section") and x.size and _density(x) > 0.5)):
+        elif not x.dropped and not (page and x.tag in ("ul", "ol", "dl", "table", "div", "section") and x.size and _density(x) > 0.5):
             if x.tag in BLOCK:
                 out.append([])
-                stack.append((None, False))
-            stack += [(c, False) for c in reversed(x.children)]
+                stack.append(None)
+            stack += reversed(x.children)
 
 
 def main_text(source: str | None) -> str:
@@ -226,7 +282,7 @@ def main_text(source: str | None) -> str:
         return ""
     out: list[list[str]] = [[]]
     for node in best_containers(parse(source)):
-        _blocks(node, True, out)
+        _blocks(node, out)
     lines = (_SPACE.sub(" ", "".join(b)).strip() for b in out)
     return "\n".join(x for x in lines if x)
 

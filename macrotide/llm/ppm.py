@@ -125,14 +125,16 @@ def _distinct(table: pa.Table, order: int) -> list[tuple[int, np.ndarray, np.nda
     return [(kind, *_merge(parts)) for kind, parts in found.items()]
 
 
-def _layout(kind: int, keys: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order in which a block sends sorted keys, and where each slice begins in it."""
+def _layout(kind: int, keys: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order in which a block sends sorted keys, and (slice, from, to) of the slices that it has keys of."""
     if kind == GRAM:
         s = _gram_slice(keys, order, bits)
         by = np.argsort(s, kind="stable")
-        return by, np.searchsorted(s[by], np.arange((1 << bits) + 1))
-    top = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.arange(len(keys)), np.append(np.searchsorted(keys, top), len(keys))
+        s = s[by]
+    else:
+        by, s = np.arange(len(keys)), (keys >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+    return by, list(zip(s[first].tolist(), first.tolist(), np.append(first[1:], len(s)).tolist(), strict=True))
 
 
 def _table(rows: list[tuple], names: list[str], types: list) -> pa.Table:
@@ -144,12 +146,9 @@ def _ask(order: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
         g, out = table.column("g")[0].as_py(), []
         for kind, keys, counts in _distinct(table, order):
-            by, edges = _layout(kind, keys, order, bits)
+            by, parts = _layout(kind, keys, order, bits)
             keys, counts = keys[by], counts[by].astype("<u4")
-            for s in range(1 << bits):
-                lo, hi = edges[s], edges[s + 1]
-                if hi > lo:
-                    out.append((g, kind, s, keys[lo:hi].tobytes(), counts[lo:hi].tobytes()))
+            out += [(g, kind, s, keys[lo:hi].tobytes(), counts[lo:hi].tobytes()) for s, lo, hi in parts]
         return _table(out, ["g", "kind", "slice", "keys", "counts"], [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     return run
@@ -266,10 +265,10 @@ def _score(order: int, bits: int, n_total: int, n_distinct: int):
         for k, s, a in zip(*(answers.column(c).to_pylist() for c in ("kind", "slice", "answers")), strict=True):
             got[k][s] = np.frombuffer(a, "<f8")
         for kind, keys, _ in _distinct(table, order):
-            by, edges = _layout(kind, keys, order, bits)
+            by, parts = _layout(kind, keys, order, bits)
             values = np.empty(len(keys))
-            for s, a in got[kind].items():
-                values[by[edges[s] : edges[s + 1]]] = a
+            for s, lo, hi in parts:
+                values[by[lo:hi]] = got[kind][s]
             look[kind] = (keys, values)
         train = table.column("train").to_pylist()
         ids = table.column("doc_id").to_pylist()

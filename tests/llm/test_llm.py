@@ -537,3 +537,104 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+LONG = "One long sentence of the article, with commas, here. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div class="layout no-sidebar"><p>{LONG}</p></div>', LONG),
+        (f'<div class="has-comments"><p>{LONG}</p></div>', LONG),
+        (f'<form id="page"><div class="content-sidebar-wrap"><p>{LONG}</p></div><div class="sidebar"><p>Side.</p></div></form>', LONG),
+        (f'<div class="widget"><article><h2>Title</h2><p>{LONG}</p></article></div><div class="comments"><p>{LONG}</p><p>{LONG}</p></div>', "Title\n" + LONG),
+        ('<p class="lead>Broken quote, but text, all the same.</p><p>Second paragraph, long enough, to count.</p>', "Broken quote, but text, all the same.\nSecond paragraph, long enough, to count."),
+        (f'<article><p>{LONG}</p><ul><li><a href="x">one</a></li><li><a href="y">two</a></li></ul><figure><img src=x><figcaption>A caption.</figcaption></figure></article>', LONG + "\none\ntwo\nA caption."),
+        (f'<main><div><p>{LONG}</p></div><div><a href="x">{LONG}</a></div></main>', LONG),
+        (f'<a title="a > b" href="x">Go</a><div><p>{LONG}</p></div>', LONG),
+        ("<div>" * 3000 + f"<p>{LONG}</p>" + "</div>" * 3000, LONG),
+        ("<" * 5000 + f"<p>{LONG}", None),
+        ('<p class="' * 3000 + f">{LONG}", None),
+    ],
+)
+def test_html_cases(page, want):
+    got = html_extract.main_text(f"<html><body>{page}</body></html>")
+    assert want is None or got == "\n".join(x.strip() for x in want.split("\n"))
+    assert got == html_extract.main_text(f"<html><body>{page}</body></html>")
+
+
+def test_html_scores_like_a_slow_scorer():
+    """Divs of divs of paragraphs, scored by sums over all (paragraph, ancestor) pairs."""
+    rng = random.Random(9)
+    for _ in range(60):
+        # boxes[k] is the path of indices of a div; its paragraphs are (text, link text)
+        boxes = {(i, j): [(prose(rng, rng.randrange(1, 30)) + "," * rng.randrange(4), prose(rng, rng.randrange(1, 9)) if rng.random() < 0.3 else "") for _ in range(rng.randrange(1, 5))] for i in range(3) for j in range(3)}
+        page = "".join("<div>" + "".join("<div>" + "".join(f"<p>{t}<a href=x>{a}</a></p>" for t, a in boxes[i, j]) + "</div>" for j in range(3)) + "</div>" for i in range(3))
+        points, size, links = Counter(), Counter(), Counter()
+        for (i, j), ps in boxes.items():
+            for t, a in ps:
+                text = t + a
+                p = (1.0 if len(text) >= 25 else 0.1) + 0.5 * text.count(",") + min(len(text) / 100, 3.0)
+                for up, share in (((i, j), 1), ((i,), 0.5), ((), 0.25)):
+                    size[up] += len(text)
+                    links[up] += len(a)
+                    if len(a) <= 0.5 * len(text):
+                        points[up] += p * share
+        final = {k: v * (1 - links[k] / size[k]) for k, v in points.items()}
+        best = max(final, key=lambda k: final[k])
+        near = [best] if best == () else [k for k in sorted(size) if len(k) == len(best) and k[:-1] == best[:-1] and (k == best or final.get(k, 0) >= max(2, 0.2 * final[best]))]
+        want = [t + a for k in near for b in sorted(boxes) if b[: len(k)] == k for t, a in boxes[b]]
+        got = html_extract.main_text(page).split("\n")
+        assert got == want or best == () and set(got) <= set(want)
+
+
+def test_chat_cost_against_all_repairs(spark):
+    """Costs of the operator's repairs against an enumeration of everything a repair may do."""
+    legal = re.compile("S?(UA)+")
+    roles = {"S": "system", "U": "user", "A": "assistant"}
+
+    def cheapest(turns):
+        best = [10**9]
+
+        def go(k, said, cost):
+            if cost >= best[0] or not any(legal.fullmatch(said + end) for end in ("", "A", "UA")):
+                return
+            if k == len(turns):
+                for end in ("", "A", "UA"):
+                    if legal.fullmatch(said + end):
+                        best[0] = min(best[0], cost + 3 * len(end))
+                return
+            if said:
+                go(k + 1, said, cost + (1 if said[-1] == turns[k] else 3))
+            for inserted in ("", "U", "A"):
+                for r in "SUA":
+                    go(k + 1, said + inserted + r, cost + 3 * len(inserted) + (0 if r == turns[k] else 2))
+
+        go(0, "", 0)
+        return best[0]
+
+    seqs = ["".join(p) for n in range(1, 5) for p in itertools.product("SUAX", repeat=n)] + ["UUAXSAU", "AAAAAA", "SSUUAAUA"]
+    rows = [(c, t, roles.get(r, "tool"), "same") for c, s in enumerate(seqs) for t, r in enumerate(s)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for block in (4096, 3):
+        got = defaultdict(list)
+        for r in chat.format_chats(turns, block).orderBy("conv_id", "turn").collect():
+            got[r.conv_id].append(r)
+        for c, s in enumerate(seqs):
+            cost, said = 0, ""
+            for r in got[c]:
+                now = r.role_out[0].upper()
+                if r.action == "merge":
+                    cost += 1 if said[-1] == s[r.turn] else 3
+                    continue
+                cost += 2 * (now != s[r.turn])
+                if r.action.startswith("insert"):
+                    said, cost = said + ("A" if said[-1:] == "U" else "U"), cost + 3
+                said += now
+            more = got[c][-1].n_inserted - got[c][-1].action.startswith("insert")
+            said += {1: "A", 2: "UA"}.get(more, "")
+            assert legal.fullmatch(said) and cost + 3 * more == cheapest(s), s
+    repeated = spark.createDataFrame([(1, 0, "user", "hi")] * 5 + [(1, 0, "user", None)] * 2 + [(None, None, None, None)] * 3, "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(repeated).collect()
+    assert len(out) == 10 and sum(r.action == "merge" for r in out if r.conv_id == 1) == 6
