@@ -44,12 +44,17 @@ def macro_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.when(digit == "1", "stress").when(digit == "2", "growth").when(digit == "3", "inflation").when(digit == "4", "rates").otherwise("liquidity")
     daily = orders.groupBy("o_orderpriority", F.to_date("o_orderdate").alias("date")).agg(_mean("o_totalprice").alias("value"))
     daily = daily.select(F.concat(F.lit("ORD"), digit).alias("series_code"), "date", "value", F.concat(F.lit("Order value "), "o_orderpriority").alias("series_name"), category.alias("category"))
-    week = F.date_add(F.to_date(F.date_trunc("week", "l_shipdate")), 5)
-    weekly = lines.groupBy("l_returnflag", week.alias("date")).agg(_mean("l_discount").alias("value"))
-    weekly = weekly.select(F.concat(F.lit("LIW"), "l_returnflag").alias("series_code"), "date", "value", F.concat(F.lit("Weekly discount "), "l_returnflag").alias("series_name"), F.lit("rates").alias("category"))
-    monthly = lines.groupBy("l_linestatus", F.to_date(F.date_trunc("month", "l_shipdate")).alias("date")).agg(_mean("l_quantity").alias("value"))
-    monthly = monthly.select(F.concat(F.lit("LIM"), "l_linestatus").alias("series_code"), "date", "value", F.concat(F.lit("Monthly quantity "), "l_linestatus").alias("series_name"), F.lit("growth").alias("category"))
-    return daily.unionByName(weekly).unionByName(monthly)
+    # one scan of the lines: sums of whole hundredths by day first, then by week and by month
+    cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
+    by_day = lines.groupBy("l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("day")).agg(cents("l_discount").alias("discount"), cents("l_quantity").alias("quantity"), F.count("*").alias("n"))
+
+    def part(prefix, key, date, total, name, category):
+        return F.struct(F.concat(F.lit(prefix), key).alias("series_code"), date.alias("date"), F.col(total).alias("total"), F.concat(F.lit(name), key).alias("series_name"), F.lit(category).alias("category"))
+
+    week, month = F.date_add(F.to_date(F.date_trunc("week", "day")), 5), F.to_date(F.date_trunc("month", "day"))
+    parts = F.array(part("LIW", F.col("l_returnflag"), week, "discount", "Weekly discount ", "rates"), part("LIM", F.col("l_linestatus"), month, "quantity", "Monthly quantity ", "growth"))
+    longer = by_day.select("n", F.explode(parts).alias("x")).select("n", "x.*").groupBy("series_code", "date", "series_name", "category").agg((F.expr("sum(total) DIV sum(n)").cast("double") / 100).alias("value"))
+    return daily.unionByName(longer)
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,31 +62,42 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return business_days(table(spark, sf_dir, "orders").agg(F.min(day).alias("first"), F.max(day).alias("last")))
 
 
-def stale(spark, sf_dir):
-    return prepare.annotate(prepare.clean(macro_raw(spark, sf_dir)))
-
-
-def aligned(spark, sf_dir):
-    return prepare.align_calendar(stale(spark, sf_dir), calendar(spark, sf_dir))
-
-
-_kept: dict[tuple[str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def processed(spark, sf_dir):
-    """The processed table, the hand-over from preparation to features; kept in the session for the queries that follow."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _once(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """A hand-over table, kept in the session for the queries that follow; ``release`` forgets it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
-        _kept[key] = prepare.trim_common_start(aligned(spark, sf_dir)).persist()
+        _kept[key] = build().persist()
     return _kept[key]
 
 
 def release() -> None:
-    """Forgets the processed tables that are kept."""
+    """Forgets the tables that are kept."""
     while _kept:
         _kept.popitem()[1].unpersist()
 
 
+def cleaned(spark, sf_dir):
+    """The cleaned observations, the hand-over from loading to alignment."""
+    return _once("cleaned", spark, sf_dir, lambda: prepare.clean(macro_raw(spark, sf_dir)))
+
+
+def stale(spark, sf_dir):
+    return prepare.annotate(cleaned(spark, sf_dir))
+
+
+def aligned(spark, sf_dir):
+    rows = _once("stale", spark, sf_dir, lambda: stale(spark, sf_dir))
+    return prepare.align_calendar(rows, calendar(spark, sf_dir))
+
+
+def processed(spark, sf_dir):
+    """The processed table, the hand-over from preparation to features."""
+    return _once("processed", spark, sf_dir, lambda: prepare.trim_common_start(_once("aligned", spark, sf_dir, lambda: aligned(spark, sf_dir))))
+
+
 def features(spark, sf_dir):
     return transform(processed(spark, sf_dir), CHAINS).select("date", "feature", "value")
 

@@ -51,13 +51,13 @@ add("coerce_types", lambda s, d: prepare.coerce_types(X.macro_raw(s, d).withColu
     X.with_views("SELECT series_code, date, CASE WHEN isodow(date) <> 2 THEN value END AS value, series_name, category FROM raw", "raw"))
 add("roll_weekend", lambda s, d: prepare.roll_weekend(X.macro_raw(s, d)), X.with_views("SELECT series_code, rd AS date, value, series_name, category FROM rolled", "rolled"))
 add("dedup_last", lambda s, d: prepare.dedup_last(X.macro_raw(s, d)), X.with_views(f"SELECT {_ROW} FROM clean", "clean"))
-add("staleness_flags", lambda s, d: prepare.staleness_flags(prepare.clean(X.macro_raw(s, d))), X.with_views(f"SELECT {_ROW}, is_new_data, obs_number FROM stale", "stale"))
-add("native_freq", lambda s, d: prepare.native_freq(prepare.clean(X.macro_raw(s, d))), X.with_views("SELECT * FROM freq", "freq"))
+add("staleness_flags", lambda s, d: prepare.staleness_flags(X.cleaned(s, d)), X.with_views(f"SELECT {_ROW}, is_new_data, obs_number FROM stale", "stale"))
+add("native_freq", lambda s, d: prepare.native_freq(X.cleaned(s, d)), X.with_views("SELECT * FROM freq", "freq"))
 add("business_calendar", X.calendar, X.with_views("SELECT date FROM cal", "cal"))
 add("align_calendar", X.aligned, X.with_views("SELECT * FROM aligned", "aligned"))
 add("days_since_update", lambda s, d: X.aligned(s, d).select("series_code", "date", "days_since_update"), X.with_views("SELECT series_code, date, days_since_update FROM aligned", "aligned"))
 add("align_nulls", lambda s, d: X.aligned(s, d).groupBy("series_code").agg(F.count_if(F.col("value").isNull()).alias("nulls")), X.with_views("SELECT series_code, count(*) FILTER (value IS NULL) AS nulls FROM aligned GROUP BY 1", "aligned"))
-add("align_asof", lambda s, d: prepare.align_asof(prepare.clean(X.macro_raw(s, d)), X.calendar(s, d)),
+add("align_asof", lambda s, d: prepare.align_asof(X.cleaned(s, d), X.calendar(s, d)),
     X.with_views("SELECT k.series_code, k.date, c.value, c.series_name, c.category FROM (SELECT s.series_code, cal.date FROM (SELECT DISTINCT series_code FROM clean) s, cal) k ASOF LEFT JOIN clean c ON k.series_code = c.series_code AND k.date >= c.date", "clean", "cal"))
 add("trim_common_start", X.processed, X.with_views("SELECT * FROM proc", "proc"))
 add("days_per_year", lambda s, d: X.aligned(s, d).groupBy(F.year("date").alias("year")).agg((F.count("*") / F.countDistinct("series_code")).alias("days")), X.with_views("SELECT CAST(year(date) AS BIGINT) AS year, count(*) / count(DISTINCT series_code) AS days FROM aligned GROUP BY 1", "aligned"))
@@ -101,10 +101,10 @@ add("duplicate_keys", lambda s, d: validate.duplicate_keys(prepare.roll_weekend(
 add("value_stats", lambda s, d: validate.value_stats(X.macro_raw(s, d)), X.with_views(f"SELECT count(value) AS n, count(*) FILTER (isinf(value)) AS infinite, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS std, {r('min(value)')} AS low, {r('max(value)')} AS high, {r('median(value)')} AS median FROM raw", "raw"))
 add("series_details", lambda s, d: validate.series_details(X.aligned(s, d)), X.with_views("SELECT series_code, count(value) AS observations, min(date) AS first_date, max(date) AS last_date, count(*) FILTER (value IS NULL) AS nulls, min(value) AS low, max(value) AS high, count(*) FILTER (is_new_data) AS new_points FROM aligned GROUP BY 1", "aligned"))
 _OUT = "SELECT series_code, max(s) AS std, count(*) FILTER (s > 0 AND abs(value - m) > 5 * s) AS outliers, max(s) = 0 AS zero_variance FROM clean JOIN (SELECT series_code, avg(value) AS m, stddev_samp(value) AS s FROM clean GROUP BY 1) USING (series_code) GROUP BY 1"
-add("series_outliers", lambda s, d: validate.series_outliers(prepare.clean(X.macro_raw(s, d))), X.with_views(f"SELECT series_code, {r('std')} AS std, outliers, zero_variance FROM ({_OUT})", "clean"))
+add("series_outliers", lambda s, d: validate.series_outliers(X.cleaned(s, d)), X.with_views(f"SELECT series_code, {r('std')} AS std, outliers, zero_variance FROM ({_OUT})", "clean"))
 add("staleness_summary", lambda s, d: validate.staleness_summary(X.processed(s, d)), X.with_views("SELECT series_code, count(*) FILTER (is_new_data) AS new_rows, count(*) FILTER (NOT coalesce(is_new_data, FALSE)) AS carried_rows, max(days_since_update) AS max_days, count(*) FILTER (days_since_update < 0) AS negative_days FROM proc GROUP BY 1", "proc"))
 _GAPS = "SELECT date, 'missing' AS problem FROM cal ANTI JOIN (SELECT DISTINCT date FROM clean WHERE series_code = 'LIWA') c USING (date) UNION ALL SELECT date, 'unexpected' FROM (SELECT DISTINCT date FROM clean WHERE series_code = 'LIWA') c ANTI JOIN cal USING (date)"
-add("calendar_gaps", lambda s, d: validate.calendar_gaps(prepare.clean(X.macro_raw(s, d)).filter("series_code = 'LIWA'"), X.calendar(s, d)), X.with_views(_GAPS, "clean", "cal"))
+add("calendar_gaps", lambda s, d: validate.calendar_gaps(X.cleaned(s, d).filter("series_code = 'LIWA'"), X.calendar(s, d)), X.with_views(_GAPS, "clean", "cal"))
 
 
 def _expected(s, d):
@@ -114,7 +114,7 @@ def _expected(s, d):
 _EXPECTED = "SELECT DISTINCT 'ORD' || substr(o_orderpriority, 1, 1) AS series_code FROM orders UNION ALL SELECT 'REG' || r_regionkey FROM region"
 _COVER = "SELECT series_code, 'missing' AS problem FROM e ANTI JOIN (SELECT DISTINCT series_code FROM raw) c USING (series_code) UNION ALL SELECT series_code, 'unexpected' FROM (SELECT DISTINCT series_code FROM raw) c ANTI JOIN e USING (series_code)"
 add("series_coverage", lambda s, d: validate.series_coverage(X.macro_raw(s, d), _expected(s, d)), X.with_views(_COVER, "raw", extra={"e": _EXPECTED}))
-add("validation_summary", lambda s, d: validate.validation_summary(prepare.clean(X.macro_raw(s, d)), _expected(s, d), X.calendar(s, d)),
+add("validation_summary", lambda s, d: validate.validation_summary(X.cleaned(s, d), _expected(s, d), X.calendar(s, d)),
     X.with_views(f"""SELECT "check", severity, {big('problems')} AS problems FROM (
       SELECT 'critical_nulls' AS "check", 'error' AS severity, count(*) FILTER (series_code IS NULL OR date IS NULL OR value IS NULL) AS problems FROM clean
       UNION ALL SELECT 'duplicate_keys', 'error', coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM clean GROUP BY series_code, date)
@@ -130,7 +130,7 @@ add("fv_zscore", lambda s, d: validate.zscore_shape(X.features(s, d)), X.with_vi
 add("fv_outliers", lambda s, d: validate.extreme_values(X.features(s, d)), X.with_views(f"SELECT feature, count(*) FILTER (abs(value) > 10) AS extreme, {r('max(abs(value))')} AS largest FROM feat GROUP BY 1", "feat"))
 _RATE = "SELECT feature, avg(CAST(b IS NULL OR b <> value AS INT)) AS rate FROM (SELECT feature, value, lag(value) OVER (PARTITION BY feature ORDER BY date) AS b FROM feat WHERE value IS NOT NULL) GROUP BY 1"
 add("change_rate", lambda s, d: validate.change_rate(X.features(s, d)), X.with_views(f"SELECT feature, {r('rate')} AS rate FROM ({_RATE})", "feat"))
-add("fv_change_rate", lambda s, d: validate.change_rate_check(X.features(s, d), prepare.native_freq(prepare.clean(X.macro_raw(s, d)))),
+add("fv_change_rate", lambda s, d: validate.change_rate_check(X.features(s, d), prepare.native_freq(X.cleaned(s, d))),
     X.with_views(f"""SELECT feature, native_freq AS frequency, {r('rate')} AS rate, CASE WHEN NOT (CASE native_freq WHEN 'monthly' THEN rate > 0.15 WHEN 'weekly' THEN rate < 0.10 OR rate > 0.35 ELSE rate < 0.5 END) THEN 'info' WHEN native_freq = 'monthly' THEN 'error' ELSE 'warning' END AS severity
       FROM ({_RATE}) JOIN freq ON split_part(feature, '_', 1) = series_code""", "feat", "freq"))
 add("fv_variance", lambda s, d: validate.low_variance(X.features(s, d)), X.with_views(f"SELECT feature, {r('var_samp(value)')} AS variance, var_samp(value) < 0.01 AS failed FROM feat GROUP BY 1", "feat"))
