@@ -74,6 +74,49 @@ def anova_r2(features: DataFrame, proba: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg((between / F.greatest(F.first("var"), F.lit(1e-12))).alias("r2"))
 
 
+def r2_summary(r2: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, r2_mean, r2_median, n) of each group of features, and of all as the group ``all``."""
+    named = r2.join(groups, "feature")
+    both = named.unionByName(r2.withColumn("group", F.lit("all")))
+    return both.groupBy("group").agg(F.avg("r2").alias("r2_mean"), F.median("r2").alias("r2_median"), F.count("r2").alias("n"))
+
+
+def transition_matrix(labels: DataFrame, regimes: list, digits: int = 3) -> DataFrame:
+    """Wide: a row per regime, a column to_<regime> for each next one, shares rounded."""
+    shares = transition_counts(labels).groupBy("regime").pivot("next", regimes).agg(F.first("share"))
+    return shares.select("regime", *(F.round(F.coalesce(F.col(f"`{x}`"), F.lit(0.0)), digits).alias(f"to_{x}") for x in regimes))
+
+
+def time_series_view(labels: DataFrame, proba: DataFrame, names: DataFrame) -> DataFrame:
+    """(date, regime, label, k, p): the label and the stacked probabilities of each day; names: (regime, label)."""
+    named = labels.join(F.broadcast(names), "regime", "left").withColumn("label", F.coalesce("label", F.concat(F.lit("Regime "), F.col("regime").cast("string"))))
+    return named.join(proba.select("date", F.posexplode("proba").alias("k", "p")), "date")
+
+
+def prices_on(dates: DataFrame, px: DataFrame) -> DataFrame:
+    """(date, px): the price of each date, null where there is none."""
+    return dates.select("date").distinct().join(px, "date", "left")
+
+
+def flat_metrics(nested: DataFrame, sep: str = ".") -> DataFrame:
+    """A column for each field of nested structs, named by its path."""
+    out = []
+
+    def walk(kind, path):
+        for field in kind.fields:
+            here = [*path, field.name]
+            if field.dataType.typeName() == "struct":
+                walk(field.dataType, here)
+            else:
+                column = F.col(f"`{here[0]}`")
+                for name in here[1:]:
+                    column = column.getField(name)
+                out.append(column.alias(sep.join(here)))
+
+    walk(nested.schema, [])
+    return nested.select(*out)
+
+
 def transition_counts(labels: DataFrame) -> DataFrame:
     """(regime, next, n, share)."""
     steps = labels.withColumn("next", F.lead("regime").over(_all())).filter(F.col("next").isNotNull())
@@ -124,7 +167,7 @@ def equity_by_regime(px: DataFrame, labels: DataFrame, freq: int = 252, rf_annua
         ((mean - rf) * freq / F.when(vol != 0, vol)).alias("sharpe"),
         F.avg((F.col("ret") > 0).cast("double")).alias("up_day_frac"),
     )
-    return figures.filter("n_days >= 2").join(drawdown_by_regime(px, labels), "regime")
+    return figures.filter("n_days >= 2").join(drawdown_by_regime(px, labels), "regime").orderBy(F.desc("ann_return"))
 
 
 def ticker_regime_fill(px: DataFrame, labels: DataFrame) -> DataFrame:

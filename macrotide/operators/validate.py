@@ -79,12 +79,16 @@ def validation_summary(df: DataFrame, expected: DataFrame, calendar: DataFrame)
     return out
 
 
-def feature_metadata(features: DataFrame) -> DataFrame:
-    """Figures of long features (date, feature, value)."""
+def feature_metadata(features: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
+    """Figures of long features (date, feature, value); with frequency (series_code, native_freq) also that of each series."""
     parts = F.split("feature", "_", 2)
     v = F.col("value")
     one = features.groupBy("feature").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), (100 * F.avg(v.isNull().cast("double"))).alias("missing_pct"), F.count_if(F.abs(v) > 5).alias("n_outliers"))
-    return one.select("feature", parts[0].alias("indicator"), parts[1].alias("transforms"), "mean", "std", "missing_pct", "n_outliers")
+    named = one.select("feature", parts[0].alias("indicator"), parts[1].alias("transforms"), "mean", "std", "missing_pct", "n_outliers")
+    if frequency is None:
+        return named
+    often = frequency.select(F.col("series_code").alias("indicator"), F.col("native_freq").alias("frequency"))
+    return named.join(often, "indicator", "left").withColumn("frequency", F.coalesce("frequency", F.lit("unknown")))
 
 
 def missing_share(features: DataFrame, limit: float = 20.0) -> DataFrame:

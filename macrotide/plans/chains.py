@@ -73,11 +73,13 @@ def parse_chain(items: list) -> tuple[Step, ...]:
 
 
 def parse_config(config: dict) -> dict[str, list[tuple[Step, ...]]]:
-    """Chains by series id from a configuration with series.{name}.{id, transforms}."""
+    """Chains by series id from a configuration with series.{name}.{id, transforms}, by itself or below ``regime_universe``."""
+    config = config.get("regime_universe", config)
     return {s["id"]: [parse_chain(c) for c in s.get("transforms", [])] for s in config["series"].values()}
 
 
 def frequencies(config: dict) -> dict[str, str]:
+    config = config.get("regime_universe", config)
     return {s["id"]: s.get("frequency", "daily") for s in config["series"].values()}
 
 

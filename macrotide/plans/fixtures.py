@@ -99,7 +99,8 @@ def processed(spark, sf_dir):
 
 
 def features(spark, sf_dir):
-    return transform(processed(spark, sf_dir), CHAINS).select("date", "feature", "value")
+    """The features, the hand-over to validation and regimes."""
+    return _once("features", spark, sf_dir, lambda: transform(processed(spark, sf_dir), CHAINS).select("date", "feature", "value"))
 
 
 def wide(spark, sf_dir):

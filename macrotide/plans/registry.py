@@ -82,12 +82,12 @@ for _name, _step in {"tx_ema_span": Ema(span=10), "tx_ema_halflife": Ema(halflif
 _PIVOT = ", ".join(f"{r(f"any_value(value) FILTER (feature = '{n}')")} AS \"{n}\"" for n in X.NAMES)
 add("feature_long", X.features, X.with_views(f"SELECT date, feature, {r('value')} AS value FROM feat", "feat"))
 add("feature_matrix", X.wide, X.with_views(f"SELECT date, {_PIVOT} FROM feat GROUP BY date", "feat"))
-add("drop_burn_in", lambda s, d: X.wide(s, d).dropna("any", subset=X.NAMES).select("date", *X.NAMES[:3]),
-    X.with_views(f"SELECT date, {', '.join(chr(34) + n + chr(34) for n in X.NAMES[:3])} FROM (SELECT date, {_PIVOT}, count(value) AS n FROM feat GROUP BY date) WHERE n = {len(X.NAMES)}", "feat"))
+add("drop_burn_in", lambda s, d: X.wide(s, d).dropna("any", subset=X.NAMES),
+    X.with_views(f"SELECT * EXCLUDE n FROM (SELECT date, {_PIVOT}, count(value) AS n FROM feat GROUP BY date) WHERE n = {len(X.NAMES)}", "feat"))
 add("top_features", lambda s, d: X.wide(s, d).select("date", *X.NAMES[:5]), X.with_views(f"SELECT date, {', '.join(chr(34) + n + chr(34) for n in X.NAMES[:5])} FROM (SELECT date, {_PIVOT} FROM feat GROUP BY date)", "feat"))
 _META = f"""SELECT feature, split_part(feature, '_', 1) AS indicator, substr(feature, strpos(feature, '_') + 1) AS transforms, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS std,
-  {r('100 * avg(CAST(value IS NULL AS INT))')} AS missing_pct, count(*) FILTER (abs(value) > 5) AS n_outliers FROM feat GROUP BY feature"""
-add("feature_metadata", lambda s, d: validate.feature_metadata(X.features(s, d)), X.with_views(_META, "feat"))
+  {r('100 * avg(CAST(value IS NULL AS INT))')} AS missing_pct, count(*) FILTER (abs(value) > 5) AS n_outliers, any_value(native_freq) AS frequency FROM feat JOIN freq ON series_code = split_part(feature, '_', 1) GROUP BY feature"""
+add("feature_metadata", lambda s, d: validate.feature_metadata(X.features(s, d), prepare.native_freq(X.cleaned(s, d))), X.with_views(_META, "feat", "freq"))
 add("feature_groups", lambda s, d: prepare.feature_groups(X.features(s, d).select("feature").distinct(), X.macro_raw(s, d).select("series_code", "category").distinct(), ("LIMO",)),
     X.with_views("SELECT feature, CASE WHEN split_part(feature, '_', 1) = 'LIMO' THEN 'stress' ELSE coalesce(category, 'unknown') END AS \"group\" FROM (SELECT DISTINCT feature FROM feat) LEFT JOIN (SELECT series_code, max(category) AS category FROM raw GROUP BY 1) ON split_part(feature, '_', 1) = series_code", "feat"))
 add("is_oos_split", lambda s, d: X.features(s, d).groupBy("feature", (F.col("date") <= F.lit("1999-12-31").cast("date")).alias("in_sample")).agg(F.count("value").alias("n")), X.with_views("SELECT feature, date <= DATE '1999-12-31' AS in_sample, count(value) AS n FROM feat GROUP BY 1, 2", "feat"))
@@ -103,8 +103,8 @@ add("series_details", lambda s, d: validate.series_details(X.aligned(s, d)), X.w
 _OUT = "SELECT series_code, max(s) AS std, count(*) FILTER (s > 0 AND abs(value - m) > 5 * s) AS outliers, max(s) = 0 AS zero_variance FROM clean JOIN (SELECT series_code, avg(value) AS m, stddev_samp(value) AS s FROM clean GROUP BY 1) USING (series_code) GROUP BY 1"
 add("series_outliers", lambda s, d: validate.series_outliers(X.cleaned(s, d)), X.with_views(f"SELECT series_code, {r('std')} AS std, outliers, zero_variance FROM ({_OUT})", "clean"))
 add("staleness_summary", lambda s, d: validate.staleness_summary(X.processed(s, d)), X.with_views("SELECT series_code, count(*) FILTER (is_new_data) AS new_rows, count(*) FILTER (NOT coalesce(is_new_data, FALSE)) AS carried_rows, max(days_since_update) AS max_days, count(*) FILTER (days_since_update < 0) AS negative_days FROM proc GROUP BY 1", "proc"))
-_GAPS = "SELECT date, 'missing' AS problem FROM cal ANTI JOIN (SELECT DISTINCT date FROM clean WHERE series_code = 'LIWA') c USING (date) UNION ALL SELECT date, 'unexpected' FROM (SELECT DISTINCT date FROM clean WHERE series_code = 'LIWA') c ANTI JOIN cal USING (date)"
-add("calendar_gaps", lambda s, d: validate.calendar_gaps(X.cleaned(s, d).filter("series_code = 'LIWA'"), X.calendar(s, d)), X.with_views(_GAPS, "clean", "cal"))
+_GAPS = "SELECT date, 'missing' AS problem FROM cal ANTI JOIN (SELECT DISTINCT date FROM clean) c USING (date) UNION ALL SELECT date, 'unexpected' FROM (SELECT DISTINCT date FROM clean) c ANTI JOIN cal USING (date)"
+add("calendar_gaps", lambda s, d: validate.calendar_gaps(X.cleaned(s, d), X.calendar(s, d)), X.with_views(_GAPS, "clean", "cal"))
 
 
 def _expected(s, d):
@@ -120,7 +120,7 @@ add("validation_summary", lambda s, d: validate.validation_summary(X.cleaned(s,
       UNION ALL SELECT 'duplicate_keys', 'error', coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM clean GROUP BY series_code, date)
       UNION ALL SELECT 'infinite_values', 'error', count(*) FILTER (isinf(value)) FROM clean
       UNION ALL SELECT 'series_coverage', 'warning', count(*) FROM ({_COVER})
-      UNION ALL SELECT 'calendar_gaps', 'warning', count(*) FROM ({_GAPS.replace(" WHERE series_code = 'LIWA'", "")})
+      UNION ALL SELECT 'calendar_gaps', 'warning', count(*) FROM ({_GAPS})
       UNION ALL SELECT 'outliers', 'warning', sum(outliers) FROM ({_OUT})
       UNION ALL SELECT 'zero_variance', 'warning', count(*) FILTER (zero_variance) FROM ({_OUT}))""", "clean", "cal", extra={"e": _EXPECTED}))
 add("fv_index", lambda s, d: validate.index_check(X.wide(s, d), X.calendar(s, d)),
@@ -165,8 +165,8 @@ add("regime_distributions", lambda s, d: R.regime_distributions(X.regimes(s, d),
 _RET = "SELECT * FROM (SELECT date, regime, px / lag(px) OVER (ORDER BY date) - 1 AS ret FROM px JOIN regimes USING (date)) WHERE ret IS NOT NULL"
 _DD = f"SELECT regime, min(w / pk - 1) AS max_drawdown FROM (SELECT *, max(w) OVER (PARTITION BY regime ORDER BY date) AS pk FROM (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY regime ORDER BY date)) AS w FROM ({_RET}))) GROUP BY 1"
 add("drawdown_by_regime", lambda s, d: R.drawdown_by_regime(X.px(s, d), X.regimes(s, d)), X.with_views(f"SELECT {big('regime')} AS regime, {r('max_drawdown')} AS max_drawdown FROM ({_DD})", "px", "regimes"))
-add("equity_by_regime", lambda s, d: R.equity_by_regime(X.px(s, d), X.regimes(s, d)).drop("ann_return"),
-    X.with_views(f"SELECT {big('regime')} AS regime, count(*) AS n_days, {r('avg(ret)')} AS mean_daily_ret, {r('stddev_samp(ret) * sqrt(252)')} AS ann_vol, {r('avg(ret) * 252 / nullif(stddev_samp(ret) * sqrt(252), 0)')} AS sharpe, {r('avg(CAST(ret > 0 AS INT))')} AS up_day_frac, {r('any_value(max_drawdown)')} AS max_drawdown FROM ({_RET}) JOIN ({_DD}) USING (regime) GROUP BY regime HAVING count(*) >= 2", "px", "regimes"))
+add("equity_by_regime", lambda s, d: R.equity_by_regime(X.px(s, d), X.regimes(s, d)),
+    X.with_views(f"SELECT {big('regime')} AS regime, count(*) AS n_days, {r('avg(ret)')} AS mean_daily_ret, {r('pow(1 + avg(ret), 252) - 1')} AS ann_return, {r('stddev_samp(ret) * sqrt(252)')} AS ann_vol, {r('avg(ret) * 252 / nullif(stddev_samp(ret) * sqrt(252), 0)')} AS sharpe, {r('avg(CAST(ret > 0 AS INT))')} AS up_day_frac, {r('any_value(max_drawdown)')} AS max_drawdown FROM ({_RET}) JOIN ({_DD}) USING (regime) GROUP BY regime HAVING count(*) >= 2", "px", "regimes"))
 add("ticker_regime_fill", lambda s, d: R.ticker_regime_fill(X.px(s, d), X.regimes(s, d)), X.with_views(f"SELECT date, px, {big('g')} AS regime FROM (SELECT date, px, last_value(regime IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS g FROM px LEFT JOIN regimes USING (date)) WHERE g IS NOT NULL", "px", "regimes"))
 
 # labels, scores, selection

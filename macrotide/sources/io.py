@@ -6,14 +6,14 @@ import json
 import warnings
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.hmm import Params
 
-RAW = T.StructType([T.StructField("series_code", T.StringType()), T.StructField("date", T.DateType()), T.StructField("value", T.StringType()), T.StructField("series_name", T.StringType()), T.StructField("category", T.StringType())])
-CONFIGS = {"macro_data": "data/regime_universe.yaml", "equity_data": "data/equity.yaml", "regimes": "regimes.yaml", "models": "models.yaml"}
+#: The configuration files below the folder of configurations.
+CONFIGS = {"macro_data": "data/regime_universe.yaml", "equity_data": "data/equities_universe.yaml", "regimes": "regimes/regime_config.yaml", "models": "models/model_config.yaml"}
 
 
 def load_table(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -30,10 +30,8 @@ def load_table(spark: SparkSession, path: str, **options) -> DataFrame:
         return spark.read.options(**options).json(path)
     if kind == "orc":
         return spark.read.options(**options).orc(path)
-    if kind in ("feather", "ftr"):
-        import pyarrow.feather
-
-        return spark.createDataFrame(pyarrow.feather.read_table(path))
+    if kind in ("feather", "ftr"):  # a format of single files; each is read by one task
+        return _read_feather(spark, path)
     if kind in ("xlsx", "xls"):
         import pyspark.pandas as ps
 
@@ -43,9 +41,30 @@ def load_table(spark: SparkSession, path: str, **options) -> DataFrame:
     raise ValueError(f"no reader for .{kind}")
 
 
+def _read_feather(spark: SparkSession, path: str) -> DataFrame:
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0):
+                with pa.ipc.open_file(pa.BufferReader(content.as_buffer())) as file:
+                    yield from (file.get_batch(i) for i in range(file.num_record_batches))
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    first = files.limit(1).toArrow().column(0)[0].as_buffer()
+    schema = spark.createDataFrame(pa.ipc.open_file(pa.BufferReader(first)).schema.empty_table()).schema
+    return files.mapInArrow(run, schema)
+
+
 def load_raw(spark: SparkSession, folder: str) -> DataFrame:
-    """All Parquet files below a folder as one table, by column name; unreadable files are skipped."""
-    return spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(folder)
+    """All Parquet files below a folder as one table, by column name; unreadable files are skipped.
+
+    A folder that is missing or holds no readable file is an error.
+    """
+    try:
+        return spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(folder)
+    except AnalysisException as error:
+        raise FileNotFoundError(f"no readable Parquet file below {folder}") from error
 
 
 def save(df: DataFrame, path: str, *partition_by: str) -> None:
