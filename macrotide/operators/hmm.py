@@ -65,33 +65,54 @@ def _lse(x, axis):
     return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def _products(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """m[0], m[0] m[1], ... of small matrices, each scaled to a largest entry of 1, and the logs of the scales.
+
+    By doubling: all products of 2, 4, 8, ... neighbours at once.
+    """
+    top = np.maximum(m.max((1, 2)), 1e-300)
+    m, logs, step = m / top[:, None, None], np.log(top), 1
+    while step < len(m):
+        both = m[:-step] @ m[step:]
+        top = np.maximum(both.max((1, 2)), 1e-300)
+        m = np.concatenate([m[:step], both / top[:, None, None]])
+        logs = np.concatenate([logs[:step], logs[:-step] + logs[step:] + np.log(top)])
+        step *= 2
+    return m, logs
+
+
+def _scaled(logb):
+    """Emissions over the largest of each row, and the logs of these."""
+    top = logb.max(1)
+    return np.exp(logb - top[:, None]), top
+
+
 def forward(logb, start, trans):
     """Filtered log probabilities and the log-likelihood."""
-    a, out, total = _log(trans), np.empty_like(logb), 0.0
-    now = _log(start) + logb[0]
-    for t in range(len(logb)):
-        if t:
-            now = logb[t] + _lse(out[t - 1][:, None] + a, 0)
-        norm = _lse(now, 0)
-        total += norm
-        out[t] = now - norm
-    return out, float(total)
+    b, top = _scaled(logb)
+    first = np.asarray(start, float) * b[0]
+    reach, logs = np.tile(first, (len(b), 1)), np.zeros(len(b))
+    if len(b) > 1:
+        m, logs[1:] = _products(np.asarray(trans, float)[None] * b[1:, None, :])
+        reach[1:] = first @ m
+    mass = np.maximum(reach.sum(1), 1e-300)
+    return _log(reach / mass[:, None]), float(np.log(mass[-1]) + logs[-1] + top.sum())
 
 
 def smooth(logb, start, trans):
     """Filtered and smoothed log probabilities, expected transitions, and the log-likelihood."""
     filtered, total = forward(logb, start, trans)
-    a = _log(trans)
-    back = np.zeros_like(logb)
-    moves = np.zeros_like(trans)
-    for t in range(len(logb) - 2, -1, -1):
-        after = logb[t + 1] + back[t + 1]
-        joint = filtered[t][:, None] + a + after[None, :]
-        moves += np.exp(joint - _lse(joint.ravel(), 0))
-        b = _lse(a + after[None, :], 1)
-        back[t] = b - _lse(b, 0)
-    post = filtered + back
-    return filtered, post - _lse(post, 1)[:, None], moves, total
+    b, a = _scaled(logb)[0], np.asarray(trans, float)
+    back = np.ones_like(b)
+    if len(b) > 1:  # a product from the end is the transposed one from the start of the turned order
+        m, _ = _products((a[None] * b[1:, None, :])[::-1].transpose(0, 2, 1))
+        back[:-1] = (np.ones(len(a)) @ m)[::-1]
+    back /= np.maximum(back.max(1, keepdims=True), 1e-300)
+    f = np.exp(filtered)
+    joint = f[:-1, :, None] * a[None] * (b[1:] * back[1:])[:, None, :]
+    moves = (joint / np.maximum(joint.sum((1, 2), keepdims=True), 1e-300)).sum(0) if len(b) > 1 else np.zeros_like(a)
+    post = f * back
+    return filtered, _log(post / np.maximum(post.sum(1, keepdims=True), 1e-300)), moves, total
 
 
 def viterbi(logb, start, trans):
@@ -213,11 +234,13 @@ def infer(wide: DataFrame, columns: list[str], params: Params, key: str | None =
     return rows.groupBy("entity").applyInPandas(run, "entity string, date date, filtered array<double>, smoothed array<double>, state int")
 
 
-def model_grid(wide: DataFrame, features: list[str], splits: list[str], n_features=(2,), n_regimes=(2, 3), kinds=("full", "diag"), p_stay=(0.9, 0.95), n_iter: int = 100) -> DataFrame:
+def model_grid(wide: DataFrame, features: list[str], splits: list[str], n_features=(2,), n_regimes=(2, 3), kinds=("full", "diag"), p_stay=(0.9, 0.95), n_iter: int = 1000) -> DataFrame:
     """One fitted and evaluated model per row: hyper-parameters, parameters (JSON) and metrics over all, training and later rows.
 
     Every model is a group of its own and gets the feature rows it trains on: the
-    feature table is joined to the grid, so models spread over the cluster.
+    feature table is joined to the grid, so models spread over the cluster. ``rounds`` are those
+    of the fit; ``converged`` is false if it was cut at ``n_iter``. Figures that begin with is_ are of training
+    rows, with oos_ of later ones, the others of all; each slice starts anew from the start probabilities.
     """
     spark = wide.sparkSession
     grid = [(i, *g) for i, g in enumerate((n, s, k, c, p) for n in n_features for s in splits for k in n_regimes for c in kinds for p in p_stay)]
@@ -225,7 +248,7 @@ def model_grid(wide: DataFrame, features: list[str], splits: list[str], n_featur
     schema = (
         "model_id int, n_features int, split_date string, n_regimes int, covariance_type string, p_stay double, params string, log_likelihood double, "
         "min_share double, max_share double, n_transitions long, persistence double, entropy double, stationary_valid boolean, median_duration double, max_duration double, max_offdiag double, tv20 double, "
-        "maha_min double, maha_median double, r2_mean double, oos_min_share double, oos_max_share double, oos_r2 double"
+        "maha_min double, maha_median double, r2_mean double, oos_min_share double, oos_max_share double, oos_r2 double, is_min_share double, is_max_share double, is_r2 double, rounds int, converged boolean"
     )
 
     def shares(states, k):
@@ -253,16 +276,19 @@ def model_grid(wide: DataFrame, features: list[str], splits: list[str], n_featur
         share = np.maximum(np.bincount(states, minlength=k) / len(states), 1e-12)
         changes = int((states[1:] != states[:-1]).sum())
         sane, whole = transmat_sanity(a), macro_coherence(x, post)
-        out = (None, None, None)
-        if len(later) > 2:
-            logb = log_emissions(later, means, covars)
-            out = (*shares(viterbi(logb, pi, a), k), macro_coherence(later, np.exp(smooth(logb, pi, a)[1]))["r2_mean"])
+        def slice_figures(rows):
+            if len(rows) < 3:
+                return [None, None, None]
+            logb = log_emissions(rows, means, covars)
+            return [*shares(viterbi(logb, pi, a), k), macro_coherence(rows, np.exp(smooth(logb, pi, a)[1]))["r2_mean"]]
+
         row = [int(head.model_id), int(head.n_features), head.split_date, k, head.covariance_type, float(head.p_stay), params.to_json(), history[-1], low, high, changes, len(states) / (changes + 1), float(-(share * np.log2(share)).sum())]
-        row += [sane[n] for n in ("stationary_valid", "median_duration", "max_duration", "max_offdiag", "tv_distance")] + [whole[n] for n in ("maha_min", "maha_median", "r2_mean")] + list(out)
+        row += [sane[n] for n in ("stationary_valid", "median_duration", "max_duration", "max_offdiag", "tv_distance")] + [whole[n] for n in ("maha_min", "maha_median", "r2_mean")] + slice_figures(later) + slice_figures(train) + [len(history), len(history) < n_iter]
         return pd.DataFrame([row], columns=[c.strip().split(" ")[0] for c in schema.split(",")])
 
     rows = wide.select("date", *features).dropna()
-    return rows.crossJoin(F.broadcast(models)).groupBy("model_id").applyInPandas(run, schema)  # the grid: as many rows as models
+    spread = rows.crossJoin(F.broadcast(models)).repartition(min(len(grid), 10_000), "model_id")  # a stated number, so small groups aren't merged into one task
+    return spread.groupBy("model_id").applyInPandas(run, schema)  # the grid: as many rows as models
 
 
 def adf(x: np.ndarray) -> tuple[float, float, int]:

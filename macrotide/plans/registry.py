@@ -231,6 +231,8 @@ _A5 = np.linalg.matrix_power(np.array(PARAMS.transmat), 5)
 add("hmm_forecast", lambda s, d: _inferred(s, d).select("date", (F.col("filtered")[0] * float(_A5[0, 0]) + F.col("filtered")[1] * float(_A5[1, 0])).alias("p0")), X.with_views(f"SELECT date, {r(f'f0 * {_A5[0, 0]!r} + (1 - f0) * {_A5[1, 0]!r}'.replace('np.float64', ''))} AS p0 FROM f", "z63", recursive=True, extra={"obs": _OBS, "f": _F}))
 add("hmm_smooth", lambda s, d: _inferred(s, d).select("date", F.col("smoothed")[0].alias("p0"), F.col("smoothed")[1].alias("p1")))
 _USED = ["ORD1_zscore_63", "ORD3_zscore_63"]
-add("model_grid", lambda s, d: hmm.model_grid(X.wide(s, d), _USED, ["1999-12-31"]).select("model_id", "n_regimes", "covariance_type", "p_stay", "log_likelihood", "min_share", "max_share"))
+#: All features in the order of the ranking; the grid takes its first 3, 5 and 9.
+_GRID = {"n_features": (3, 5, 9), "n_regimes": (3, 4), "p_stay": (0.9, 0.95, 0.99)}
+add("model_grid", lambda s, d: hmm.model_grid(X.wide(s, d), X.NAMES, ["1999-12-31"], **_GRID).select("model_id", "n_features", "n_regimes", "covariance_type", "p_stay", "log_likelihood", "rounds", "converged", "min_share", "max_share"))
 add("compare_models", lambda s, d: hmm.model_grid(X.wide(s, d), _USED, ["1999-12-31"], p_stay=(0.95,)).drop("params"))
 add("hmm_fit", lambda s, d: hmm.model_grid(X.wide(s, d), _USED, ["1999-12-31"], n_regimes=(2,), kinds=("full",), p_stay=(0.95,)).select("model_id", "params", "log_likelihood"))
