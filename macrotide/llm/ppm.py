@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import LOWER, row_blocks, sorted_unique, utf8, word_hashes, words
-from .storage import blocked_table, materialise, slices, text_bytes
+from .storage import blocked_table, finished, materialise, slices, text_bytes
 
 ORDER = 5
 EDGE = 0xFF
@@ -310,4 +310,5 @@ def score(docs: DataFrame, order: int = ORDER, held_out=None) -> DataFrame:
     answers = materialise(asked.groupBy("kind", "slice").applyInArrow(_answer(order, bigrams), _ANSWER))
     n_distinct, n_total = answers.filter(F.col("kind") == TOKEN).agg(F.sum("distinct"), F.sum("total")).first()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by_block.cogroup(answers.drop("distinct", "total").groupBy("g")).applyInArrow(_score(order, bits, n_total or 0, n_distinct or 0), schema)
+    scored = by_block.cogroup(answers.drop("distinct", "total").groupBy("g")).applyInArrow(_score(order, bits, n_total or 0, n_distinct or 0), schema)
+    return finished(scored, table, answers)

@@ -57,13 +57,22 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialise`` wrote and that nothing reads any more."""
+    """Delete tables that ``materialise`` or ``blocked_table`` wrote and that nothing reads any more."""
     for table in tables:
         spark = table.sparkSession
+        if hasattr(table, "table_name"):
+            spark.sql(f"DROP TABLE IF EXISTS {table.table_name}")
         path = spark._jvm.org.apache.hadoop.fs.Path(table.table_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def finished(result: DataFrame, *tables: DataFrame) -> DataFrame:
+    """The written result; the tables that it was made of are deleted."""
+    written = materialise(result)
+    discard(*tables)
+    return written
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Total UTF-8 bytes of the texts."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -96,14 +105,11 @@ def blocked_table(docs: DataFrame, total_bytes: int, block_bytes: int = 6 << 20)
     schema = "g long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     buckets = max(12, min(100_000, total_bytes // (12 << 20)))
     name = f"macrotide_{uuid.uuid4().hex}"
-    (
-        docs.mapInArrow(number, schema)
-        .write.option("path", f"{shared_dir(spark)}/macrotide/{name}")
-        .option("compression", "zstd")
-        .bucketBy(int(buckets), "g")
-        .saveAsTable(name)
-    )
-    return spark.table(name)
+    path = f"{shared_dir(spark)}/macrotide/{name}"
+    docs.mapInArrow(number, schema).write.option("path", path).option("compression", "zstd").bucketBy(int(buckets), "g").saveAsTable(name)
+    table = spark.table(name)
+    table.table_name, table.table_path = name, path
+    return table
 
 
 def slices(total_bytes: int, each: int = 8 << 20) -> int:

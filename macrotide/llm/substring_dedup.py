@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import BASE_1, row_blocks, sorted_unique, utf8, window_hashes, within_rows, word_hashes, words
-from .storage import NULL_ID, blocked_table, materialise, slices, text_bytes
+from .storage import NULL_ID, blocked_table, finished, materialise, slices, text_bytes
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -261,4 +261,4 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     windows = materialise(asked.groupBy("slice").applyInArrow(_answer_windows, _ANSWER))
     both = anchors.withColumn("kind", F.lit(0)).unionByName(windows.withColumn("kind", F.lit(1)))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return by_block.cogroup(both.groupBy("g")).applyInArrow(_apply(bits, with_text), schema)
+    return finished(by_block.cogroup(both.groupBy("g")).applyInArrow(_apply(bits, with_text), schema), table, anchors, windows)
