@@ -77,7 +77,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     """Sums the counts of equal keys."""
     keys = np.concatenate([k for k, _ in parts])
     counts = np.concatenate([c for _, c in parts])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     if not len(keys):
         return keys, counts
@@ -85,6 +85,14 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first)
 
 
+def _places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key is in the sorted known ones; asked for in order, neighbours are near each other in memory."""
+    order = np.argsort(keys)
+    found = np.empty(len(keys), np.int64)
+    found[order] = np.searchsorted(known, keys[order])
+    return found
+
+
 def _gram_slice(keys: np.ndarray, order: int, bits: int) -> np.ndarray:
     """The slice of a pair, by the last two context bytes."""
     two = keys >> np.uint64(8 * (order - 1))
@@ -278,7 +286,7 @@ def _score(order: int, bits: int, n_total: int, n_distinct: int):
             sums = {}
             for kind, (keys, rows) in ((GRAM, grams(data, offsets, order)), (TOKEN, _tokens(data, offsets))):
                 known, values = look[kind]
-                x = values[np.searchsorted(known, keys)]
+                x = values[_places(known, keys)]
                 if kind == TOKEN:
                     sums["n"] = np.diff(rows)
                     sums["known"] = np.add.reduceat((x > 0).astype(np.int64), rows[:-1])
