@@ -1,6 +1,7 @@
 """Operators on a small fixture with nulls, empty and repeated texts, ties and extra columns, against brute force."""
 
 import hashlib
+import functools
 import itertools
 import math
 import random
@@ -305,6 +306,7 @@ def test_quality(docs):
 def test_token_counts(docs):
     v = token_counts.Vocabulary(tokenizer("piece_bpe_32k.model"))
 
+    @functools.lru_cache(None)
     def brute(word):
         text, best = token_counts.MARK + word, [(0.0, 0)]
         for e in range(1, len(text) + 1):
@@ -323,8 +325,6 @@ def test_token_counts(docs):
 
     got = {r.doc_id: r for r in token_counts.counts(docs, tokenizer("piece_bpe_32k.model")).collect()}
     for d, t in DOCS:
-        if d == 13:
-            continue
         w = re.findall(WORD, t or "")
         assert (got[d].n_words, got[d].n_tokens) == (len(w), sum(map(brute, w)))
     assert token_counts.counts(empty(docs), tokenizer("piece_bpe_32k.model")).count() == 0
@@ -638,3 +638,30 @@ def test_chat_cost_against_all_repairs(spark):
     repeated = spark.createDataFrame([(1, 0, "user", "hi")] * 5 + [(1, 0, "user", None)] * 2 + [(None, None, None, None)] * 3, "conv_id long, turn long, role string, text string")
     out = chat.format_chats(repeated).collect()
     assert len(out) == 10 and sum(r.rendered.count("hi") for r in out) == 5
+
+
+def test_packing_places_repeated_rows(spark):
+    rng = random.Random(11)
+    texts = [(1, prose(rng, 30))] * 4 + [(None, prose(rng, 50))] * 3 + [(2, prose(rng, 4000)), (3, None), (4, "")]
+    rows = clashing(spark, texts)
+    out = packing.pack(rows, tokenizer()).collect()
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        ends = [0, *itertools.accumulate(n for _, n in sorted(parts))]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 4096
+    assert Counter(r.doc_id for r in out if r.piece == 0) == Counter(d for d, _ in texts)
+    longest = sorted((r.piece, r.start, r.length) for r in out if r.doc_id == 2)
+    assert all(n == 4096 for _, _, n in longest[:-1]) and [s for _, s, _ in longest] == [4096 * k for k in range(len(longest))]
+
+
+def test_ppm_without_training_and_with_repeated_rows(spark):
+    held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 10 == 0)
+    trained = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 10)
+    none = ppm.score(clashing(spark, [(held, "abc"), (held, "abc"), (None, None)])).collect()
+    assert all(r.held_out and r.train_tokens == 0 and r.base_score == 0 for r in none)
+    assert sorted(r.score for r in none) == pytest.approx(sorted([-4 * math.log10(256)] * 2 + [-math.log10(256)]))
+    twice = ppm.score(clashing(spark, [(trained, "ab ab"), (trained, "ab ab"), (held, "ab")])).collect()
+    assert len(twice) == 3 and {r.train_tokens for r in twice} == {6} and len({r.score for r in twice if r.doc_id == trained}) == 1
+    assert ppm.score(clashing(spark, [(1, "x")]).limit(0)).count() == 0
