@@ -67,11 +67,16 @@ def _anchors(w, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, window_hashes(h, ANCHOR)[at] if len(at) else np.zeros(0, np.uint64)
 
 
+def _slices_of(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(slice, from, to) of the slices that sorted keys fall into by their top bits."""
+    s = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+    return list(zip(s[first].tolist(), first.tolist(), np.append(first[1:], len(s)).tolist(), strict=True))
+
+
 def _sliced(g: int, keys: np.ndarray, bits: int, payload) -> list[tuple]:
     """Cuts sorted keys by their top bits; payload(lo, hi) gives the two binaries of a slice."""
-    top = np.arange((1 << bits) + 1, dtype=np.uint64) if bits else None
-    edges = np.searchsorted(keys, top[:-1] << np.uint64(64 - bits)).tolist() + [len(keys)]
-    return [(g, s, *payload(lo, hi)) for s, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo]
+    return [(g, s, *payload(lo, hi)) for s, lo, hi in _slices_of(keys, bits)]
 
 
 def _rows(rows: list[tuple], names: list[str], types: list) -> pa.Table:
@@ -121,19 +126,16 @@ def _answer_anchors(table: pa.Table) -> pa.Table:
     return _rows(out, *_ANSWER_TYPES)
 
 
-def _bits(answers: pa.Table, n: int, edges: np.ndarray) -> np.ndarray:
+def _bits(answers: pa.Table, keys: np.ndarray, bits: int) -> np.ndarray:
     """One flag per sorted key from the answers of its slices."""
-    flags = np.zeros(n, bool)
+    flags = np.zeros(len(keys), bool)
+    at = {s: (lo, hi) for s, lo, hi in _slices_of(keys, bits)}
     for s, b in zip(answers.column("slice").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-        lo, hi = int(edges[s]), int(edges[s + 1])
+        lo, hi = at[s]
         flags[lo:hi] = np.unpackbits(np.frombuffer(b, np.uint8), count=hi - lo)
     return flags
 
 
-def _edges(keys: np.ndarray, bits: int) -> np.ndarray:
-    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
-
-
 class _Block:
     """A block's candidate windows: the first of each kind in the block, sorted by hash, and the rest."""
 
@@ -141,7 +143,7 @@ class _Block:
         parts = list(_blocks_of(table))
         found = [_anchors(w, h) for _, _, _, w, h in parts]
         keys = sorted_unique(np.concatenate([k for _, k in found]))
-        repeated = keys[_bits(answers, len(keys), _edges(keys, bits))]
+        repeated = keys[_bits(answers, keys, bits)]
         ids = np.array([NULL_ID if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
         entries, self.where = [], []
         for p, ((lo, hi, data, w, h), (at, k)) in enumerate(zip(parts, found, strict=True)):
@@ -216,7 +218,7 @@ def _apply(bits: int, with_text: bool):
         block = _Block(table, answers.filter(pa.array(kind == 0)), bits)
         mine = np.flatnonzero(block.first)
         repeats = ~block.first
-        repeats[mine] = _bits(answers.filter(pa.array(kind == 1)), len(mine), _edges(block.entries["h1"][mine], bits))
+        repeats[mine] = _bits(answers.filter(pa.array(kind == 1)), block.entries["h1"][mine], bits)
         where = block.where[repeats]
         out = []
         for p, (_, _, data, w, h) in enumerate(block.parts):
