@@ -1,4 +1,4 @@
-"""Line dedup by MinHash of character shingles, with DataFrame functions only.
+"""Line dedup by MinHash of character shingles, on DataFrames, with shingles hashed in Arrow.
 
 A line is a part of the text between line feeds. Its normal form is lower-case, with
 each run of white space one space, trimmed. Lines with a normal form of ``min_chars``
@@ -7,8 +7,8 @@ The character shingles of a line are the ``SHINGLE`` characters from each of its
 as far as there are that many; a shorter line is one shingle.
 
 Lines are signed within the scan: each gets 24 minima of its shingle hashes, permuted by
-rotation and exclusive-or with fixed random numbers, and equal normal forms are one line from
-the first shuffle on, which moves keys and minima but no text. The minima stand in 6 rows of 4;
+multiplication with fixed odd numbers, and equal normal forms are one line from
+the first shuffle on, which moves keys and bands but no text. The minima stand in 6 rows of 4;
 the rows and the diagonals are 12 bands of 4, so two lines of similarity 0.8 share a band with a
 probability of 0.991 (0.998 at 0.85, 0.9999 at 0.9). Lines that share a band are
 verified by exact Jaccard similarity of their shingle sets (0.8 or more) and joined by
@@ -23,19 +23,25 @@ with the same lines removed. Other columns are kept as they are, whatever their
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrowtext import BASE_1, BASE_2, mix, row_blocks, sorted_unique, utf8
 from .components import similar_components
 from .storage import NULL_ID, discard, materialise
 
+#: A shingle's length is a power of two.
 MIN_CHARS, SHINGLE, THRESHOLD = 1, 8, 0.8
 #: Rows of minima, and minima in each.
 ROWS, WIDTH = 6, 4
-#: Shingles that are hashed side by side before a row of them reaches the minima.
-STEP = 8
-#: A character is as many bytes in the form that shingles are cut from, whatever it is.
-_BYTES = 4
+#: Characters that are hashed at a time, so that the steps of it stay in the cache.
+_SEGMENT = 1 << 15
+#: Bytes of lines that a worker signs at once.
+_BLOCK = 1 << 20
+
+_SIGNED = ", ".join(["k1 long", "k2 int", *(f"b{b} long" for b in range(2 * ROWS))])
 
 
 def normal_form(line: Column) -> Column:
@@ -46,40 +52,80 @@ def normal_form(line: Column) -> Column:
     return F.trim(F.when(odd, F.regexp_replace(plain, r"[ \t\x0b\f\r]+", " ")).otherwise(plain))
 
 
-def codes(norm: Column) -> Column:
-    """The characters of a line as binary of fixed width."""
-    return F.encode(norm, "UTF-32")
-
-
-def shingle_hash(code: Column, at: Column) -> Column:
-    """The hash of the shingle that starts at the character ``at`` (from 0)."""
-    return F.xxhash64(F.substr(code, _BYTES * at + 1, F.lit(_BYTES * SHINGLE)))
-
-
-def shingle_rows(coded: DataFrame, *keep: str) -> DataFrame:
-    """Of rows with chars and code: the columns of ``keep``, first (whether the line begins here) and
-    h0, h1, ..., the hashes of ``STEP`` shingles side by side; past the last shingle that one is repeated."""
-    ended = coded.withColumn("last", F.greatest(F.col("chars") - SHINGLE, F.lit(0)))
-    starts = ended.select(*keep, "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
-    hashes = [shingle_hash(F.col("code"), F.least(F.col("i") + g, F.col("last"))).alias(f"h{g}") for g in range(STEP)]
-    return starts.select(*keep, (F.col("i") == 0).alias("first"), *hashes)
-
-
-_HASHES = [f"h{g}" for g in range(STEP)]
-
-
-def _seed(i: int) -> int:
-    """Fixed random numbers from a linear congruential rule."""
-    x = 0x2545F4914F6CDD1D
-    for _ in range(i + 2):
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character of UTF-8 lines laid end to end, and the lines' offsets in characters."""
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(start) == len(data):
+        return data, offsets
+    ends = np.append(start[1:], len(data))
+    codes = data[start].astype(np.uint32)
+    for k in range(1, 4):
+        more = np.flatnonzero(ends - start > k)
+        codes[more] = codes[more] << np.uint32(8) | data[start[more] + k]
+    return codes, np.searchsorted(start, offsets)
+
+
+def _joined(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """The polynomial of the characters of left and, after them, n more."""
+    return left * np.uint64(pow(BASE_1, n, 1 << 64)) + right
+
+
+def _spread(total: np.ndarray) -> np.ndarray:
+    return (mix(total) >> np.uint64(32)).astype(np.uint32)
+
+
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One hash for each character of lines laid end to end, none empty, and the lines' offsets.
+
+    It is the hash of the shingle that starts there; where there is none, that of the line's
+    last shingle, which for a line of fewer characters is the line itself.
+    """
+    codes, rows = characters(data, offsets)
+    h = np.empty(len(codes), np.uint32)
+    padded = np.append(codes, np.zeros(SHINGLE, codes.dtype))
+    for lo in range(0, len(h), _SEGMENT):
+        hi = min(len(h), lo + _SEGMENT)
+        total, n = padded[lo : hi + SHINGLE - 1].astype(np.uint64), 1
+        while n < SHINGLE:
+            total, n = _joined(total[:-n], total[n:], n), 2 * n
+        h[lo:hi] = _spread(total)
+    first, n = rows[:-1], np.diff(rows)
+    long, short = np.flatnonzero(n >= SHINGLE), np.flatnonzero(n < SHINGLE)
+    end = rows[1:][long]
+    for k in range(1, SHINGLE):
+        h[end - k] = h[end - SHINGLE]
+    total = np.zeros(len(short), np.uint64)
+    for k in range(SHINGLE):
+        total = _joined(total, np.where(n[short] > k, padded[first[short] + k], 2**32 - 1).astype(np.uint64), 1)
+    whole = _spread(total)
+    for k in range(SHINGLE - 1):
+        held = n[short] > k
+        h[first[short][held] + k] = whole[held]
+    return h, rows
+
+
+def minima(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The least hash of each line under each permutation: ROWS * WIDTH rows of one number a line."""
+    out = np.full((ROWS * WIDTH, len(rows) - 1), 2**32 - 1, np.uint32)
+    for lo in range(0, len(h), _SEGMENT):
+        part = h[lo : lo + _SEGMENT]
+        a, b = np.searchsorted(rows, lo, "right") - 1, np.searchsorted(rows, lo + len(part), "left")
+        at = np.maximum(rows[a:b] - lo, 0)
+        for i, factor in enumerate(_FACTORS):
+            np.minimum(out[i, a:b], np.minimum.reduceat(part * factor, at), out=out[i, a:b])
+    return out
+
+
+def _factors(n: int) -> np.ndarray:
+    """Fixed odd numbers from a linear congruential rule; to multiply by one permutes all hashes."""
+    x, found = 0x2545F4914F6CDD1D, []
+    for _ in range(n):
         x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-    return x - 2**63
+        found.append(x >> 32 | 1)
+    return np.array(found, np.uint32)
 
 
-def _permuted(h: Column, i: int) -> Column:
-    by = 16 * (i % 4)
-    turned = F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by else h
-    return turned.bitwiseXOR(F.lit(_seed(i)))
+_FACTORS = _factors(ROWS * WIDTH)
 
 
 def band_members(rows: int = ROWS, width: int = WIDTH) -> list[list[int]]:
@@ -96,24 +142,47 @@ def _line_keys() -> list[Column]:
     return [F.xxhash64("norm").alias("k1"), F.hash("norm", F.lit(7)).alias("k2"), F.length("norm").alias("chars")]
 
 
+def _sign(batches):
+    for batch in batches:
+        for lo, hi in row_blocks(batch.column(2), _BLOCK):
+            part = batch.slice(lo, hi - lo)
+            least = minima(*shingle_hashes(*utf8(part.column(2)))).astype(np.uint64)
+            bands = []
+            for b, taken in enumerate(band_members()):
+                key = np.full(len(part), b, np.uint64)
+                for m in taken:
+                    key = mix(key * np.uint64(BASE_2) + least[m])
+                bands.append(pa.array(key.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *bands], ["k1", "k2", *(f"b{b}" for b in range(len(bands)))])
+
+
+def _sets(batches):
+    for batch in batches:
+        for lo, hi in row_blocks(batch.column(1), _BLOCK):
+            part = batch.slice(lo, hi - lo)
+            h, rows = shingle_hashes(*utf8(part.column(1)))
+            line = np.repeat(np.arange(len(part), dtype=np.uint64), np.diff(rows))
+            items = sorted_unique(line << np.uint64(32) | h)
+            ends = np.searchsorted(items, np.arange(len(part) + 1, dtype=np.uint64) << np.uint64(32)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(items.astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "items"])
+
+
 def signed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(k1, k2, n, bands) of the distinct lines that take part; n counts the occurrences."""
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(normal_form(F.col("line")).alias("norm"))
-    rows = shingle_rows(lines.select(*_line_keys(), codes(F.col("norm")).alias("code")), "k1", "k2", "chars")
-    counted = F.sum((F.col("first") & (F.col("chars") >= min_chars)).cast("long")).alias("n")
-    minima = [F.min(F.least(*(_permuted(F.col(h), m) for h in _HASHES))).alias(f"m{m}") for m in range(ROWS * WIDTH)]
+    taking_part = lines.select(*_line_keys(), "norm").filter(F.col("chars") >= max(min_chars, 1))
+    rows = taking_part.select("k1", "k2", "norm").mapInArrow(_sign, _SIGNED)
     # all of fixed width: summed up by hash within the scan, then once for each line
-    summed = rows.groupBy("k1", "k2").agg(counted, *minima).filter("n > 0")
-    bands = [F.xxhash64(F.lit(b), *(f"m{m}" for m in taken)) for b, taken in enumerate(band_members())]
+    bands = [f"b{b}" for b in range(len(band_members()))]
+    summed = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), *(F.min(b).alias(b) for b in bands))
     return summed.select("k1", "k2", "n", F.array(*bands).alias("bands"))
 
 
 def shingle_sets(lines: DataFrame) -> DataFrame:
-    """(node, items): the distinct shingle hashes of each node's line; lines: (node, norm), the same norm in all rows of a node."""
-    one = lines.groupBy("node").agg(F.any_value(codes(F.col("norm"))).alias("code"), F.any_value(F.length("norm")).alias("chars"))
-    # half of each hash does: the sets that are compared are small, and the table of them is not
-    each = shingle_rows(one, "node").select("node", F.array(*(F.shiftright(h, 32).cast("int") for h in _HASHES)).alias("some"))
-    return each.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("some"))).alias("items"))
+    """(node, items): the distinct shingle hashes of each node's line; lines: (node, norm), the same norm, not empty, in all rows of a node."""
+    one = lines.groupBy("node").agg(F.any_value("norm").alias("norm"))
+    return one.mapInArrow(_sets, "node long, items array<int>")
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
