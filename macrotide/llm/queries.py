@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_extract, line_dedup, minhash, packing, ppm, quality, substring_dedup, token_counts
+from . import chat, decontaminate, html_extract, line_dedup, minhash, ngram_join, packing, periodic_runs, ppm, quality, spelling, substring_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), spelling.misspelt)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(periodic_runs.planted(table(spark, sf_dir, "documents")))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
@@ -69,6 +81,9 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 #: Line feeds and the other white space of the word rule.
@@ -143,7 +158,53 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
+#: crc32 in SQL: eight shifts for each value of a byte, then one look-up for each byte of the UTF-8 text.
+_CRC = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc32(text: str) -> str:
+    octets = f"list_transform(range(CAST(length(hex(encode({text}))) // 2 AS BIGINT)), lambda i: CAST('0x' || hex(encode({text}))[2 * i + 1 : 2 * i + 2] AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_SPELLING = rf"""
+WITH RECURSIVE {_CRC},
+runs AS (
+  SELECT doc_id, w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents)
+  WHERE length(w) >= 7 GROUP BY ALL),
+hashed AS (SELECT w, n, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")} AS h FROM runs, crc),
+vocabulary AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN w[: h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS word, n FROM hashed)
+  GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2),
+less AS (SELECT word, i, word[: i] || word[i + 2 :] AS v FROM (SELECT word, unnest(range(length(word))) AS i FROM vocabulary)),
+half AS (
+  SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.word < b.word
+  UNION SELECT a.word, b.word FROM vocabulary a JOIN less b ON a.word = b.v),
+near AS (SELECT a, b FROM half UNION SELECT b, a FROM half),
+best AS (
+  SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS f, max(n) AS top
+  FROM near JOIN vocabulary ON word = b GROUP BY a),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN f END AS form, CASE WHEN top >= 10 * n THEN top END AS form_n FROM vocabulary LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS root, 0 AS k FROM formed UNION ALL SELECT p.word, f.form, k + 1 FROM path p JOIN formed f ON p.root = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(root, k) AS root FROM path GROUP BY word) USING (word)
+"""
+
+_LOWER = r"translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_JACCARD = rf"""
+WITH RECURSIVE base AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM base WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common c JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c.n >= 80 * (p.n + q.n - c.n)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_spelling_variants": _SPELLING,
+    "op13_ngram_jaccard_join": _JACCARD,
     "op8_benchmark_decontamination": _DECONTAMINATION,
     "op1_quality_rules": _QUALITY,
     "op4_substring_dedup": _SUBSTRING,
