@@ -157,7 +157,7 @@ class ZScore(_Rolling):
 
 @dataclass(frozen=True)
 class Ema(Step):
-    """Exponential mean with weights (1 - alpha)**age over all rows so far; a recursion, so it runs per series on Arrow batches."""
+    """Exponential mean with weights (1 - alpha)**age over all rows so far; missing ones age the others and add nothing. It is a recurrence, which chains compile to a scan."""
 
     span: float | None = None
     halflife: float | None = None
@@ -170,6 +170,3 @@ class Ema(Step):
 
     def alpha(self) -> float:
         return 2 / (self.span + 1) if self.span else 1 - math.exp(-math.log(2) / self.halflife)
-
-    def over_rows(self, values):
-        return values.ewm(span=self.span).mean() if self.span else values.ewm(halflife=self.halflife).mean()

@@ -1,7 +1,6 @@
-"""Gaussian hidden-Markov regimes: fitting and inference, one model or entity per task.
+"""Gaussian hidden-Markov regimes: parameters, fits, and grids of models, one model per task.
 
-The recursions run over one entity's rows in date order, so they are Arrow-batched
-grouped functions; a grid of models is as many independent groups.
+Each model of a grid is fitted and evaluated in one task over its training rows; inference along long sequences is in ``inference``.
 """
 
 from __future__ import annotations
@@ -218,22 +217,6 @@ def _ordered(pdf: pd.DataFrame, columns: list[str]):
     return pdf, pdf[columns].to_numpy(float)
 
 
-def infer(wide: DataFrame, columns: list[str], params: Params, key: str | None = None) -> DataFrame:
-    """(key, date, filtered, smoothed, state) per entity, each its own sequence; rows with a null feature go."""
-    pi, a, means, covars = params.arrays()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, x = _ordered(pdf, columns)
-        if not len(x):
-            return pd.DataFrame({"entity": [], "date": [], "filtered": [], "smoothed": [], "state": []})
-        logb = log_emissions(x, means, covars)
-        filtered, post, _, _ = smooth(logb, pi, a)
-        return pd.DataFrame({"entity": pdf["entity"], "date": pdf["date"], "filtered": list(np.exp(filtered)), "smoothed": list(np.exp(post)), "state": viterbi(logb, pi, a)})
-
-    rows = wide.select((F.col(key).cast("string") if key else F.lit("")).alias("entity"), "date", *columns)
-    return rows.groupBy("entity").applyInPandas(run, "entity string, date date, filtered array<double>, smoothed array<double>, state int")
-
-
 def model_grid(wide: DataFrame, features: list[str], splits: list[str], n_features=(2,), n_regimes=(2, 3), kinds=("full", "diag"), p_stay=(0.9, 0.95), n_iter: int = 1000) -> DataFrame:
     """One fitted and evaluated model per row: hyper-parameters, parameters (JSON) and metrics over all, training and later rows.
 
@@ -289,48 +272,3 @@ def model_grid(wide: DataFrame, features: list[str], splits: list[str], n_featur
     rows = wide.select("date", *features).dropna()
     spread = rows.crossJoin(F.broadcast(models)).repartition(min(len(grid), 10_000), "model_id")  # a stated number, so small groups aren't merged into one task
     return spread.groupBy("model_id").applyInPandas(run, schema)  # the grid: as many rows as models
-
-
-def adf(x: np.ndarray) -> tuple[float, float, int]:
-    """Augmented Dickey-Fuller with a constant, lags by AIC: statistic, MacKinnon (1994) p-value, lags."""
-    n = len(x)
-    most = min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
-    d = np.diff(x)
-
-    def design(lags: int, start: int):
-        y = d[start:]
-        cols = [x[start:-1], np.ones(len(y)), *(d[start - j : len(d) - j] for j in range(1, lags + 1))]
-        return y, np.column_stack(cols)
-
-    def ols(y, z):
-        inverse = np.linalg.pinv(z.T @ z)
-        b = inverse @ z.T @ y
-        rss = float(((y - z @ b) ** 2).sum())
-        return b, inverse, rss
-
-    best = min(range(most + 1), key=lambda k: (lambda y, z: len(y) * math.log(max(ols(y, z)[2], 1e-300) / len(y)) + 2 * z.shape[1])(*design(k, most)))
-    y, z = design(best, best)
-    b, inverse, rss = ols(y, z)
-    tau = float(b[0] / math.sqrt(max(rss / (len(y) - z.shape[1]) * inverse[0, 0], 1e-300)))
-    if tau > 2.74:
-        p = 1.0
-    elif tau < -18.83:
-        p = 0.0
-    else:
-        c = (2.1659, 1.4412, 0.038269) if tau <= -1.61 else (1.7339, 0.93202, -0.12745, -0.010368)
-        p = 0.5 * (1 + math.erf(sum(v * tau**i for i, v in enumerate(c)) / math.sqrt(2)))
-    return tau, p, best
-
-
-def adf_test(features: DataFrame, least: int = 50) -> DataFrame:
-    """(feature, n, statistic, p_value, lags, stationary) of long features with enough rows."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("date")["value"].to_numpy(float)
-        if len(x) < least:
-            return pd.DataFrame({"feature": [], "n": [], "statistic": [], "p_value": [], "lags": [], "stationary": []})
-        tau, p, lags = adf(x)
-        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "n": [len(x)], "statistic": [tau], "p_value": [p], "lags": [lags], "stationary": [p < 0.05]})
-
-    rows = features.filter(F.col("value").isNotNull() & (F.abs("value") < float("inf")))
-    return rows.groupBy("feature").applyInPandas(run, "feature string, n long, statistic double, p_value double, lags int, stationary boolean")

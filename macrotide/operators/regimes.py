@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def _all():
-    return Window.orderBy("date")  # one regime history: some thousands of days
+from ..sources.handover import discard, written
+from . import scan
 
 
 def runs(labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, regime, start, end, length) of the runs of equal labels in date order."""
-    w = Window.partitionBy(*keys).orderBy("date") if keys else _all()
-    before = F.lag("regime").over(w)
-    marked = labels.withColumn("_new", (before.isNull() | (before != F.col("regime"))).cast("int"))
-    island = marked.withColumn("_island", F.sum("_new").over(w))
-    return island.groupBy(*keys, "_island", "regime").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("length")).drop("_island")
+    """(keys, regime, start, end, length) of the runs of equal labels in date order; rows without a label form runs, too.
+
+    Runs are numbered by a scan, so neither a single history nor a hot key is one task's work.
+    """
+    numbered = scan.islands(labels.select(*keys, "date", "regime"), ["date"], "regime", keys)
+    return numbered.groupBy(*keys, "island", "regime").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("length")).drop("island")
 
 
 def regime_shares(labels: DataFrame) -> DataFrame:
@@ -118,8 +118,8 @@ def flat_metrics(nested: DataFrame, sep: str = ".") -> DataFrame:
 
 
 def transition_counts(labels: DataFrame) -> DataFrame:
-    """(regime, next, n, share)."""
-    steps = labels.withColumn("next", F.lead("regime").over(_all())).filter(F.col("next").isNotNull())
+    """(regime, next, n, share); steps from or to a missing label are left out."""
+    steps = scan.previous(labels.select("date", F.col("regime").alias("next")), ["date"], "next", "regime").dropna("any", subset=["regime", "next"])
     n = steps.groupBy("regime", "next").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("regime")))
 
@@ -143,15 +143,35 @@ def regime_distributions(labels: DataFrame, features: DataFrame) -> DataFrame:
 def joined_returns(px: DataFrame, labels: DataFrame) -> DataFrame:
     """(date, regime, ret) over the days that have both a price and a regime."""
     both = px.join(labels, "date").filter(F.col("px").isNotNull() & F.col("regime").isNotNull())
-    ret = F.col("px") / F.lag("px").over(_all()) - 1
-    return both.select("date", "regime", ret.alias("ret")).filter(F.col("ret").isNotNull())
+    rows = scan.previous(both.select("date", "regime", "px"), ["date"], "px", "_px")
+    return rows.select("date", "regime", (F.col("px") / F.when(F.col("_px") != 0, F.col("_px")) - 1).alias("ret")).filter(F.col("ret").isNotNull())
+
+
+def _drawdown() -> scan.Scan:
+    """An element is a stretch of returns: its growth, the highest and lowest wealth within it, and the lowest wealth over the peak before."""
+
+    def lift(row):
+        w = 1 + row["ret"]
+        return F.struct(w.alias("growth"), w.alias("high"), w.alias("low"), F.lit(1.0).alias("fall"))
+
+    def combine(a, b):
+        grown = a["growth"]
+        low = grown * b["low"]
+        return F.struct((grown * b["growth"]).alias("growth"), F.greatest(a["high"], grown * b["high"]).alias("high"), F.least(a["low"], low).alias("low"), F.least(a["fall"], b["fall"], low / a["high"]).alias("fall"))
+
+    return scan.Scan(lift, combine, lambda s, e: e, "struct<growth:double,high:double,low:double,fall:double>")
+
+
+def _falls(returns: DataFrame) -> DataFrame:
+    cut = scan.blocks(returns, ["date"], ["regime"])
+    result = written(scan.folded(cut, _drawdown()).select("_key.regime", (F.col("element.fall") - 1).alias("max_drawdown")))
+    discard(cut)
+    return result
 
 
 def drawdown_by_regime(px: DataFrame, labels: DataFrame) -> DataFrame:
     """(regime, max_drawdown) of the wealth along each regime's own days, starting after the first return."""
-    w = Window.partitionBy("regime").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    wealth = joined_returns(px, labels).withColumn("wealth", F.product(1 + F.col("ret")).over(w)).withColumn("peak", F.max("wealth").over(w))
-    return wealth.groupBy("regime").agg(F.min(F.col("wealth") / F.col("peak") - 1).alias("max_drawdown"))
+    return _falls(joined_returns(px, labels))
 
 
 def equity_by_regime(px: DataFrame, labels: DataFrame, freq: int = 252, rf_annual: float = 0.0) -> DataFrame:
@@ -159,7 +179,8 @@ def equity_by_regime(px: DataFrame, labels: DataFrame, freq: int = 252, rf_annua
     rf = (1 + rf_annual) ** (1 / freq) - 1
     vol = F.stddev_samp("ret") * freq**0.5
     mean = F.avg("ret")
-    figures = joined_returns(px, labels).groupBy("regime").agg(
+    returns = joined_returns(px, labels)
+    figures = returns.groupBy("regime").agg(
         F.count("*").alias("n_days"),
         mean.alias("mean_daily_ret"),
         (F.pow(1 + mean, F.lit(freq)) - 1).alias("ann_return"),
@@ -167,14 +188,13 @@ def equity_by_regime(px: DataFrame, labels: DataFrame, freq: int = 252, rf_annua
         ((mean - rf) * freq / F.when(vol != 0, vol)).alias("sharpe"),
         F.avg((F.col("ret") > 0).cast("double")).alias("up_day_frac"),
     )
-    return figures.filter("n_days >= 2").join(drawdown_by_regime(px, labels), "regime").orderBy(F.desc("ann_return"))
+    return figures.filter("n_days >= 2").join(_falls(returns), "regime").orderBy(F.desc("ann_return"))
 
 
 def ticker_regime_fill(px: DataFrame, labels: DataFrame) -> DataFrame:
     """Prices with the regime of their date, carried forward; days before the first regime go."""
     joined = px.join(labels, "date", "left")
-    filled = F.last("regime", ignorenulls=True).over(_all().rowsBetween(Window.unboundedPreceding, 0))
-    return joined.withColumn("regime", filled).filter(F.col("regime").isNotNull())
+    return scan.carried(joined, ["date"], "regime").filter(F.col("regime").isNotNull())
 
 
 def standard_scale(features: DataFrame, train_until: str | None = None) -> DataFrame:
@@ -202,9 +222,9 @@ GROUPS = ("growth", "liquidity", "inflation", "stress", "rates")
 def label_regimes(scores: DataFrame) -> DataFrame:
     """(k, label, score) from (k, group, score): best label by cross-regime z-scores; repeated labels are numbered."""
     wide = scores.groupBy("k").pivot("group", list(GROUPS)).agg(F.first("score")).na.fill(0.0, list(GROUPS))
-    every = Window.partitionBy()  # a few regimes
-    z = {g: F.when(F.stddev_pop(g).over(every) < 1e-12, 0.0).otherwise((F.col(g) - F.avg(g).over(every)) / F.stddev_pop(g).over(every)) for g in GROUPS}
-    wide = wide.select("k", *(c.alias(g) for g, c in z.items()))
+    fit = wide.agg(*(f(g).alias(f"{name}_{g}") for g in GROUPS for name, f in (("m", F.avg), ("s", F.stddev_pop))))  # one row
+    z = {g: F.when(F.col(f"s_{g}") < 1e-12, 0.0).otherwise((F.col(g) - F.col(f"m_{g}")) / F.when(F.col(f"s_{g}") != 0, F.col(f"s_{g}"))) for g in GROUPS}
+    wide = wide.crossJoin(F.broadcast(fit)).select("k", *(c.alias(g) for g, c in z.items()))
     each = F.array(*(F.struct(F.lit(-i).alias("order"), sum((w * F.col(g) for w, g in zip(ws, GROUPS, strict=True)), F.lit(0.0)).alias("score"), F.lit(name).alias("label")) for i, (name, *ws) in enumerate(LABEL_WEIGHTS)))
     best = wide.select("k", F.explode(each).alias("x")).groupBy("k").agg(F.max(F.struct("x.score", "x.order", "x.label")).alias("x"))
     nth = F.row_number().over(Window.partitionBy("x.label").orderBy("k"))
@@ -218,12 +238,20 @@ def range_score(x: Column, lo: float, hi: float, slack: float) -> Column:
     return F.when(x.isNull() | F.isnan(x), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - outside / (slack * (hi - lo))))
 
 
-def pct_rank(column: str, descending: bool = False) -> Column:
-    """Average rank over the count of non-null values; null stays null."""
-    c = F.col(column)
-    order = c.desc_nulls_last() if descending else c.asc_nulls_last()
-    ties = F.count("*").over(Window.partitionBy(column))
-    return F.when(c.isNotNull(), (F.rank().over(Window.orderBy(order)) + (ties - 1) / 2) / F.count(c).over(Window.partitionBy()))
+def pct_ranks(rows: DataFrame, key: str, ranks: dict[str, tuple[str, bool]]) -> DataFrame:
+    """rows with a column per rank: the average rank of a column (and whether it descends) over the count of its values; null stays null.
+
+    key identifies a row. Counts of equal values are summed up along the order by a scan, all columns at once, so
+    neither a column nor a common value is sorted in one task.
+    """
+    each = F.array(*(F.struct(F.lit(name).alias("rank"), (-F.col(c) if down else F.col(c)).cast("double").alias("value")) for name, (c, down) in ranks.items()))
+    long = rows.select(key, F.explode(each).alias("x")).select(key, "x.rank", "x.value").filter(F.col("value").isNotNull())
+    counts = long.groupBy("rank", "value").agg(F.count("*").alias("n"))
+    placed = scan.states(counts, ["value"], scan.running_total("n"), ["rank"])
+    totals = placed.groupBy("rank").agg(F.max("_after").alias("total"))  # a row per rank
+    share = (F.coalesce("_before", F.lit(0)) + (F.col("n") + 1) / 2) / F.col("total")
+    found = long.join(placed.join(F.broadcast(totals), "rank").select("rank", "value", share.alias("share")), ["rank", "value"])
+    return rows.join(found.groupBy(key).pivot("rank", list(ranks)).agg(F.first("share")), key, "left")
 
 
 def reject_reason(models: DataFrame) -> DataFrame:
@@ -247,8 +275,8 @@ def reject_reason(models: DataFrame) -> DataFrame:
 def select_model(models: DataFrame, top_n: int = 10) -> DataFrame:
     """The best models with their scores. A model grid is small: one row per model."""
     left = reject_reason(models).filter("reason IS NULL")
-    ranks = {"r_maha": pct_rank("maha_median"), "r_r2": pct_rank("r2_mean"), "r_off": pct_rank("max_offdiag", True), "r_trans": pct_rank("n_transitions", True), "r_ent": pct_rank("entropy"), "r_oos": pct_rank("oos_r2")}
-    r = left.withColumns(ranks)
+    ranks = {"r_maha": ("maha_median", False), "r_r2": ("r2_mean", False), "r_off": ("max_offdiag", True), "r_trans": ("n_transitions", True), "r_ent": ("entropy", False), "r_oos": ("oos_r2", False)}
+    r = pct_ranks(left, "model_id", ranks)
     macro = 0.5 * F.col("r_maha") + 0.5 * F.col("r_r2")
     transition = 0.45 * range_score(F.col("median_duration"), 20, 200, 0.75) + 0.35 * range_score(F.col("tv20"), 0.05, 0.30, 1.0) + 0.20 * F.col("r_off")
     stability = 0.45 * F.col("r_trans") + 0.35 * range_score(F.col("persistence"), 20, 200, 1.0) + 0.20 * F.col("r_ent")

@@ -116,34 +116,101 @@ def burn_in(wide: DataFrame, names: list[str], limit_years: float = 10.0) -> Dat
     return one.withColumn("years", years).withColumn("failed", F.coalesce(F.col("years") > limit_years, F.lit(True)))
 
 
+def _judged(features: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Figures of each feature with the frequency of its series; one that frequency does not name has none."""
+    often = frequency.select(F.col("series_code").alias("_series"), F.col("native_freq").alias("frequency"))
+    return validate.feature_figures(features).withColumn("_series", F.split("feature", "_")[0]).join(F.broadcast(often), "_series", "left")  # a row per series
+
+
+def _of_feature() -> list[tuple[str, Column, Column, Column]]:
+    """(check, whether it applies to a feature, its severity, whether it fails) over ``_judged``."""
+    c, enough, rate = F.col, F.col("n") >= validate.JUDGED, F.col("changes") / F.col("n")
+    warning, error = F.lit("warning"), F.lit("error")
+    rates = (("monthly", error, rate > 0.15), ("weekly", warning, (rate < 0.10) | (rate > 0.35)), ("daily", warning, rate < 0.5))
+    return [
+        ("missing", F.lit(True), error, 100 * c("nulls") / c("n_rows") > 20),
+        ("zscore", c("feature").contains("zscore") & enough, warning, (F.abs("mean") > 0.5) | (F.abs(c("std") - 1) > 0.5)),
+        ("outliers", F.lit(True), warning, c("extreme") > 0),
+        *((f"{often}_changes", (c("frequency") == often) & enough, level, failed) for often, level, failed in rates),
+        ("variance", F.lit(True), warning, c("variance") < 0.01),
+        ("jumps", enough, warning, c("jumps") / c("n") > 0.01),
+    ]
+
+
+FEATURE_REPORT = "check string, subject string, severity string, failed boolean"
+
+
 def feature_report(features: DataFrame, wide: DataFrame, names: list[str], calendar: DataFrame, frequency: DataFrame, stationarity: DataFrame | None = None) -> DataFrame:
     """(check, subject, severity, failed): all checks of features in order; severity is that of a failure.
 
     features: (date, feature, value); wide: the same, a column per feature; frequency: (series_code,
-    native_freq). stationarity, if wanted: (feature, stationary).
+    native_freq). stationarity, if wanted: (feature, stationary). One pass over the long rows, one over the wide ones for each of
+    dates and correlations.
     """
+    yes = F.lit(True)
 
-    def part(rows: DataFrame, check: str, severity, failed="failed", subject="feature") -> DataFrame:
-        fails = F.col(failed) if isinstance(failed, str) else failed
-        level = F.lit(severity) if isinstance(severity, str) else severity
-        return rows.select(F.lit(check).alias("check"), (F.col(subject) if isinstance(subject, str) else subject).alias("subject"), level.alias("severity"), F.coalesce(fails, F.lit(False)).alias("failed"))
+    def row(check: str, subject: Column, severity: Column, failed: Column) -> Column:
+        return F.struct(F.lit(check).alias("check"), subject.alias("subject"), severity.alias("severity"), F.coalesce(failed, F.lit(False)).alias("failed"))
 
-    index, every = validate.index_check(wide, calendar), F.lit("all")
+    def rows(table: DataFrame, *each: Column) -> DataFrame:
+        return table.select(F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+    every, warning, error = F.lit("all"), F.lit("warning"), F.lit("error")
+    index = validate.index_check(wide, calendar).crossJoin(burn_in(wide, names).select("failed"))  # a row each
     parts = [
-        part(index, "duplicate_dates", "error", F.col("duplicate_dates") > 0, every),
-        part(index, "calendar", "warning", F.col("missing_dates") + F.col("unexpected_dates") > 0, every),
-        part(validate.missing_share(features), "missing", "error"),
-        part(burn_in(wide, names), "burn_in", "warning", subject=every),
-        part(validate.zscore_shape(features), "zscore", "warning"),
-        part(validate.extreme_values(features), "outliers", "warning", F.col("extreme") > 0),
-        part(validate.change_rate_check(features, frequency), "change_rate", F.when(F.col("frequency") == "monthly", "error").otherwise("warning"), F.col("severity") != "info"),
-        part(validate.low_variance(features).filter("failed"), "variance", "warning"),
-        part(validate.jumps(features), "jumps", "warning"),
-        part(validate.correlations(wide, names, 0.7), "correlation", "warning", F.lit(True), F.concat_ws(" / ", "a", "b")),
+        rows(index, row("duplicate_dates", every, error, F.col("duplicate_dates") > 0), row("calendar", every, warning, F.col("missing_dates") + F.col("unexpected_dates") > 0), row("burn_in", every, warning, F.col("failed"))),
+        rows(_judged(features, frequency), *(F.when(applies, row(check, F.col("feature"), severity, failed)) for check, applies, severity, failed in _of_feature())),
+        rows(validate.correlations(wide, names, 0.7), row("correlation", F.concat_ws(" / ", "a", "b"), warning, yes)),
     ]
     if stationarity is not None:
-        parts.append(part(stationarity, "stationarity", "warning", ~F.col("stationary")))
+        parts.append(rows(stationarity, row("stationarity", F.col("feature"), warning, ~F.col("stationary"))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+#: The frequencies that series have where none are given.
+DEFAULT_FREQUENCIES = {"VIXCLS": "daily", "DGS2": "daily", "DGS10": "daily", "T10Y3M": "daily", "NFCI": "weekly", "ICSA": "weekly", "CFNAI": "monthly", "INDPRO": "monthly", "PCEPILFE": "monthly"}
+
+FEATURE_CHECKS = "place int, check string, severity string, passed boolean, problems long"
+
+
+def feature_checks(features: DataFrame, wide: DataFrame, names: list[str], calendar: DataFrame, frequency: DataFrame | None = None, stationarity: DataFrame | None = None) -> DataFrame:
+    """(place, check, severity, passed, problems): one result per check, in the order of the checks; severity is info where it passed.
+
+    Inputs are those of ``feature_report``; without frequency the ``DEFAULT_FREQUENCIES`` hold. Checks that apply to no feature have no result, nor has the burn-in
+    if no row is complete; the unit-root check has one if stationarity is given. The order of dates is that in which the rows of wide
+    stand (see ``order_violations``), extreme values count one by one, all else by feature, pair or date.
+    """
+    spark = wide.sparkSession
+    if frequency is None:
+        frequency = spark.createDataFrame(list(DEFAULT_FREQUENCIES.items()), "series_code string, native_freq string")
+    dated = dict(wide.dtypes)["date"] in ("date", "timestamp", "timestamp_ntz")
+    order = order_violations(wide.select(F.lit("").alias("series_code"), "date"))
+    index = validate.index_check(wide, calendar).crossJoin(burn_in(wide, names).select("complete_from", "failed")).crossJoin(order)  # a row each
+    sums = []
+    for check, applies, _, failed in _of_feature():
+        n = F.sum(F.when(applies, F.col("extreme"))) if check == "outliers" else F.count_if(applies & F.coalesce(failed, F.lit(False)))
+        sums.append(F.when(F.count_if(applies) > 0, n).alias(check))
+    of_features = _judged(features, frequency).agg(*sums)
+    pairs = validate.correlations(wide, names, 0.7).agg(F.count("*").alias("correlation"))
+    one = index.crossJoin(of_features).crossJoin(pairs)
+    if stationarity is not None:
+        one = one.crossJoin(stationarity.agg(F.count_if(~F.col("stationary")).alias("stationarity")))
+    results = [
+        ("index_type", "error", F.lit(int(not dated))),
+        ("duplicate_dates", "error", F.col("duplicate_dates")),
+        ("sorted_dates", "warning", F.col("violations")),
+        ("calendar", "warning", F.col("missing_dates") + F.col("unexpected_dates")),
+        ("missing", "error", F.col("missing")),
+        ("burn_in", "warning", F.when(F.col("complete_from").isNotNull(), F.col("failed").cast("long"))),
+        *((check, "error" if check == "monthly_changes" else "warning", F.col(check)) for check in ("zscore", "outliers", "monthly_changes", "weekly_changes", "daily_changes", "variance", "jumps", "correlation")),
+    ]
+    if stationarity is not None:
+        results.append(("stationarity", "warning", F.col("stationarity")))
+    each = [
+        F.struct(F.lit(i).alias("place"), F.lit(check).alias("check"), F.when(n == 0, "info").otherwise(level).alias("severity"), (n == 0).alias("passed"), n.cast("long").alias("problems"))
+        for i, (check, level, n) in enumerate(results, 1)
+    ]
+    return one.select(F.explode(F.array(*each)).alias("x")).select("x.*").filter(F.col("problems").isNotNull()).orderBy("place")

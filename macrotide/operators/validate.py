@@ -91,6 +91,28 @@ def feature_metadata(features: DataFrame, frequency: DataFrame | None = None) ->
     return named.join(often, "indicator", "left").withColumn("frequency", F.coalesce("frequency", F.lit("unknown")))
 
 
+#: Features of fewer values are not judged by their distribution, changes or jumps.
+JUDGED = 100
+
+
+def feature_figures(features: DataFrame) -> DataFrame:
+    """One row per feature: rows, values (n), nulls, mean, std, variance, extreme values, largest, changes of value (the first one is one) and jumps.
+
+    Changes and jumps are between values, missing ones left out. Every figure comes from one shuffle by feature.
+    """
+    of = Window.partitionBy("feature")
+    held = F.col("value").isNotNull()
+    earlier = of.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    rows = features.withColumn("_before", F.last("value", ignorenulls=True).over(earlier))
+    rows = rows.withColumn("_d", F.when(held, F.abs(F.col("value") - F.col("_before"))))
+    limit = F.avg("_d").over(of) + 5 * F.stddev_samp("_d").over(of)
+    rows = rows.withColumn("_far", (F.col("_d") > limit) & (F.stddev_samp("_d").over(of) > 0))
+    return rows.groupBy("feature").agg(
+        F.count("*").alias("n_rows"), F.count("value").alias("n"), F.count_if(~held).alias("nulls"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.var_samp("value").alias("variance"),
+        F.count_if(F.abs("value") > 10).alias("extreme"), F.max(F.abs("value")).alias("largest"), F.count_if(held & (F.col("_before").isNull() | (F.col("_before") != F.col("value")))).alias("changes"), F.count_if("_far").alias("jumps"),
+    )
+
+
 def missing_share(features: DataFrame, limit: float = 20.0) -> DataFrame:
     pct = 100 * F.avg(F.col("value").isNull().cast("double"))
     return features.groupBy("feature").agg(pct.alias("missing_pct")).withColumn("failed", F.col("missing_pct") > limit)
@@ -116,8 +138,9 @@ def change_rate(features: DataFrame) -> DataFrame:
 
 
 def change_rate_check(features: DataFrame, frequency: DataFrame) -> DataFrame:
-    """change_rate against what the frequency of the series allows; frequency: (series_code, native_freq)."""
-    rate = change_rate(features).withColumn("series_code", F.split("feature", "_")[0]).join(frequency, "series_code", "left")
+    """change_rate of features with ``JUDGED`` values or more against what the frequency of the series allows; frequency: (series_code, native_freq)."""
+    rate = feature_figures(features).filter(F.col("n") >= JUDGED).select("feature", (F.col("changes") / F.col("n")).alias("rate"))
+    rate = rate.withColumn("series_code", F.split("feature", "_")[0]).join(frequency, "series_code", "left")
     kind = F.coalesce("native_freq", F.lit("daily"))
     failed = F.when(kind == "monthly", F.col("rate") > 0.15).when(kind == "weekly", (F.col("rate") < 0.10) | (F.col("rate") > 0.35)).otherwise(F.col("rate") < 0.5)
     severity = F.when(~failed, "info").when(kind == "monthly", "error").otherwise("warning")
@@ -129,16 +152,20 @@ def low_variance(features: DataFrame, limit: float = 0.01) -> DataFrame:
 
 
 def jumps(features: DataFrame) -> DataFrame:
-    """(feature, jumps, share, failed): changes beyond mean + 5 deviations; failed if over 1 % of rows."""
-    d = features.withColumn("d", F.abs(F.col("value") - F.lag("value").over(_feature_window())))
-    fit = d.groupBy("feature").agg((F.avg("d") + 5 * F.stddev_samp("d")).alias("limit"), F.count("*").alias("n"))
-    return d.join(F.broadcast(fit), "feature").groupBy("feature").agg(F.count_if(F.col("d") > F.col("limit")).alias("jumps"), (F.count_if(F.col("d") > F.col("limit")) / F.max("n")).alias("share")).withColumn("failed", F.col("share") > 0.01)
+    """(feature, jumps, share, failed) of features with ``JUDGED`` values or more: changes between values beyond mean + 5 deviations; failed if over 1 % of the values."""
+    rows = feature_figures(features).filter(F.col("n") >= JUDGED)
+    return rows.select("feature", "jumps", (F.col("jumps") / F.col("n")).alias("share")).withColumn("failed", F.col("share") > 0.01)
 
 
 def correlations(wide: DataFrame, names: list[str], limit: float = 0.0) -> DataFrame:
     """(a, b, corr) of all pairs of feature columns with \\|corr\\| above the limit, from one pass."""
     pairs = list(combinations(sorted(names), 2))
-    one = wide.agg(*(F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+
+    def corr(a: str, b: str):
+        both = lambda x, y: F.when(F.col(f"`{y}`").isNotNull(), F.col(f"`{x}`"))
+        return F.try_divide(F.covar_pop(f"`{a}`", f"`{b}`"), F.stddev_pop(both(a, b)) * F.stddev_pop(both(b, a)))  # null where one does not vary
+
+    one = wide.agg(*(corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))
     return one.select(F.explode(rows).alias("x")).select("x.*").filter(F.abs("corr") > limit)
 

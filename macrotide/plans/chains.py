@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import steps as S
 from ..functions.steps import Step, series_window
+from ..operators import scan
 
 STRICT, IGNORE, WEIGHTED = "strict", "ignore", "weighted"
 
@@ -96,19 +97,30 @@ def feature_names(chains: dict[str, list[tuple[Step, ...]]]) -> list[str]:
     return names
 
 
+def _decayed(source: str, keep: float) -> scan.Scan:
+    """Sum and weight of the values so far, each row's worth ``keep`` times what it was at the next one."""
+
+    def lift(row):
+        v = row[source].cast("double")
+        return F.struct(F.lit(keep).alias("decay"), F.coalesce(v, F.lit(0.0)).alias("sum"), v.isNotNull().cast("double").alias("weight"))
+
+    def combine(a, b):
+        return F.struct((a["decay"] * b["decay"]).alias("decay"), (a["sum"] * b["decay"] + b["sum"]).alias("sum"), (a["weight"] * b["decay"] + b["weight"]).alias("weight"))
+
+    def apply(state, e):
+        return F.struct(*((F.coalesce(state[c], F.lit(0.0)) * e["decay"] + e[c]).alias(c) for c in ("sum", "weight")))
+
+    return scan.Scan(lift, combine, apply, "struct<sum:double,weight:double>")
+
+
 def _apply(df: DataFrame, source: str, target: str, step: Step, fill: bool) -> DataFrame:
     w = series_window()
     if step.native:
         df = df.withColumn(target, step.column(F.col(source), w))
     else:
-        names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{target}` double"
-
-        def run(pdf):
-            pdf = pdf.sort_values("date")
-            return pdf.assign(**{target: step.over_rows(pdf[source].astype("float64"))})
-
-        df = df.groupBy("series_code").applyInPandas(run, names)
-        df = df.withColumn(target, F.when(~F.isnan(target), F.col(target)))
+        passed = scan.states(df, ["date"], _decayed(source, 1 - step.alpha()), ["series_code"])
+        mean = F.col("_after.sum") / F.when(F.col("_after.weight") > 0, F.col("_after.weight"))
+        df = passed.withColumn(target, F.when(~F.isnan(mean), mean)).drop("_before", "_after")
     if fill:
         df = df.withColumn(target, F.last(target, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return df

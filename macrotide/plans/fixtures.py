@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import business_days, holiday_sql
 from ..functions.steps import Diff, Level, MovingAverage, PctChange, Returns, RollingStd, YoY, ZScore
 from ..operators import prepare
+from ..sources.handover import discard, written
 from .chains import feature_matrix, feature_name, transform
 
 CENTRES = (-1.2, -0.4, 0.4, 1.2)
@@ -20,6 +21,9 @@ CHAINS = {
     "ORD5": [(YoY(252),)],
     "LIWA": [(ZScore(26),)],
     "LIMO": [(Diff(1),)],
+    "LIWN": [(Diff(1),)],
+    "LIWR": [(PctChange(2),)],
+    "LIMF": [(PctChange(1),)],
 }
 NAMES = [feature_name(s, c) for s, cs in CHAINS.items() for c in cs]
 
@@ -66,17 +70,17 @@ _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _once(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    """A hand-over table, kept in the session for the queries that follow; ``release`` forgets it."""
+    """A hand-over table, written once for the queries that follow, so their plans begin at a scan; ``release`` deletes it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
-        _kept[key] = build().persist()
+        _kept[key] = written(build())
     return _kept[key]
 
 
 def release() -> None:
-    """Forgets the tables that are kept."""
+    """Deletes the tables that are kept."""
     while _kept:
-        _kept.popitem()[1].unpersist()
+        discard(_kept.popitem()[1])
 
 
 def cleaned(spark, sf_dir):
@@ -109,8 +113,12 @@ def wide(spark, sf_dir):
 
 def zscore_rows(spark, sf_dir):
     """(date, z): the strict 63-observation z-score of ORD1."""
-    rows = transform(processed(spark, sf_dir), {"ORD1": [(ZScore(63),)]})
-    return rows.filter(F.col("value").isNotNull()).select("date", F.round("value", 9).alias("z"))
+
+    def build():
+        rows = transform(processed(spark, sf_dir), {"ORD1": [(ZScore(63),)]})
+        return rows.filter(F.col("value").isNotNull()).select("date", F.round("value", 9).alias("z"))
+
+    return _once("zscore", spark, sf_dir, build)
 
 
 def regimes(spark, sf_dir):

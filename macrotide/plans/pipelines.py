@@ -41,13 +41,13 @@ def run_data_pipeline(spark: SparkSession, config: dict) -> Result:
     written, each step reads what the one before has written.
     """
     c = _universe(config)
-    io.save(io.load_raw(spark, c["data_path"]), c["raw_path"])
+    io.save(io.load_raw(spark, c["data_path"]), c["raw_path"], order=("series_code", "date"))
     ids = sorted(set(frequencies(c)))
     selected = prepare.select_series(spark.read.parquet(c["raw_path"]), ids)
     if selected.isEmpty():
         raise ValueError(f"none of the series {', '.join(ids)} is in {c['data_path']}")
     days = calendar_between(spark, str(c["lookback"]["start"]), str(c["lookback"]["end"]))
-    io.save(prepared(selected, ids, days), c["processed_path"])
+    io.save(prepared(selected, ids, days), c["processed_path"], order=("series_code", "date"))
     table = spark.read.parquet(c["processed_path"])
     expected = spark.createDataFrame([(i,) for i in ids], "series_code string")
     return Result(table, report.data_report(table, expected, days))
@@ -62,9 +62,9 @@ def run_feature_pipeline(spark: SparkSession, config: dict, metadata_path: str |
     unknown = [r[0] for r in processed.select("series_code").distinct().collect() if r[0] not in chains]  # a row per series
     if unknown:
         raise KeyError(f"series without configuration: {', '.join(sorted(unknown))}")
-    io.save(feature_matrix(transform(processed, chains), names), c["raw_features_path"])
+    io.save(feature_matrix(transform(processed, chains), names), c["raw_features_path"], order=("date",))
     wide = spark.read.parquet(c["raw_features_path"])
-    io.save(selection.ready_features(wide, names, top), c["ready_features_path"])
+    io.save(selection.ready_features(wide, names, top), c["ready_features_path"], order=("date",))
     long = wide.unpivot(["date"], names, "feature", "value")
     often = spark.createDataFrame(list(frequencies(c).items()), "series_code string, native_freq string")
     if metadata_path:

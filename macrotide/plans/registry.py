@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.steps import Diff, Ema, Level, MovingAverage, PctChange, Returns, RollingStd, YoY, ZScore
-from ..operators import hmm, prepare, validate
+from ..operators import hmm, inference, moments, prepare, transitions, validate
 from ..operators import regimes as R
 from . import fixtures as X
-from .chains import IGNORE, STRICT, transform
+from .chains import IGNORE, STRICT, feature_matrix, transform
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,8 +75,8 @@ for _name, _step in {"tx_ema_span": Ema(span=10), "tx_ema_halflife": Ema(halflif
     _ema = f"""
       SELECT a.series_code, a.date, sum(pow({_keep!r}, a.i - b.i) * b.v) / sum(pow({_keep!r}, a.i - b.i)) AS v FROM o a JOIN o b ON a.series_code = b.series_code AND b.i <= a.i GROUP BY 1, 2"""
     add(_name, lambda s, d, c=_step: transform(X.processed(s, d), [(c,)], STRICT).select("series_code", "date", "value"),
-        X.with_views(f"SELECT series_code, date, {r(f'last_value(v IGNORE NULLS) OVER {X._U}', 4)} AS value FROM (SELECT series_code, date FROM proc) LEFT JOIN ({_ema}) USING (series_code, date)", "proc",
-                     extra={"o": "SELECT series_code, date, value AS v, row_number() OVER (PARTITION BY series_code ORDER BY date) AS i FROM proc WHERE is_new_data"}), digits=4)
+        X.with_views(f"SELECT series_code, date, {r(f'last_value(v IGNORE NULLS) OVER {X._U}', 5)} AS value FROM (SELECT series_code, date FROM proc) LEFT JOIN ({_ema}) USING (series_code, date)", "proc",
+                     extra={"o": "SELECT series_code, date, value AS v, row_number() OVER (PARTITION BY series_code ORDER BY date) AS i FROM proc WHERE is_new_data"}), digits=5)
 
 # features
 _PIVOT = ", ".join(f"{r(f"any_value(value) FILTER (feature = '{n}')")} AS \"{n}\"" for n in X.NAMES)
@@ -129,17 +129,25 @@ add("fv_missing", lambda s, d: validate.missing_share(X.features(s, d)), X.with_
 add("fv_zscore", lambda s, d: validate.zscore_shape(X.features(s, d)), X.with_views(f"SELECT feature, count(*) AS n, {r('avg(value)')} AS mean, {r('stddev_samp(value)')} AS std, abs(avg(value)) > 0.5 OR abs(stddev_samp(value) - 1) > 0.5 AS failed FROM feat WHERE feature LIKE '%zscore%' AND value IS NOT NULL GROUP BY 1 HAVING count(*) >= 100", "feat"))
 add("fv_outliers", lambda s, d: validate.extreme_values(X.features(s, d)), X.with_views(f"SELECT feature, count(*) FILTER (abs(value) > 10) AS extreme, {r('max(abs(value))')} AS largest FROM feat GROUP BY 1", "feat"))
 _RATE = "SELECT feature, avg(CAST(b IS NULL OR b <> value AS INT)) AS rate FROM (SELECT feature, value, lag(value) OVER (PARTITION BY feature ORDER BY date) AS b FROM feat WHERE value IS NOT NULL) GROUP BY 1"
+_JUDGED = f"({_RATE} HAVING count(*) >= 100)"
 add("change_rate", lambda s, d: validate.change_rate(X.features(s, d)), X.with_views(f"SELECT feature, {r('rate')} AS rate FROM ({_RATE})", "feat"))
 add("fv_change_rate", lambda s, d: validate.change_rate_check(X.features(s, d), prepare.native_freq(X.cleaned(s, d))),
     X.with_views(f"""SELECT feature, native_freq AS frequency, {r('rate')} AS rate, CASE WHEN NOT (CASE native_freq WHEN 'monthly' THEN rate > 0.15 WHEN 'weekly' THEN rate < 0.10 OR rate > 0.35 ELSE rate < 0.5 END) THEN 'info' WHEN native_freq = 'monthly' THEN 'error' ELSE 'warning' END AS severity
-      FROM ({_RATE}) JOIN freq ON split_part(feature, '_', 1) = series_code""", "feat", "freq"))
+      FROM {_JUDGED} JOIN freq ON split_part(feature, '_', 1) = series_code""", "feat", "freq"))
 add("fv_variance", lambda s, d: validate.low_variance(X.features(s, d)), X.with_views(f"SELECT feature, {r('var_samp(value)')} AS variance, var_samp(value) < 0.01 AS failed FROM feat GROUP BY 1", "feat"))
-_JUMP = "SELECT feature, d, avg(d) OVER f + 5 * stddev_samp(d) OVER f AS lim FROM (SELECT feature, abs(value - lag(value) OVER (PARTITION BY feature ORDER BY date)) AS d FROM feat) WINDOW f AS (PARTITION BY feature)"
-add("fv_jumps", lambda s, d: validate.jumps(X.features(s, d)), X.with_views(f"SELECT feature, count(*) FILTER (d > lim) AS jumps, {r('count(*) FILTER (d > lim) / count(*)')} AS share, count(*) FILTER (d > lim) / count(*) > 0.01 AS failed FROM ({_JUMP}) GROUP BY 1", "feat"))
+#: Changes between the values of a feature, missing ones left out, with the limit beyond which one is a jump.
+_JUMP = """
+  SELECT feature, d, avg(d) OVER f + 5 * stddev_samp(d) OVER f AS lim
+  FROM (SELECT feature, abs(value - lag(value) OVER (PARTITION BY feature ORDER BY date)) AS d FROM feat WHERE value IS NOT NULL) WINDOW f AS (PARTITION BY feature)"""
+_JUMPS = f"SELECT feature, count(*) FILTER (d > lim) AS jumps, count(*) FILTER (d > lim) / count(*) AS share FROM ({_JUMP}) GROUP BY feature HAVING count(*) >= 100"
+add("fv_jumps", lambda s, d: validate.jumps(X.features(s, d)), X.with_views(f"SELECT feature, jumps, {r('share')} AS share, share > 0.01 AS failed FROM ({_JUMPS})", "feat"))
 add("temporal_jumps", QUERIES["fv_jumps"], ORACLE_SQL["fv_jumps"])
 _CORR = "SELECT x.feature AS a, y.feature AS b, corr(x.value, y.value) AS corr FROM feat x JOIN feat y ON x.date = y.date AND x.feature < y.feature GROUP BY 1, 2"
 add("feature_correlations", lambda s, d: validate.correlations(X.wide(s, d), X.NAMES), X.with_views(f"SELECT a, b, {r('corr')} AS corr FROM ({_CORR}) WHERE abs(corr) > 0", "feat"))
-add("adf_test", lambda s, d: hmm.adf_test(X.features(s, d)))
+add("adf_test", lambda s, d: moments.unit_roots(X.features(s, d)))
+_STEP = "SELECT feature, value - lag(value) OVER w AS dy, lag(value) OVER w AS x FROM feat WHERE value IS NOT NULL AND NOT isinf(value) WINDOW w AS (PARTITION BY feature ORDER BY date)"
+_SLOPE = f"SELECT feature, count(*) AS k, regr_slope(dy, x) AS b, regr_sxx(dy, x) AS sxx, regr_syy(dy, x) - regr_slope(dy, x) * regr_sxy(dy, x) AS rest FROM ({_STEP}) WHERE x IS NOT NULL GROUP BY feature HAVING count(*) >= 49"
+add("unit_root_no_lags", lambda s, d: moments.unit_roots(X.features(s, d), lags=0).select("feature", "n", "statistic"), X.with_views(f"SELECT feature, k + 1 AS n, {r('b / sqrt(rest / (k - 2) / sxx)')} AS statistic FROM ({_SLOPE})", "feat"))
 
 # regimes
 _ISL = "SELECT regime, min(date) AS s, max(date) AS e, count(*) AS n FROM (SELECT date, regime, sum(c) OVER (ORDER BY date) AS i FROM (SELECT date, regime, CAST(lag(regime) OVER (ORDER BY date) IS DISTINCT FROM regime AS INT) AS c FROM regimes)) GROUP BY regime, i"
@@ -170,7 +178,7 @@ add("equity_by_regime", lambda s, d: R.equity_by_regime(X.px(s, d), X.regimes(s,
 add("ticker_regime_fill", lambda s, d: R.ticker_regime_fill(X.px(s, d), X.regimes(s, d)), X.with_views(f"SELECT date, px, {big('g')} AS regime FROM (SELECT date, px, last_value(regime IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS g FROM px LEFT JOIN regimes USING (date)) WHERE g IS NOT NULL", "px", "regimes"))
 
 # labels, scores, selection
-_GROUP = "CASE split_part(feature, '_', 1) WHEN 'ORD1' THEN 'stress' WHEN 'ORD2' THEN 'growth' WHEN 'ORD3' THEN 'inflation' WHEN 'ORD4' THEN 'rates' WHEN 'ORD5' THEN 'liquidity' WHEN 'LIWA' THEN 'rates' ELSE 'growth' END"
+_GROUP = "CASE split_part(feature, '_', 1) WHEN 'ORD1' THEN 'stress' WHEN 'ORD2' THEN 'growth' WHEN 'ORD3' THEN 'inflation' WHEN 'ORD4' THEN 'rates' WHEN 'ORD5' THEN 'liquidity' WHEN 'LIWA' THEN 'rates' WHEN 'LIWN' THEN 'rates' WHEN 'LIWR' THEN 'rates' ELSE 'growth' END"
 
 
 def _scores(s, d):
@@ -204,7 +212,7 @@ def _band(x, lo, hi, slack):
 _SCORE = f"""SELECT model_id, 0.5 * {_rank('maha_median')} + 0.5 * {_rank('r2_mean')} AS a, 0.45 * {_band('median_duration', 20, 200, 0.75)} + 0.35 * {_band('tv20', 0.05, 0.30, 1.0)} + 0.20 * {_rank('max_offdiag', True)} AS b,
   0.45 * {_rank('n_transitions', True)} + 0.35 * {_band('persistence', 20, 200, 1.0)} + 0.20 * {_rank('entropy')} AS c, coalesce({_rank('oos_r2')}, 0) AS o FROM ({_REASON}) WHERE reason IS NULL"""
 add("select_model", lambda s, d: R.select_model(X.models(s, d)), X.with_views(f"SELECT model_id, {r('a')} AS macro_score, {r('b')} AS transition_score, {r('c')} AS stability_score, {r('0.4 * a + 0.3 * b + 0.25 * c + 0.05 * o')} AS final_score FROM ({_SCORE}) ORDER BY 0.4 * a + 0.3 * b + 0.25 * c + 0.05 * o DESC, model_id LIMIT 10", "models"))
-add("pct_rank_avg", lambda s, d: X.models(s, d).select("model_id", R.pct_rank("oos_r2").alias("pct")), X.with_views(f"SELECT model_id, {r(_rank('oos_r2'))} AS pct FROM models", "models"))
+add("pct_rank_avg", lambda s, d: R.pct_ranks(X.models(s, d).select("model_id", "oos_r2"), "model_id", {"pct": ("oos_r2", False)}).select("model_id", "pct"), X.with_views(f"SELECT model_id, {r(_rank('oos_r2'))} AS pct FROM models", "models"))
 add("range_score", lambda s, d: X.models(s, d).select("model_id", R.range_score(F.col("tv20"), 0.05, 0.30, 1.0).alias("score")), X.with_views(f"SELECT model_id, {r(_band('tv20', 0.05, 0.30, 1.0))} AS score FROM models", "models"))
 
 # hidden-Markov models: fixed parameters on the z-score of ORD1
@@ -221,15 +229,45 @@ _P = """SELECT t, date, CAST(d1 > d0 AS INT) AS s, CASE WHEN d1 > d0 THEN p1 ELS
   UNION ALL SELECT v.t, v.date, path.p, CASE path.p WHEN 1 THEN v.p1 ELSE v.p0 END FROM path JOIN v ON v.t = path.t - 1"""
 
 
-def _inferred(s, d):
-    return hmm.infer(X.zscore_rows(s, d), ["z"], PARAMS)
+#: What the later rows say of each regime, from the last row back.
+_G = """SELECT t, CAST(1 AS DOUBLE) AS g0, CAST(1 AS DOUBLE) AS g1 FROM obs WHERE t = (SELECT max(t) FROM obs)
+  UNION ALL SELECT t - 1, x / (x + y), y / (x + y) FROM (SELECT g.t, 0.95 * b0 * g0 + 0.05 * b1 * g1 AS x, 0.1 * b0 * g0 + 0.9 * b1 * g1 AS y FROM g JOIN obs USING (t) WHERE g.t > 1)"""
 
 
-add("hmm_filter", lambda s, d: _inferred(s, d).select("date", F.col("filtered")[0].alias("p0"), F.col("filtered")[1].alias("p1")), X.with_views(f"SELECT date, {r('f0')} AS p0, {r('1 - f0')} AS p1 FROM f", "z63", recursive=True, extra={"obs": _OBS, "f": _F}))
-add("hmm_viterbi", lambda s, d: _inferred(s, d).select("date", "state"), X.with_views(f"SELECT date, {big('s')} AS state FROM path", "z63", recursive=True, extra={"obs": _OBS, "v": _V, "path": _P}))
+def _observed(s, d):
+    return inference.observed(X.zscore_rows(s, d), ["z"], PARAMS)
+
+
+def _each(rows, column):
+    return rows.select("date", *(F.col(column)[i].alias(f"p{i}") for i in range(2)))
+
+
+add("hmm_filter", lambda s, d: _each(inference.filtered(_observed(s, d), PARAMS), "filtered"), X.with_views(f"SELECT date, {r('f0')} AS p0, {r('1 - f0')} AS p1 FROM f", "z63", recursive=True, extra={"obs": _OBS, "f": _F}))
+add("hmm_viterbi", lambda s, d: inference.best_path(_observed(s, d), PARAMS).select("date", "state"), X.with_views(f"SELECT date, {big('s')} AS state FROM path", "z63", recursive=True, extra={"obs": _OBS, "v": _V, "path": _P}))
 _A5 = np.linalg.matrix_power(np.array(PARAMS.transmat), 5)
-add("hmm_forecast", lambda s, d: _inferred(s, d).select("date", (F.col("filtered")[0] * float(_A5[0, 0]) + F.col("filtered")[1] * float(_A5[1, 0])).alias("p0")), X.with_views(f"SELECT date, {r(f'f0 * {_A5[0, 0]!r} + (1 - f0) * {_A5[1, 0]!r}'.replace('np.float64', ''))} AS p0 FROM f", "z63", recursive=True, extra={"obs": _OBS, "f": _F}))
-add("hmm_smooth", lambda s, d: _inferred(s, d).select("date", F.col("smoothed")[0].alias("p0"), F.col("smoothed")[1].alias("p1")))
+add("hmm_forecast", lambda s, d: inference.forecast(_observed(s, d), PARAMS, 5).select("date", F.col("forecast")[0].alias("p0")),
+    X.with_views(f"SELECT date, {r(f'f0 * {float(_A5[0, 0])!r} + (1 - f0) * {float(_A5[1, 0])!r}')} AS p0 FROM f", "z63", recursive=True, extra={"obs": _OBS, "f": _F}))
+_POST = r("f0 * g0 / (f0 * g0 + (1 - f0) * g1)")
+add("hmm_smooth", lambda s, d: _each(inference.smooth(_observed(s, d), PARAMS), "smoothed"), X.with_views(f"SELECT date, {_POST} AS p0, {_POST.replace('f0 * g0 /', '(1 - f0) * g1 /')} AS p1 FROM f JOIN g USING (t)", "z63", recursive=True, extra={"obs": _OBS, "f": _F, "g": _G}))
+add("hmm_score", lambda s, d: inference.score(_observed(s, d), PARAMS).select("n_rows", "log_likelihood"), X.with_views(f"SELECT count(*) AS n_rows, {r('sum(l)')} AS log_likelihood FROM f", "z63", recursive=True, extra={"obs": _OBS, "f": _F}))
+
+# separation of regimes, start of emissions, sanity of transitions
+_FULL = f"SELECT date FROM feat GROUP BY date HAVING count(value) = {len(X.NAMES)}"
+_CENTRED = f"SELECT date, feature, value - avg(value) OVER (PARTITION BY feature) AS c FROM ({_SCALED}) WHERE date IN ({_FULL})"
+add("gram_moments", lambda s, d: moments.gram(feature_matrix(R.standard_scale(X.features(s, d)), X.NAMES), sorted(X.NAMES)), X.with_views(f"SELECT x.feature AS a, y.feature AS b, count(*) AS n, {r('sum(x.c * y.c)')} AS xy, {r('sum(x.c * x.c * y.c * y.c)')} AS xxyy FROM c x JOIN c y ON x.date = y.date AND x.feature <= y.feature GROUP BY ALL", "feat", extra={"c": _CENTRED}))
+add("macro_coherence", lambda s, d: moments.macro_coherence(X.wide(s, d), X.NAMES, X.proba(s, d)))
+add("emission_start", lambda s, d: moments.emissions(X.wide(s, d), X.NAMES, 4), digits=4)
+_MOVES = "SELECT regime, nx, count(*) / sum(count(*)) OVER (PARTITION BY regime) AS a FROM (SELECT regime, lead(regime) OVER (ORDER BY date) AS nx FROM regimes) WHERE nx IS NOT NULL GROUP BY 1, 2"
+_CELLS = "SELECT i, j, coalesce(a, 0) AS a FROM range(4) x(i), range(4) y(j) LEFT JOIN moves ON regime = i AND nx = j"
+_SQUARE = "list_transform(m, lambda q: list_transform(range(1, 5), lambda j: list_sum(list_transform(range(1, 5), lambda i: q[i] * {}[i][j]))))"
+_POWERS = f"SELECT 0 AS k, a AS m FROM held UNION ALL SELECT k + 1, {_SQUARE.format('a')} FROM powers, held WHERE k < 19"
+_LIMIT = f"SELECT 0 AS k, list_transform(range(1, 5), lambda i: list_transform(range(1, 5), lambda j: a[i][j] / 2 + CASE WHEN i = j THEN 0.5 ELSE 0 END)) AS m FROM held UNION ALL SELECT k + 1, list_transform(s, lambda q: list_transform(q, lambda v: v / list_sum(q))) FROM (SELECT k, {_SQUARE.format('m')} AS s FROM lim WHERE k < 40)"
+_HELD = "SELECT list(r ORDER BY i) AS a FROM (SELECT i, list(CAST(a AS DOUBLE) ORDER BY j) AS r FROM cells GROUP BY i)"
+_SANE = f"""
+  SELECT {r('(SELECT median(1 / (1 - a)) FROM cells WHERE i = j)')} AS median_duration, {r('(SELECT max(1 / (1 - a)) FROM cells WHERE i = j)')} AS max_duration, {r('(SELECT avg(a) FROM cells WHERE i = j)')} AS mean_self,
+         {r('(SELECT max(a) FROM cells WHERE i <> j)')} AS max_offdiag, {r('(SELECT avg(h) FROM (SELECT -sum(greatest(a, 1e-12) * log2(greatest(a, 1e-12))) AS h FROM cells GROUP BY i))')} AS row_entropy, TRUE AS stationary_valid,
+         {r('(SELECT avg(list_sum(list_transform(range(1, 5), lambda j: abs(p[j] - pi[j]))) / 2) FROM (SELECT unnest(m) AS p FROM powers WHERE k = 19), (SELECT m[1] AS pi FROM lim WHERE k = 40))')} AS tv_20"""
+add("transition_sanity", lambda s, d: transitions.sanity(transitions.matrices(R.transition_counts(X.regimes(s, d)))), X.with_views(_SANE, "regimes", recursive=True, extra={"moves": _MOVES, "cells": _CELLS, "held": _HELD, "powers": _POWERS, "lim": _LIMIT}))
 _USED = ["ORD1_zscore_63", "ORD3_zscore_63"]
 #: All features in the order of the ranking; the grid takes its first 3, 5 and 9.
 _GRID = {"n_features": (3, 5, 9), "n_regimes": (3, 4), "p_stay": (0.9, 0.95, 0.99)}

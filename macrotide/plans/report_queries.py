@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import prepare, report, selection, validate
+from ..operators import moments, prepare, report, selection, validate
 from ..operators import regimes as R
 from . import fixtures as X
-from .registry import _CORR, _EXPECTED, _GROUP, _JUMP, _MEANS, _OUT, _RATE, ORACLE_SQL, QUERIES, _expected, add, big, r
+from .registry import _CORR, _EXPECTED, _FULL, _GROUP, _JUMPS, _MEANS, _OUT, _RATE, ORACLE_SQL, QUERIES, _expected, add, big, r
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -67,7 +67,6 @@ def _counts(failed: str, of: str) -> str:
 add("data_validation", _data_report, X.with_views(_DATA_REPORT, "proc", "cal", extra=_DATA_VIEWS))
 add("data_validation_counts", lambda s, d: report.report_counts(_data_report(s, d)), X.with_views(_counts("NOT passed", _DATA_REPORT), "proc", "cal", extra=_DATA_VIEWS))
 
-_FULL = f"SELECT date FROM feat GROUP BY date HAVING count(value) = {len(X.NAMES)}"
 _BURN = f"SELECT a AS first_date, b AS complete_from, date_diff('day', a, b) / 365.25 AS years, coalesce(date_diff('day', a, b) / 365.25 > 10, TRUE) AS failed FROM (SELECT min(date) AS a, (SELECT min(date) FROM ({_FULL})) AS b FROM feat)"
 add("burn_in", lambda s, d: report.burn_in(X.wide(s, d), X.NAMES), X.with_views(f"SELECT first_date, complete_from, {r('years')} AS years, failed FROM ({_BURN})", "feat"))
 
@@ -76,31 +75,61 @@ def _feature_sql(check: str, subject: str, severity: str, failed: str, of: str)
     return f"""SELECT '{check}' AS "check", {subject} AS subject, {severity} AS severity, coalesce({failed}, FALSE) AS failed FROM {of}"""
 
 
+_FIGURES = """
+  SELECT feature, count(*) AS n_rows, count(value) AS n, avg(value) AS m, stddev_samp(value) AS s, var_samp(value) AS v, count(*) FILTER (abs(value) > 10) AS extreme, any_value(native_freq) AS often
+  FROM feat LEFT JOIN freq ON split_part(feature, '_', 1) = series_code GROUP BY feature"""
+#: (check, which features it applies to, severity, when it fails) over the figures of each feature.
+_OF_FEATURE = [
+    ("missing", "TRUE", "error", "100.0 * (n_rows - n) / n_rows > 20"),
+    ("zscore", "feature LIKE '%zscore%' AND n >= 100", "warning", "abs(m) > 0.5 OR abs(s - 1) > 0.5"),
+    ("outliers", "TRUE", "warning", "extreme > 0"),
+    ("monthly_changes", "often = 'monthly' AND n >= 100", "error", "rate > 0.15"),
+    ("weekly_changes", "often = 'weekly' AND n >= 100", "warning", "rate < 0.10 OR rate > 0.35"),
+    ("daily_changes", "often = 'daily' AND n >= 100", "warning", "rate < 0.5"),
+    ("variance", "TRUE", "warning", "v < 0.01"),
+    ("jumps", "n >= 100", "warning", "share > 0.01"),
+]
+_FEATURE_VIEWS = {"figures": f"SELECT * FROM ({_FIGURES}) LEFT JOIN ({_RATE}) USING (feature) LEFT JOIN ({_JUMPS}) USING (feature)", "pairs": f"SELECT a, b FROM ({_CORR}) WHERE abs(corr) > 0.7", "burn": _BURN}
+_GAP = "(SELECT (SELECT count(*) FROM cal ANTI JOIN feat USING (date)) + (SELECT count(DISTINCT date) FROM feat ANTI JOIN cal USING (date)) AS n)"
 _FEATURE_REPORT = " UNION ALL ".join(
     [
         _feature_sql("duplicate_dates", "'all'", "'error'", "FALSE", "(SELECT 1)"),
-        _feature_sql("calendar", "'all'", "'warning'", "n > 0", "(SELECT (SELECT count(*) FROM cal ANTI JOIN feat USING (date)) + (SELECT count(DISTINCT date) FROM feat ANTI JOIN cal USING (date)) AS n)"),
-        _feature_sql("missing", "feature", "'error'", "m > 20", "(SELECT feature, 100 * avg(CAST(value IS NULL AS INT)) AS m FROM feat GROUP BY 1)"),
-        _feature_sql("burn_in", "'all'", "'warning'", "failed", f"({_BURN})"),
-        _feature_sql("zscore", "feature", "'warning'", "abs(m) > 0.5 OR abs(s - 1) > 0.5", "(SELECT feature, avg(value) AS m, stddev_samp(value) AS s FROM feat WHERE feature LIKE '%zscore%' AND value IS NOT NULL GROUP BY 1 HAVING count(*) >= 100)"),
-        _feature_sql("outliers", "feature", "'warning'", "n > 0", "(SELECT feature, count(*) FILTER (abs(value) > 10) AS n FROM feat GROUP BY 1)"),
-        _feature_sql(
-            "change_rate", "feature", "CASE native_freq WHEN 'monthly' THEN 'error' ELSE 'warning' END",
-            "CASE native_freq WHEN 'monthly' THEN rate > 0.15 WHEN 'weekly' THEN rate < 0.10 OR rate > 0.35 ELSE rate < 0.5 END", f"({_RATE}) JOIN freq ON split_part(feature, '_', 1) = series_code",
-        ),
-        _feature_sql("variance", "feature", "'warning'", "TRUE", "(SELECT feature FROM feat GROUP BY 1 HAVING var_samp(value) < 0.01)"),
-        _feature_sql("jumps", "feature", "'warning'", "share > 0.01", f"(SELECT feature, count(*) FILTER (d > lim) / count(d) AS share FROM ({_JUMP}) GROUP BY 1)"),
-        _feature_sql("correlation", "a || ' / ' || b", "'warning'", "TRUE", f"({_CORR}) WHERE abs(corr) > 0.7"),
+        _feature_sql("calendar", "'all'", "'warning'", "n > 0", _GAP),
+        _feature_sql("burn_in", "'all'", "'warning'", "failed", "burn"),
+        *(_feature_sql(check, "feature", f"'{severity}'", failed, f"figures WHERE {applies}") for check, applies, severity, failed in _OF_FEATURE),
+        _feature_sql("correlation", "a || ' / ' || b", "'warning'", "TRUE", "pairs"),
     ]
-)
+)
+_RESULTS = [
+    ("index_type", "error", "0", "(SELECT 1)"), ("duplicate_dates", "error", "0", "(SELECT 1)"), ("sorted_dates", "warning", "0", "(SELECT 1)"), ("calendar", "warning", "n", _GAP), ("missing", "error", None, None),
+    ("burn_in", "warning", "CAST(failed AS INT)", "burn WHERE complete_from IS NOT NULL"), *((c, s, None, None) for c, _, s, _ in _OF_FEATURE if c != "missing"), ("correlation", "warning", "count(*)", "pairs"),
+]
+
+
+def _result_sql(place: int, check: str, severity: str, n: str | None, of: str | None) -> str:
+    if n is None:
+        _, applies, _, failed = next(x for x in _OF_FEATURE if x[0] == check)
+        n, of = ("sum(extreme)" if check == "outliers" else f"count(*) FILTER ({failed})"), f"figures WHERE {applies} HAVING count(*) > 0"
+    return f"""SELECT CAST({place} AS BIGINT) AS place, '{check}' AS "check", CASE WHEN n = 0 THEN 'info' ELSE '{severity}' END AS severity, n = 0 AS passed, CAST(n AS BIGINT) AS problems FROM (SELECT {n} AS n FROM {of})"""
+
+
+_FEATURE_CHECKS = " UNION ALL ".join(_result_sql(i, *x) for i, x in enumerate(_RESULTS, 1))
 
 
 def _feature_report(s, d):
     return report.feature_report(X.features(s, d), X.wide(s, d), X.NAMES, X.calendar(s, d), prepare.native_freq(X.cleaned(s, d)))
 
 
-add("feature_validation", _feature_report, X.with_views(_FEATURE_REPORT, "feat", "cal", "freq"))
-add("feature_validation_counts", lambda s, d: report.report_counts(_feature_report(s, d)), X.with_views(_counts("failed", _FEATURE_REPORT), "feat", "cal", "freq"))
+def _feature_checks(s, d, *more):
+    wide = X.wide(s, d).repartitionByRange("date").sortWithinPartitions("date")
+    return report.feature_checks(X.features(s, d), wide, X.NAMES, X.calendar(s, d), prepare.native_freq(X.cleaned(s, d)), *more)
+
+
+_SEEN = ("feat", "cal", "freq")
+add("feature_validation", _feature_report, X.with_views(_FEATURE_REPORT, *_SEEN, extra=_FEATURE_VIEWS))
+add("feature_validation_counts", lambda s, d: report.report_counts(_feature_report(s, d)), X.with_views(_counts("failed", _FEATURE_REPORT), *_SEEN, extra=_FEATURE_VIEWS))
+add("feature_checks", _feature_checks, X.with_views(_FEATURE_CHECKS, *_SEEN, extra=_FEATURE_VIEWS))
+add("feature_checks_with_unit_roots", lambda s, d: _feature_checks(s, d, moments.unit_roots(X.features(s, d))))
 
 add("strong_correlations", lambda s, d: validate.correlations(X.wide(s, d), X.NAMES, 0.7), X.with_views(f"SELECT a, b, {r('corr')} AS corr FROM ({_CORR}) WHERE abs(corr) > 0.7", "feat"))
 add("top_correlations", lambda s, d: selection.highest(validate.correlations(X.wide(s, d), X.NAMES).select("a", "b", F.abs("corr").alias("strength")), "strength", 5, "a", "b"),

@@ -56,26 +56,82 @@ def _read_feather(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
-def load_raw(spark: SparkSession, folder: str) -> DataFrame:
-    """All Parquet files below a folder as one table, by column name; unreadable files are skipped.
+def raw_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, bytes, rows, rows_read, readable) of each Parquet file below a folder.
 
-    A folder that is missing or holds no readable file is an error.
+    ``rows`` is what a file's footer states (null if it has none), ``rows_read`` what comes out when every column is read. A file is
+    readable if both agree, so one that breaks off in the middle is not. Only files that yield no row at all are
+    opened as a whole, to tell those that hold none from those without a footer.
     """
+    listed = _listed(spark, folder).select("path", F.col("length").alias("bytes"))
+    nothing = F.lit(None).cast("long")
     try:
-        return spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(folder)
-    except AnalysisException as error:
-        raise FileNotFoundError(f"no readable Parquet file below {folder}") from error
+        every = _lenient(spark, folder)
+    except AnalysisException:
+        return listed.select("path", "bytes", nothing.alias("rows"), nothing.alias("rows_read"), F.lit(False).alias("readable"))
+    path = F.col("_metadata.file_path").alias("path")
+    # without a column of its own a scan takes its row counts from the footers; a hash of all columns makes it read them
+    stated = every.groupBy(path).agg(F.count("*").alias("rows"))
+    read = every.groupBy(path).agg(F.when(F.bit_xor(F.hash(*(F.col(f"`{c}`") for c in every.columns))).isNotNull(), F.count("*")).alias("rows_read"))
+    silent = _listed(spark, folder).join(stated, "path", "left_anti").select("path", "content").mapInArrow(_without_rows, "path string, none long")
+    both = listed.join(stated, "path", "left").join(read, "path", "left").join(silent, "path", "left")
+    rows = both.select("path", "bytes", *(F.coalesce(c, "none").alias(c) for c in ("rows", "rows_read")))
+    return rows.withColumn("readable", F.coalesce(F.col("rows") == F.col("rows_read"), F.lit(False)))
+
+
+def _without_rows(batches):
+    """0 for files whose footer says so, null for those that have none."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for batch in batches:
+        none = []
+        for content in batch.column(1):
+            try:
+                none.append(0 if pq.read_metadata(pa.BufferReader(content.as_buffer())).num_rows == 0 else None)
+            except (pa.ArrowException, OSError):
+                none.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(none, pa.int64())], ["path", "none"])
+
+
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder)
+
 
+def _lenient(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(folder)
 
-def save(df: DataFrame, path: str, *partition_by: str) -> None:
+
+def load_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """All Parquet files below a folder as one table, by column name.
+
+    Unreadable files are named in a warning and left out whole (see ``raw_manifest``), never half read. A folder that is
+    missing or holds no readable file is an error.
+    """
+    try:
+        files = raw_manifest(spark, folder).select("path", "readable").collect()  # names of files, which the reader lists anyway
+    except AnalysisException as error:
+        raise FileNotFoundError(f"no folder {folder}") from error
+    good, bad = [r["path"] for r in files if r["readable"]], sorted(r["path"] for r in files if not r["readable"])
+    if bad:
+        warnings.warn(f"unreadable files left out: {', '.join(bad)}", stacklevel=2)
+    if not good:
+        raise FileNotFoundError(f"no readable Parquet file below {folder}")
+    return spark.read.option("mergeSchema", True).parquet(*good)
+
+
+def save(df: DataFrame, path: str, *partition_by: str, order: tuple[str, ...] = ()) -> None:
+    """Writes Parquet; with an order, files hold ranges of it and rows are sorted within them, file by file."""
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def save_features(wide: DataFrame, raw_path: str, ready_path: str, names: list[str], top: list[str]) -> None:
     """All features as they are, and the top ones of the rows in which no feature is missing."""
-    save(wide, raw_path)
-    save(wide.dropna("any", subset=names).select("date", *top), ready_path)
+    save(wide, raw_path, order=("date",))
+    save(wide.dropna("any", subset=names).select("date", *top), ready_path, order=("date",))
 
 
 def save_metadata(metadata: DataFrame, path: str) -> None:

@@ -66,7 +66,7 @@ def test_pipelines_from_configuration(spark, universe, tmp_path):
     assert all(m["frequency"] in ("daily", "weekly", "monthly") for m in meta.values()) and len(meta) == len(ready.columns) - 1
     counts = report.report_counts(out.report).first()
     assert counts.passed + counts.warnings + counts.errors == out.report.count() > 30
-    assert {r.check for r in out.report.collect()} >= {"missing", "burn_in", "zscore", "outliers", "change_rate", "jumps", "calendar", "duplicate_dates"}
+    assert {r.check for r in out.report.collect()} >= {"missing", "burn_in", "zscore", "outliers", "daily_changes", "weekly_changes", "jumps", "calendar", "duplicate_dates"}
 
 
 def test_pipelines_refuse_bad_configurations(spark, universe, tmp_path):
@@ -151,6 +151,31 @@ def test_sources(spark, tmp_path):
         io.save_model(None, f"{tmp_path}/m.json")
 
 
+def test_unreadable_files_are_named_and_left_out(spark, tmp_path):
+    rows = [(i, f"text {i * 7919 % 1000}" * 20) for i in range(40_000)]
+    for name in ("good", "short", "broken"):
+        spark.createDataFrame(rows, "k long, s string").coalesce(1).write.option("compression", "none").option("parquet.block.size", "262144").option("parquet.page.size", "65536").parquet(f"{tmp_path}/raw/{name}")
+    files = {name: next((tmp_path / "raw" / name).glob("*.parquet")) for name in ("good", "short", "broken")}
+    for f in (tmp_path / "raw").glob("*/.*.crc"):
+        f.unlink()
+    content = files["short"].read_bytes()
+    files["short"].write_bytes(content[: len(content) // 2])  # no footer
+    content = bytearray(files["broken"].read_bytes())
+    half = len(content) // 2
+    content[half : half + 200_000] = bytes(200_000)  # a whole footer, but pages that can't be read
+    files["broken"].write_bytes(bytes(content))
+    (tmp_path / "raw" / "note.txt").write_text("no table")
+    found = {r.path.split("/")[-2]: r for r in io.raw_manifest(spark, f"{tmp_path}/raw").collect()}
+    assert {k: r.readable for k, r in found.items()} == {"good": True, "short": False, "broken": False}
+    assert (found["good"].rows, found["good"].rows_read, found["short"].rows, found["broken"].rows) == (40_000, 40_000, None, 40_000)
+    with pytest.warns(UserWarning, match="broken.*short"):
+        table = io.load_raw(spark, f"{tmp_path}/raw")
+    assert table.count() == 40_000 and sorted(table.columns) == ["k", "s"]
+    io.save(table, f"{tmp_path}/sorted", order=("k",))
+    keys = [r.k for r in spark.read.parquet(f"{tmp_path}/sorted").select("k", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).orderBy("f", "i").collect()]
+    assert keys == sorted(keys)
+
+
 def test_entry_survives_a_broken_subpackage(monkeypatch):
     import builtins
     import sys
@@ -173,7 +198,7 @@ def test_entry_survives_a_broken_subpackage(monkeypatch):
 
 
 def test_online_filter_equals_the_filter_of_whole_sequences(spark, tmp_path):
-    from macrotide.operators import hmm
+    from macrotide.operators import hmm, inference
     from macrotide.streaming.online_filter import online_filter
 
     params = hmm.Params([0.6, 0.4], [[0.9, 0.1], [0.2, 0.8]], [[-1.0], [1.0]], [[[1.0]], [[2.0]]])
@@ -188,6 +213,7 @@ def test_online_filter_equals_the_filter_of_whole_sequences(spark, tmp_path):
         )
         query.awaitTermination(120)
     got = {(r.entity, r.date.date()): r.filtered for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    whole = hmm.infer(spark.createDataFrame(rows, schema).withColumn("date", F.to_date("date")), ["x"], params, "entity")
+    wide = spark.createDataFrame(rows, schema).withColumn("date", F.to_date("date"))
+    whole = inference.filtered(inference.observed(wide, ["x"], params, "entity"), params)
     want = {(r.entity, r.date): r.filtered for r in whole.collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
