@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.handover import discard, written
 from . import scan
+from .scan import once
 from .hmm import Params
 
 _TINY = 1e-300
@@ -59,11 +60,6 @@ def _scaled(m: Column, log: Column) -> Column:
     return F.struct(F.transform(m, lambda x: x / top).alias("m"), (log + F.ln(top)).alias("log"))
 
 
-def _once(value: Column, use) -> Column:
-    """use(value), with value evaluated a single time (a lambda over an array of one)."""
-    return _at(F.transform(F.array(value), use), 0)
-
-
 class Forward:
     """Sums over paths: filtered probabilities and the likelihood."""
 
@@ -78,9 +74,9 @@ class Forward:
         def of(logb):
             top = F.array_max(logb)
             b = F.transform(logb, lambda x: F.exp(x - top))
-            return _once(b, lambda e: _scaled(F.array(*(_at(e, j) * float(self.rows[i, j]) for i in range(self.k + 1) for j in range(self.k))), top))
+            return once(b, lambda e: _scaled(F.array(*(_at(e, j) * float(self.rows[i, j]) for i in range(self.k + 1) for j in range(self.k))), top))
 
-        return _once(row["logb"], of)
+        return once(row["logb"], of)
 
     def _product(self, left, rows: range, b: Column) -> list[Column]:
         """Rows of left (functions of a regime) times the regimes' rows of b."""
@@ -89,13 +85,13 @@ class Forward:
 
     def combine(self, a: Column, b: Column) -> Column:
         product = F.array(*self._product(lambda r, i: _at(a["m"], r * self.k + i), range(self.k + 1), b))
-        return _once(product, lambda m: _scaled(m, a["log"] + b["log"]))
+        return once(product, lambda m: _scaled(m, a["log"] + b["log"]))
 
     def apply(self, state: Column, element: Column) -> Column:
         first = F.slice(element["m"], 1, self.k)
         later = F.array(*self._product(lambda _, i: _at(state["m"], i), range(1), element))
         log = F.coalesce(state["log"], F.lit(0.0)) + element["log"]
-        return _once(F.when(state.isNull(), first).otherwise(later), lambda m: _scaled(m, log))
+        return once(F.when(state.isNull(), first).otherwise(later), lambda m: _scaled(m, log))
 
     def scan(self) -> scan.Scan:
         return scan.Scan(self.lift, self.combine, self.apply, self.state)
@@ -111,7 +107,7 @@ class Backward(Forward):
         k = self.k
         # what stands at the end of the sequence says nothing: ones
         later = [_sum([_at(element["m"], (i + 1) * k + j) * F.coalesce(_at(state["m"], j), F.lit(1.0)) for j in range(k)]) for i in range(k)]
-        return _once(F.array(*later), lambda m: _scaled(m, F.lit(0.0)))
+        return once(F.array(*later), lambda m: _scaled(m, F.lit(0.0)))
 
 
 def _shares(m: Column) -> Column:
@@ -128,14 +124,16 @@ def smooth(rows: DataFrame, params: Params) -> DataFrame:
     ahead, back = Forward(params).scan(), Backward(params).scan()
     cut = scan.blocks(rows, ["date"], ["entity"])
     found = scan.elements(cut, ahead)
-    ends = scan.borders(found, back, backwards=True).withColumnRenamed("border", "end")
-    both = cut.join(scan.borders(found, ahead), list(scan.AT)).join(ends, list(scan.AT))
-    forward = F.transform(scan.walk(F.col("_rows"), F.col("border"), ahead), lambda x: F.struct(x["row"].alias("row"), ahead.apply(x["state"], ahead.lift(x["row"])).alias("state")))
-    backward = F.reverse(scan.walk(F.reverse("_rows"), F.col("end"), back))
-    each = both.select(F.explode(F.zip_with(forward, backward, lambda f, b: F.struct(f["row"].alias("row"), f["state"].alias("f"), b["state"].alias("b")))).alias("x"))
-    post = F.when(F.col("x.b").isNull(), F.col("x.f.m")).otherwise(F.zip_with(F.col("x.f.m"), F.col("x.b.m"), lambda f, b: f * b))
-    result = written(each.select("x.row.entity", "x.row.date", _shares(F.col("x.f.m")).alias("filtered"), _shares(post).alias("smoothed")))
-    discard(cut, found)
+    starts, ends = scan.borders(found, ahead), scan.borders(found, back, backwards=True)
+    both = cut.join(starts, list(scan.AT)).join(ends.withColumnRenamed("border", "end"), list(scan.AT))
+    both = scan.walked(both, F.col("_rows"), ahead.lift, F.col("border"), ahead, "ahead")
+    both = scan.walked(both, F.reverse("_rows"), back.lift, F.col("end"), back, "back")
+    met = F.zip_with("ahead", F.reverse("back"), lambda f, b: F.struct(f["item"].alias("row"), f["after"]["m"].alias("f"), b["before"]["m"].alias("b")))
+    fields = lambda x: {"entity": x["row"]["entity"], "date": x["row"]["date"], "f": x["f"], "b": x["b"]}
+    each = both.select(scan.spread(met, fields))
+    post = F.when(F.col("b").isNull(), F.col("f")).otherwise(F.zip_with("f", "b", lambda f, b: f * b))
+    result = written(each.select("entity", "date", _shares(F.col("f")).alias("filtered"), _shares(post).alias("smoothed")))
+    discard(cut, found, starts, ends)
     return result
 
 
@@ -201,28 +199,32 @@ def best_path(rows: DataFrame, params: Params) -> DataFrame:
     ahead = best.scan()
     cut = scan.blocks(rows, ["date"], ["entity"])
     found = scan.elements(cut, ahead)
-    placed = written(cut.join(scan.borders(found, ahead), list(scan.AT)))
+    starts = scan.borders(found, ahead)
+    steps = written(scan.walked(cut.join(starts, list(scan.AT)), F.col("_rows"), ahead.lift, F.col("border"), ahead, "steps").select(*scan.AT, "steps"))
     # the regimes before each row, by the regime at it; before the first row of a sequence there is none
-    steps = F.transform(scan.walk(F.col("_rows"), F.col("border"), ahead), lambda x: best.origins(x["state"]))
+    origins = F.transform("steps", lambda x: F.struct(x["item"]["entity"].alias("entity"), x["item"]["date"].alias("date"), best.origins(x["before"]).alias("from")))
+    end = once(F.element_at("steps", -1)["after"], lambda after: (F.array_position(after, F.array_max(after)) - 1).cast("int"))
+    placed = written(steps.select(*scan.AT, origins.alias("steps"), end.alias("best")))
     same = F.array(*(F.lit(i) for i in range(best.k)))
-    through = F.aggregate(steps, same, lambda acc, step: _composed(acc, step))
-    end = F.aggregate(F.col("_rows"), F.col("border"), lambda s, row: ahead.apply(s, ahead.lift(row)))
-    maps = written(placed.select(*scan.AT, F.struct(through.alias("to"), (F.array_position(end, F.array_max(end)) - 1).cast("int").alias("best")).alias("element")))
+    through = F.aggregate("steps", same, lambda acc, step: _composed(acc, step["from"]))
+    maps = written(placed.select(*scan.AT, F.struct(through.alias("to"), "best").alias("element")))
     # from the end: a null state is the end of the sequence, where the best regime stands
     back = scan.Scan(lambda x: x, lambda a, b: F.struct(_composed(b["to"], a["to"]).alias("to"), a["best"].alias("best")), lambda s, e: F.get(e["to"], F.coalesce(s, e["best"])), "int")
-    ends = scan.borders(maps, back, backwards=True).withColumnRenamed("border", "above")
-    whole = placed.join(ends, list(scan.AT)).join(maps, list(scan.AT)).withColumn("last", F.coalesce("above", "element.best"))
+    ends = scan.borders(maps, back, backwards=True)
     # backwards through the block: the regime at each row, beginning with its last one
-    walked = F.aggregate(
-        F.reverse(steps), F.struct(F.col("last").alias("now"), F.array().cast("array<int>").alias("out")),
-        lambda acc, step: F.struct(F.get(step, acc["now"]).alias("now"), F.array_append(acc["out"], acc["now"]).alias("out")), lambda acc: acc["out"],
-    )
-    path = whole.select(F.explode(F.zip_with(F.col("_rows"), F.reverse(walked), lambda row, s: F.struct(row.alias("row"), s.alias("state")))).alias("x"))
-    result = written(path.select("x.row.entity", "x.row.date", "x.state"))
-    discard(cut, found, placed, maps)
+    above = scan.Scan(lambda x: x["from"], _composed_back, lambda s, e: F.get(e, s), "int")
+    whole = placed.join(ends, list(scan.AT)).withColumn("last", F.coalesce("border", "best"))
+    fields = lambda x: {"entity": x["item"]["entity"], "date": x["item"]["date"], "state": x["before"]}
+    path = scan.walked(whole, F.reverse("steps"), above.lift, F.col("last"), above, "path")
+    result = written(path.select(scan.spread("path", fields)))
+    discard(cut, found, starts, steps, placed, maps, ends)
     return result
 
 
+def _composed_back(later: Column, earlier: Column) -> Column:
+    return _composed(earlier, later)
+
+
 def _composed(outer: Column, inner: Column) -> Column:
     """The map that looks its argument up in ``inner``, and the result in ``outer``."""
     return F.transform(inner, lambda j: F.get(outer, j))

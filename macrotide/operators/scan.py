@@ -22,6 +22,8 @@ from ..sources.handover import discard, written
 
 #: Rows of a block; a power of two.
 BLOCK = 1 << 10
+#: Items that are walked in one go.
+CHUNK = 1 << 4
 #: Rows of one range have ids that agree above this bit.
 _RANGE = 33
 
@@ -62,23 +64,50 @@ def _kinds(df: DataFrame, *columns: Column) -> list[str]:
 
 
 def _folded(items: Column, kind: str, lift, combine) -> Column:
-    return F.aggregate(items, null(kind), lambda acc, x: F.when(acc.isNull(), lift(x)).otherwise(combine(acc, lift(x))))
+    step = lambda acc: lambda e: F.when(acc.isNull(), e).otherwise(combine(acc, e))
+    return F.aggregate(items, null(kind), lambda acc, x: once(lift(x), step(acc)))
 
 
-def _states(items: Column, start: Column, kind: str, element, apply) -> Column:
-    """The state before each item, in their order."""
-    zero = F.struct(start.alias("now"), F.array().cast(f"array<{kind}>").alias("out"))
-    step = lambda acc, x: F.struct(apply(acc["now"], element(x)).alias("now"), F.array_append(acc["out"], acc["now"]).alias("out"))
-    return F.aggregate(items, zero, step, lambda acc: acc["out"])
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated a single time (a lambda over an array of one)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _paired(rows: Column, states: Column) -> Column:
-    return F.zip_with(rows, states, lambda row, state: F.struct(row.alias("row"), state.alias("state")))
+def _steps(elements: Column, start: Column, scan: Scan) -> Column:
+    """(before, after) of each element, in order. The result so far is copied at each step, so elements are few."""
+    zero = F.struct(start.alias("now"), F.array().cast(f"array<struct<before:{scan.state},after:{scan.state}>>").alias("out"))
 
+    def step(acc, x):
+        return once(scan.apply(acc["now"], x), lambda after: F.struct(after.alias("now"), F.array_append(acc["out"], F.struct(acc["now"].alias("before"), after.alias("after"))).alias("out")))
 
-def walk(rows: Column, border: Column, scan: Scan) -> Column:
-    """Each row of a block with the state before it, as an array of (row, state)."""
-    return _paired(rows, _states(rows, border, scan.state, scan.lift, scan.apply))
+    return F.aggregate(elements, zero, step, lambda acc: acc["out"])
+
+
+def walked(df: DataFrame, items: Column, lift: Callable[[Column], Column], start: Column, scan: Scan, target: str) -> DataFrame:
+    """df with the array (item, before, after) of an array's items: the state at each one without it and with it, from a start.
+
+    Items are lifted once and taken ``CHUNK`` at a time: the chunks' elements give the state at each chunk, then each chunk finishes.
+    Intermediate arrays are variables of lambdas, since columns of a projection may be evaluated anew for each use.
+    """
+    kind = _kinds(df, lift(F.get(items, F.lit(0))))[0]
+
+    def in_chunks(elements):
+        nth = F.sequence(F.lit(0), ((F.size(elements) - 1) / CHUNK).cast("int"))
+        return once(F.transform(nth, lambda i: F.slice(elements, i * CHUNK + 1, CHUNK)), walk)
+
+    def walk(chunks):
+        starts = _steps(F.transform(chunks, lambda chunk: _folded(chunk, kind, lambda x: x, scan.combine)), start, scan)
+        return F.flatten(F.zip_with(chunks, starts, lambda chunk, at: _steps(chunk, at["before"], scan)))
+
+    def with_items(steps):
+        return F.zip_with(items, steps, lambda item, at: F.struct(item.alias("item"), at["before"].alias("before"), at["after"].alias("after")))
+
+    return df.withColumn(target, once(once(F.transform(items, lift), in_chunks), with_items))
+
+
+def spread(items: str | Column, fields: Callable[[Column], dict[str, Column]]) -> Column:
+    """A row per item, with these columns: were fields taken after an explosion, the items might be made anew for each."""
+    return F.inline(F.transform(items, lambda x: F.struct(*(c.alias(name) for name, c in fields(x).items()))))
 
 
 def _turned(items: Column, backwards: bool) -> Column:
@@ -92,17 +121,21 @@ def elements(cut: DataFrame, scan: Scan, backwards: bool = False) -> DataFrame:
 
 
 def borders(found: DataFrame, scan: Scan, backwards: bool = False) -> DataFrame:
-    """(_key, _range, _block, border): the state before each block (backwards: after it), from the blocks' elements."""
+    """A written table (_key, _range, _block, border): the state before each block (backwards: after it), from the blocks' elements.
+
+    It is written so that its size is known when it is joined back: a small one is broadcast, and the rows stay where they are."""
     kind, same = found.schema["element"].dataType.simpleString(), lambda x: x["element"]
-    ranges = found.groupBy("_key", "_range").agg(F.sort_array(F.collect_list(F.struct("_block", "element"))).alias("parts"))
-    ranges = ranges.withColumn("parts", _turned(F.col("parts"), backwards)).withColumn("element", _folded(F.col("parts"), kind, same, scan.combine))
+
+    def parts(of: DataFrame, name: str, *by: str) -> DataFrame:
+        held = of.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(name).alias("at"), "element"))).alias("parts"))
+        return held.withColumn("parts", _turned(F.col("parts"), backwards))
+
+    ranges = parts(found, "_block", "_key", "_range")
     # one entry per range: no more than shuffle partitions
-    whole = ranges.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_range", "element"))).alias("parts")).withColumn("parts", _turned(F.col("parts"), backwards))
-    starts = whole.select("_key", F.explode(_paired(F.transform("parts", lambda x: x["_range"]), _states(F.col("parts"), null(scan.state), scan.state, same, scan.apply))).alias("x"))
-    starts = starts.select("_key", F.col("x.row").alias("_range"), F.col("x.state").alias("start"))
-    each = ranges.join(starts, ["_key", "_range"]).withColumn("before", _states(F.col("parts"), F.col("start"), scan.state, same, scan.apply))
-    each = each.select("_key", "_range", F.explode(_paired(F.transform("parts", lambda x: x["_block"]), F.col("before"))).alias("x"))
-    return each.select("_key", "_range", F.col("x.row").alias("_block"), F.col("x.state").alias("border"))
+    whole = parts(ranges.select("_key", "_range", _folded(F.col("parts"), kind, same, scan.combine).alias("element")), "_range", "_key")
+    starts = walked(whole, F.col("parts"), same, null(scan.state), scan, "steps").select("_key", spread("steps", lambda x: {"_range": x["item"]["at"], "start": x["before"]}))
+    each = walked(ranges.join(starts, ["_key", "_range"]), F.col("parts"), same, F.col("start"), scan, "steps")
+    return written(each.select("_key", "_range", spread("steps", lambda x: {"_block": x["item"]["at"], "border": x["before"]})))
 
 
 def folded(cut: DataFrame, scan: Scan) -> DataFrame:
@@ -118,11 +151,11 @@ def states(df: DataFrame, order: Sequence[str], scan: Scan, keys: Sequence[str]
     """df with the columns _before and _after: the state at each row without the row and with it. A written table."""
     cut = blocks(df, order, keys)
     found = elements(cut, scan, backwards)
-    items = _turned(F.col("_rows"), backwards)
-    walked = cut.join(borders(found, scan, backwards), list(AT)).select(F.explode(walk(items, F.col("border"), scan)).alias("x"))
-    row = F.col("x.row")
-    result = written(walked.select("x.row.*", F.col("x.state").alias("_before"), scan.apply(F.col("x.state"), scan.lift(row)).alias("_after")))
-    discard(cut, found)
+    edges = borders(found, scan, backwards)
+    each = walked(cut.join(edges, list(AT)), _turned(F.col("_rows"), backwards), scan.lift, F.col("border"), scan, "steps")
+    row = lambda x: {c: x["item"][c] for c in df.columns} | {"_before": x["before"], "_after": x["after"]}
+    result = written(each.select(spread("steps", row)))
+    discard(cut, found, edges)
     return result
 
 
