@@ -1,14 +1,19 @@
 """Main-text extraction from HTML by tree scoring.
 
 Each page is parsed to a tree without needing valid markup. Scripts, styles, controls and
-hidden parts are never part of an article. Menus, page headers and footers, asides, forms and parts whose
-class, id or role says so are left out too, unless they wrap the article: a part that holds an
-``article`` or ``main`` element, or (for forms and class words) most of the page's text, stays, and only the
-parts within it are judged. Every paragraph passes points for its length and its commas to its
+hidden parts are never part of an article. Menus, page headers and footers and asides (by their element), and
+reader comments, adverts and notices of consent (by class or id), are left out unless they hold an ``article`` or
+``main`` element that is not itself a comment; nothing brings them back, whatever their size. Other words of
+a class, id or role, and forms, lower a score: points passed out of such a part, and scores of containers in
+it, count ``DOUBTED`` times, and if an ``article`` or ``main`` scores, no container in such a part outside it is chosen. A name is in doubt only if all its words are words
+of that kind or neutral ones, so 'share-buttons' is and 'share-price-table' is not. Parts in doubt that do not hold the best container are then left out.
+
+Every paragraph passes points for its length and its commas to its
 ancestors, halved at each level; a container's points are discounted by its link density. The
-best container and those of its siblings that score or read like it are kept, inside ``article``
+best container and those of its siblings that score or read like it are kept (with the same class, a fifth of its
+score is enough), inside ``article``
 and ``main`` as elsewhere; within ``article`` all siblings up to it are kept but those that are mostly links.
-Nothing within the best container is left out.
+Nothing else within the best container is left out.
 
 A tag with an unclosed quote ends at the next ``>``. Null and empty pages give an empty text. Each row is
 treated by itself, so repeated rows give repeated results. Other columns are ignored.
@@ -40,10 +45,16 @@ BLOCK = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption address header center details summary hr figure figcaption nav footer aside form fieldset".split()
 )
 PARAGRAPH = frozenset("p pre td blockquote li dd div section".split())
-#: Words of a class or id that mark a part as not of the article.
-UNLIKELY = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist cookie cookies consent disqus foot footer gdpr header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination paywall popup promo related reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget".split()
+#: Words of a class or id of parts that never belong to an article.
+FOREIGN = frozenset("ad ads advert adverts advertisement advertisements advertising comment comments commentlist consent cookie cookies disqus gdpr respond sponsor sponsored sponsors".split())
+#: Words that make a part doubtful.
+UNLIKELY = FOREIGN | frozenset(
+    "banner breadcrumb breadcrumbs byline foot footer header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination paywall popup promo related reply share sharing sidebar signup social subscribe subscription tags toolbar widget".split()
 )
+#: Words beside them that say nothing about a part.
+NEUTRAL = frozenset("area articles bar block bottom box btn button buttons center col column container form group icons inner is item items js left links list main modules module outer page panel popular post posts primary right row secondary section site slot stories text top unit us wrap wrapper".split())
+#: What scores within a doubtful part count.
+DOUBTED = 0.25
 UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: A start tag of the key closes an open element of the value, up to the nearest element of the stop set.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -51,14 +62,14 @@ STOPS = frozenset("ul ol dl table article section main div body html td th".spli
 
 
 #: Class words about other parts of the page: 'no-sidebar', 'has-comments', 'with_banner'.
-_NOT_ITSELF = re.compile(r"\b(?:no|not|has|have|with|without|hide|show|is)[-_][a-z]+")
+_NOT_ITSELF = re.compile(r"\b(?:no|not|has|have|with|without|hide|show)[-_][a-z]+")
 
 
 class Node:
-    __slots__ = ("children", "doubt", "dropped", "holds", "links", "parent", "points", "size", "tag")
+    __slots__ = ("children", "doubt", "dropped", "holds", "links", "name", "parent", "points", "size", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, doubt: str = ""):
-        self.tag, self.parent, self.doubt = tag, parent, doubt
+    def __init__(self, tag: str, parent: Node | None, doubt: str = "", name: str = ""):
+        self.tag, self.parent, self.doubt, self.name = tag, parent, doubt, name
         self.dropped, self.holds = doubt == "never", False
         self.children: list[Node | str] = []
         self.points = 0.0
@@ -69,24 +80,37 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(source)}
 
 
-def _doubt(tag: str, source: str, in_article: bool) -> str:
-    """Why a part may not be of the article: "never", "aside" (by its element) or "name" (by its class, id or role, or a form)."""
+def _named(names: str) -> set[str]:
+    """The words in doubt of a class or id: of each name of which all words are in doubt or neutral."""
+    found = set()
+    for name in _NOT_ITSELF.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()).split():
+        words = [w for w in re.findall(r"[a-z]+", name) if len(w) > 1]
+        if all(w in UNLIKELY or w in NEUTRAL for w in words):
+            found.update(w for w in words if w in UNLIKELY)
+    return found
+
+
+def _doubt(tag: str, a: dict[str, str], in_article: bool) -> str:
+    """Why a part may not be of the article: "never", "aside" (by its element), "foreign" or "name" (by its class, id or role, or a form)."""
     if tag in CUT:
         return "never"
     if tag in ASIDE and not (tag == "header" and in_article):
         return "aside"
-    if tag in FORMS:
-        return "name"
-    if not source or tag in ("html", "body", "article", "main"):
-        return ""
-    a = _attributes(source)
+    if not a or tag in ("html", "body"):
+        return "name" if tag in FORMS else ""
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return "never"
-    if a.get("role", "").lower() in UNLIKELY_ROLES:
+    names = f"{a.get('class', '')} {a.get('id', '')}"
+    if tag in ("article", "main"):
+        return "foreign" if re.search(r"\bcomment\b", names.lower().replace("_", "-")) else ""
+    found = _named(names)
+    if found & FOREIGN:
+        return "foreign"
+    if tag in FORMS or a.get("role", "").lower() in UNLIKELY_ROLES:
         return "name"
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()
-    found = set(re.findall(r"[a-z]+", _NOT_ITSELF.sub(" ", names))) & UNLIKELY
-    return "name" if found and not (in_article and found <= {"header", "tags"}) else ""
+    if in_article and (found <= {"header", "tags"} or tag in ("p", "pre", "blockquote")):
+        return ""
+    return "name" if found else ""
 
 
 def parse(source: str) -> Node:
@@ -140,7 +164,8 @@ def parse(source: str) -> Node:
             if tag == "hr":
                 node.children.append(Node("hr", node))
             continue
-        child = Node(tag, node, _doubt(tag, m[3], articles > 0))
+        a = _attributes(m[3]) if m[3] else {}
+        child = Node(tag, node, _doubt(tag, a, articles > 0), a.get("class", ""))
         node.children.append(child)
         articles += tag in ("article", "main")
         node = child
@@ -162,7 +187,7 @@ def _measure(root: Node) -> list[Node]:
     order = _order(root)
     for node in reversed(order):
         node.size += sum(len(_SPACE.sub(" ", c)) for c in node.children if isinstance(c, str) and not c.isspace())
-        node.holds |= node.tag in ("article", "main")
+        node.holds |= node.tag in ("article", "main") and not node.doubt
         if node.tag == "a":
             node.links = node.size
         if node.parent is not None:
@@ -172,23 +197,44 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def _settle(root: Node) -> list[Node]:
-    """Leaves out the parts in doubt that do not wrap the article, then measures what is left."""
-    total = _measure(root)[0].size
-    queue = [root]
-    while queue:
-        node = queue.pop()
-        wraps = node.holds or node.doubt == "name" and node.size > 3 * (total - node.size)
-        if node.doubt and not wraps:
-            node.dropped = True
-        elif not node.dropped:
-            queue += [c for c in node.children if isinstance(c, Node)]
+def _again(root: Node) -> list[Node]:
+    """Measures what is left, from nothing."""
     order = _order(root)
     for node in order:
         node.size = node.links = 0
+        node.points = 0.0
     return _measure(root)
 
 
+def _settle(root: Node) -> list[Node]:
+    """Leaves out foreign parts, and parts in doubt that do not hold the best container; then measures what is left."""
+    for node in _measure(root):
+        node.dropped |= node.doubt in ("aside", "foreign") and not node.holds
+    nodes = _again(root)
+    doubted = [x for x in nodes if x.doubt]
+    if not doubted:
+        return nodes
+    final = _score(nodes)
+    doubts: dict[int, int] = {}
+    sure: set[int] = set()
+    for node in nodes:  # parents come first
+        up = node.parent
+        named = node.tag in ("article", "main")
+        doubts[id(node)] = 0 if named else bool(node.doubt) + (doubts[id(up)] if up is not None else 0)
+        if named or up is not None and id(up) in sure:
+            sure.add(id(node))
+    if any(final.get(x, 0) > 0 for x in sure):
+        final = {k: v for k, v in final.items() if k in sure or not doubts[k]}
+    best = max((x for x in nodes if id(x) in final), key=lambda x: final[id(x)] * DOUBTED ** doubts[id(x)], default=None)
+    around = set()
+    while best is not None:
+        around.add(id(best))
+        best = best.parent
+    for node in doubted:
+        node.dropped = not node.holds and id(node) not in around
+    return _again(root)
+
+
 def _density(node: Node) -> float:
     return node.links / node.size if node.size else 0.0
 
@@ -223,7 +269,7 @@ def _score(nodes: list[Node]) -> dict[int, float]:
             if not up.points:
                 scored.append(up)
             up.points += points * share
-            up, share = up.parent, share / 2
+            up, share = up.parent, share / 2 * (DOUBTED if up.doubt and not up.holds else 1)
     return {id(x): x.points * (1 - _density(x)) for x in scored}
 
 
@@ -259,6 +305,11 @@ def _like(x: Node, final: dict[int, float], limit: float) -> bool:
     return final.get(id(x), 0) >= limit or reads or title
 
 
+def _alike(x: Node, best: Node, final: dict[int, float]) -> bool:
+    """Columns of one kind: the same element and class, and a fifth of the score."""
+    return bool(x.name) and (x.tag, x.name) == (best.tag, best.name) and final.get(id(x), 0) >= 0.2 * final[id(best)]
+
+
 def _blocks(node: Node, out: list[list[str]]) -> None:
     """Appends the text of a kept part, a new list for each block; of a whole page, parts that are mostly links are left out."""
     page = node.parent is None

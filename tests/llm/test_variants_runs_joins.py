@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from macrotide.llm import ngram_join, periodic_runs, spelling
+from macrotide.llm import html_extract, ngram_join, periodic_runs, spelling
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -251,3 +251,58 @@ def test_prefixes_hold_enough_matches():
         assert sum(max(a[t], b[t]) <= min(p, q) for t in a.keys() & b.keys()) >= min(p, q)
         checked += p > 1 and q > 1
     assert checked > 50
+
+
+# main text of pages with parts in doubt
+
+LONG = "One long sentence of the article, with commas, here. " * 4
+OTHER = "A reader writes, at some length, about this and that, again. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article>" + f"<p>{LONG}</p>" * 2 + "</article><div class='comments'>" + f"<p>{OTHER}</p>" * 12 + "</div>", [LONG] * 2),
+        ("<article>" + f"<p>{LONG}</p>" * 2 + "<section id='comments'>" + f"<p>{OTHER}</p>" * 12 + "</section></article>", [LONG] * 2),
+        ("<article class='post'>" + f"<p>{LONG}</p>" + "</article><div id='comments'>" + f"<article class='comment-body' id='comment-5'><p>{OTHER}</p></article>" * 5 + "</div>", [LONG]),
+        (f"<div class='cookie-notice'><p>{OTHER * 9}</p></div><article><p>{LONG}</p></article>", [LONG]),
+        (f"<div class='cookie-notice'><p>{OTHER * 9}</p></div><div><p>{LONG}</p></div>", [LONG]),
+        (f"<div class='cookie-notice'><p>{OTHER}</p></div>", []),
+        (f"<article><p>{LONG}</p><p class='widget'>{OTHER}</p><div class='login-guide'><p>{OTHER}</p></div><div class='share-price-table'><p>{OTHER}</p></div></article>", [LONG] + [OTHER] * 3),
+        (f"<article><p>{LONG}</p><div class='is-sponsored'><p>{OTHER}</p></div><div class='share-buttons'><p>Share this</p></div><p class='ad'>Buy, buy, buy.</p></article>", [LONG]),
+        (f"<div><div class='col'><p>{LONG}</p></div><div class='col'><p>{LONG}</p><p>Short.</p></div></div>", [LONG, LONG, "Short."]),
+        (f"<div><div class='col'><p>{LONG[:90]}</p></div><div class='col'><p>{LONG}</p><p>{LONG}</p></div></div>", [LONG[:90], LONG, LONG]),
+        (f"<form id='aspnetForm'><div><p>{LONG}</p><p>{LONG}</p></div></form><div><p>Some words, at the foot.</p></div>", [LONG] * 2),
+        (f"<div class='sidebar'><p>{OTHER}</p><p>{OTHER}</p></div><div><p>{LONG}</p></div>", [LONG]),
+        (f"<div class='sidebar'><p>{OTHER}</p></div>", [OTHER]),
+        (f"<div class='widget'><main><p>{LONG}</p></main></div><div class='banner'><p>{OTHER * 8}</p></div>", [LONG]),
+    ],
+)
+def test_parts_in_doubt(page, want):
+    got = html_extract.main_text(f"<html><body>{page}</body></html>")
+    assert got.split("\n") == ([x.strip() for x in want] or [""])
+
+
+def test_generated_pages_with_comments_notices_and_menus(spark):
+    """Pages of known parts: what is expected is what was put into the article, whatever surrounds it, however long."""
+    rng = random.Random(12)
+    words = lambda k, n: ", ".join(f"{k}{rng.randrange(999)} and some more words" for _ in range(n)) + "."
+    paragraph = lambda k: f"<p>{words(k, rng.randint(4, 9))}</p>"
+    rows, want = [], {}
+    for page in range(60):
+        article = [paragraph("text") for _ in range(rng.randint(2, 7))]
+        noise = lambda names: "".join(f"<div class='{rng.choice(names)}'>{''.join(paragraph('noise') for _ in range(rng.randint(1, 20)))}</div>" for _ in range(rng.randint(0, 2)))
+        inside = [*article]
+        for part in ("<div class='share-buttons'><a href=x>Share</a></div>", "<div class='advert'><p>Buy, now, please, all of you.</p></div>", "<form><p>Sign, up, here.</p></form>"):
+            if rng.random() < 0.5:
+                inside.insert(rng.randrange(1, len(inside) + 1), part)
+        tag = rng.choice(["article", "main"])
+        menu = "<nav><ul>" + "<li><a href=x>entry</a></li>" * rng.randint(1, 30) + "</ul></nav>"
+        html = f"<body>{menu}{noise(['cookie-notice', 'ad-banner', 'consent'])}<{tag}><h1>Title {page}</h1>{''.join(inside)}{noise(['comments', 'comment-list'])}</{tag}>{noise(['comments', 'sidebar', 'related-posts', 'newsletter'])}<footer>Foot, of, page.</footer></body>"
+        rows += [(page, "u", html, "x")] * (1 + (page == 3))
+        want[page] = "\n".join([f"Title {page}", *(a[3:-4] for a in article)])
+    long = "<article>" + "<p>A sentence, of a very long page.</p>" * 20_000 + "</article>" + "<div class='comments'>" + f"<p>{OTHER}</p>" * 20_000 + "</div>"
+    rows.append((99, "u", long, "x"))
+    want[99] = "\n".join(["A sentence, of a very long page."] * 20_000)
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert len(got) == len(rows) and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
