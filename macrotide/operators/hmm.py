@@ -217,6 +217,21 @@ def _ordered(pdf: pd.DataFrame, columns: list[str]):
     return pdf, pdf[columns].to_numpy(float)
 
 
+def fit_rows(wide: DataFrame, features: list[str], k: int, kind: str = "full", p_stay: float = 0.95, n_iter: int = 1000) -> Params:
+    """The parameters of one model fitted to the complete rows, in date order; the fit is one task, which holds the rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, x = _ordered(pdf, features)
+        means, covars = emission_init(x, k, diag=kind == "diag")
+        start = Params([1 / k] * k, transition_init(k, p_stay).tolist(), means.tolist(), covars.tolist())
+        return pd.DataFrame({"params": [fit(x, start, n_iter, diag=kind == "diag")[0].to_json()]})
+
+    found = wide.select("date", *features).dropna().groupBy(F.lit("").alias("model")).applyInPandas(run, "params string").first()
+    if found is None:
+        raise ValueError("no row without a missing feature")
+    return Params.from_json(found["params"])
+
+
 def model_grid(wide: DataFrame, features: list[str], splits: list[str], n_features=(2,), n_regimes=(2, 3), kinds=("full", "diag"), p_stay=(0.9, 0.95), n_iter: int = 1000) -> DataFrame:
     """One fitted and evaluated model per row: hyper-parameters, parameters (JSON) and metrics over all, training and later rows.
 

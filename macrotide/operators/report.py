@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import validate
@@ -11,20 +11,43 @@ from .validate import REQUIRED
 DATA_REPORT = "section string, check string, severity string, passed boolean, value double"
 
 
-def _rows(one: DataFrame, checks: list[tuple[str, str, str, Column, Column]]) -> DataFrame:
-    """The checks (section, check, severity, passed, value) of a table of one row, as rows."""
+def _rows(one: DataFrame, checks: list[tuple[str, str, str, Column, Column]], more: Column | None = None) -> DataFrame:
+    """The checks (section, check, severity, passed, value) of a table of one row, and an array of more, as rows."""
     each = [
         F.struct(F.lit(section).alias("section"), F.lit(check).alias("check"), F.lit(severity).alias("severity"), passed.alias("passed"), value.cast("double").alias("value"))
         for section, check, severity, passed, value in checks
     ]
-    return one.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    every = F.array(*each) if more is None else F.concat(F.array(*each), more)
+    return one.select(F.explode(every).alias("x")).select("x.*")
 
 
-def data_report(df: DataFrame, expected: DataFrame, calendar: DataFrame, today: Column | None = None) -> DataFrame:
+def row_figures(df: DataFrame, today: Column | None = None) -> dict[str, Column]:
+    """The aggregates of a processed table that need no grouping, so that they can be observed while it is written."""
+    v, flagged, dated = F.col("value"), "is_new_data" in df.columns, "days_since_update" in df.columns
+    none = F.lit(None).cast("long")
+    return {
+        "n": F.count("*"), **{f"null_{c}": F.count_if(F.col(c).isNull()) for c in ("series_code", "date", "value")}, "keyed": F.count_if(F.col("series_code").isNotNull() & F.col("date").isNotNull()),
+        "first": F.min("date"), "last": F.max("date"), "future": F.count_if(F.col("date") > (F.current_date() if today is None else today)),
+        "infinite": F.count_if(F.abs(v) == float("inf")), "mean": F.avg(v), "std": F.stddev_samp(v), "low": F.min(v), "high": F.max(v), "median": F.median(v),
+        "new": F.count_if(F.coalesce(F.col("is_new_data"), F.lit(False))) if flagged else F.max(none), "negative": F.count_if(F.col("days_since_update") < 0) if dated else F.max(none), "stalest": F.max("days_since_update") if dated else F.max(none),
+    }
+
+
+def series_figures(df: DataFrame, sigmas: float = 5.0) -> DataFrame:
+    """Per series: rows, distinct dates, values beyond ``sigmas`` deviations, whether it never varies, and its greatest staleness; from one shuffle."""
+    of = Window.partitionBy("series_code")
+    std = F.stddev_samp("value").over(of)
+    rows = df.withColumn("_std", std).withColumn("_far", (std > 0) & (F.abs(F.col("value") - F.avg("value").over(of)) > sigmas * std))
+    stalest = F.max("days_since_update") if "days_since_update" in df.columns else F.max(F.lit(None).cast("int"))
+    return rows.groupBy("series_code").agg(F.count("date").alias("dated"), F.count_distinct("date").alias("dates"), F.count_if("_far").alias("outliers"), (F.max("_std") == 0).alias("zero_variance"), stalest.alias("most_days"))
+
+
+def data_report(df: DataFrame, expected: DataFrame, calendar: DataFrame, today: Column | None = None, observed: dict | None = None) -> DataFrame:
     """(section, check, severity, passed, value) of a processed table; severity info only states a figure.
 
-    Missing columns end the report. Dates are stated as days since 1970-01-01. Rows and series
-    are each summed up once; the calendar and the expected series are compared by anti-joins.
+    Missing columns end the report. Dates are stated as days since 1970-01-01. Rows are summed up once, unless their figures were
+    observed while the table was written (see ``row_figures``), and so are series; the calendar and the expected series are compared by anti-joins.
+    The section staleness has each series' greatest staleness as most_days:<series>.
     """
     spark = df.sparkSession
     missing = [c for c in REQUIRED if c not in df.columns]
@@ -34,15 +57,16 @@ def data_report(df: DataFrame, expected: DataFrame, calendar: DataFrame, today:
         return spark.createDataFrame(schema, DATA_REPORT)
     schema.append(("dtypes", "date_type", "error", kinds["date"] in ("date", "timestamp", "timestamp_ntz"), None))
     schema.append(("dtypes", "value_type", "error", kinds["value"] in ("double", "float", "int", "bigint") or kinds["value"].startswith("decimal"), None))
-    v, flagged, dated = F.col("value"), "is_new_data" in df.columns, "days_since_update" in df.columns
-    new = F.count_if(F.coalesce(F.col("is_new_data"), F.lit(False))) if flagged else F.lit(None)
-    rows = df.agg(
-        F.count("*").alias("n"), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in ("series_code", "date", "value")), F.count_distinct("series_code").alias("series"),
-        F.min("date").alias("first"), F.max("date").alias("last"), F.count_if(F.col("date") > (F.current_date() if today is None else today)).alias("future"),
-        (F.count_if(F.col("series_code").isNotNull() & F.col("date").isNotNull()) - F.count_distinct("series_code", "date")).alias("duplicates"),
-        F.count_if(F.abs(v) == float("inf")).alias("infinite"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), F.median(v).alias("median"),
-        new.alias("new"), (F.count_if(F.col("days_since_update") < 0) if dated else F.lit(None)).alias("negative"), (F.max("days_since_update") if dated else F.lit(None)).alias("stalest"),
+    flagged, dated = "is_new_data" in df.columns, "days_since_update" in df.columns
+    figures = row_figures(df, today)
+    shape = df.agg(*(c.alias(name) for name, c in figures.items()))
+    by_series = series_figures(df)
+    of_all = by_series.agg(
+        F.count("series_code").alias("series"), F.coalesce(F.sum(F.when(F.col("series_code").isNotNull(), F.col("dated") - F.col("dates"))), F.lit(0)).alias("duplicates"),
+        F.coalesce(F.sum(F.when(F.col("series_code").isNotNull(), F.col("outliers"))), F.lit(0)).alias("far"), F.count_if(F.col("series_code").isNotNull() & F.col("zero_variance")).alias("flat"),
+        F.sort_array(F.collect_list(F.struct("series_code", "most_days"))).alias("each"),  # a row per series
     )
+    rows = (shape if observed is None else spark.createDataFrame([tuple(observed[name] for name in figures)], shape.schema)).crossJoin(of_all)
     c, yes = F.col, F.lit(True)
     none = lambda name: c(name) == 0
     of_rows = [
@@ -60,14 +84,15 @@ def data_report(df: DataFrame, expected: DataFrame, calendar: DataFrame, today:
         of_rows += [("staleness", "new_rows", "info", yes, c("new")), ("staleness", "carried_pct", "info", yes, 100 * (c("n") - c("new")) / F.when(c("n") > 0, c("n")))]
     if dated:
         of_rows += [("staleness", "negative_days", "error", none("negative"), c("negative")), ("staleness", "most_days", "info", yes, c("stalest"))]
-    series = validate.series_outliers(df).agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("far"), F.count_if("zero_variance").alias("flat"))
-    of_series = [("series", "outliers", "warning", none("far"), c("far")), ("series", "zero_variance", "warning", none("flat"), c("flat"))]
+    of_rows += [("series", "outliers", "warning", none("far"), c("far")), ("series", "zero_variance", "warning", none("flat"), c("flat"))]
 
     def problems(gaps: DataFrame, section: str) -> DataFrame:
         one = gaps.agg(F.count_if(c("problem") == "missing").alias("missing"), F.count_if(c("problem") == "unexpected").alias("unexpected"))
         return _rows(one, [(section, x, "warning", none(x), c(x)) for x in ("missing", "unexpected")])
 
-    parts = [spark.createDataFrame(schema, DATA_REPORT), _rows(rows, of_rows), _rows(series, of_series), problems(validate.series_coverage(df, expected), "coverage"), problems(validate.calendar_gaps(df, calendar), "calendar")]
+    stale = F.transform("each", lambda x: F.struct(F.lit("staleness").alias("section"), F.concat(F.lit("most_days:"), x["series_code"]).alias("check"), F.lit("info").alias("severity"), yes.alias("passed"), x["most_days"].cast("double").alias("value")))
+    more = F.filter(stale, lambda x: x["check"].isNotNull()) if dated else None
+    parts = [spark.createDataFrame(schema, DATA_REPORT), _rows(rows, of_rows, more), problems(validate.series_coverage(df, expected), "coverage"), problems(validate.calendar_gaps(df, calendar), "calendar")]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -99,10 +124,10 @@ def order_violations(df: DataFrame) -> DataFrame:
     """
     key = F.struct("series_code", F.col("date").cast("date").alias("date"))
     placed = df.select(key.alias("key"), F.monotonically_increasing_id().alias("at")).withColumn("task", F.shiftright("at", 33))
-    before = F.lag("key").over(validate.Window.partitionBy("task").orderBy("at"))
+    before = F.lag("key").over(Window.partitionBy("task").orderBy("at"))
     inside = placed.withColumn("before", before).agg(F.count_if(F.col("key") < F.col("before")).alias("n"))
     ends = placed.groupBy("task").agg(F.min_by("key", "at").alias("first"), F.max_by("key", "at").alias("last"))  # a row per task
-    across = ends.withColumn("before", F.lag("last").over(validate.Window.orderBy("task"))).agg(F.count_if(F.col("first") < F.col("before")).alias("n"))
+    across = ends.withColumn("before", F.lag("last").over(Window.orderBy("task"))).agg(F.count_if(F.col("first") < F.col("before")).alias("n"))
     return inside.unionByName(across).agg(F.sum("n").alias("violations"))
 
 

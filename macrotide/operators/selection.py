@@ -34,6 +34,21 @@ RANKED = [
     "INDPRO_pctchange_3_zscore_36",
 ]
 
+#: Features by category.
+GROUPS = {
+    "stress": ["VIXCLS_level_zscore_63", "VIXCLS_diff_5_zscore_126", "NFCI_level_zscore_50", "NFCI_diff_21_zscore_50"],
+    "rates": ["DGS2_level_zscore_252", "DGS10_level_zscore_252", "T10Y3M_level_zscore_252", "T10Y3M_diff_21_zscore_252"],
+    "inflation": ["PCEPILFE_yoy_12_zscore_36", "PCEPILFE_yoy_12_diff_1_zscore_36"],
+    "growth": ["CFNAI_level_zscore_36", "INDPRO_yoy_12_zscore_36"],
+    "labor": ["ICSA_movingaverage_4_zscore_50", "ICSA_ma_4_pctchange_13_zscore_50"],
+}
+
+
+def static_groups(names: DataFrame, groups: dict[str, list[str]] = GROUPS) -> DataFrame:
+    """(feature, group) of a table of features; those in no group are left out."""
+    group = F.create_map(*(F.lit(x) for g, features in groups.items() for f in features for x in (f, g)))
+    return names.select("feature", F.try_element_at(group, "feature").alias("group")).filter(F.col("group").isNotNull())
+
 
 def top_features(n: int = 5, ranked: list[str] = RANKED) -> list[str]:
     """The first n names of the ranking; all of them if there are fewer."""

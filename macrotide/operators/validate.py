@@ -63,20 +63,14 @@ def validation_summary(df: DataFrame, expected: DataFrame, calendar: DataFrame)
     missing = [c for c in REQUIRED if c not in df.columns]
     if missing:
         return df.sparkSession.createDataFrame([("required_columns", "error", len(missing))], "check string, severity string, problems long")
-    parts = [
-        ("critical_nulls", "error", df.agg(F.count_if(F.col("series_code").isNull() | F.col("date").isNull() | F.col("value").isNull()).alias("n"))),
-        ("duplicate_keys", "error", duplicate_keys(df).select(F.col("duplicates").alias("n"))),
-        ("infinite_values", "error", value_stats(df).select(F.col("infinite").alias("n"))),
-        ("series_coverage", "warning", series_coverage(df, expected).agg(F.count("*").alias("n"))),
-        ("calendar_gaps", "warning", calendar_gaps(df, calendar).agg(F.count("*").alias("n"))),
-        ("outliers", "warning", series_outliers(df).agg(F.sum("outliers").alias("n"))),
-        ("zero_variance", "warning", series_outliers(df).agg(F.count_if("zero_variance").alias("n"))),
-    ]
-    out = None
-    for name, severity, n in parts:
-        row = n.select(F.lit(name).alias("check"), F.lit(severity).alias("severity"), F.coalesce("n", F.lit(0)).cast("long").alias("problems"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    missing_key = F.col("series_code").isNull() | F.col("date").isNull() | F.col("value").isNull()
+    rows = df.agg(F.count_if(missing_key).alias("critical_nulls"), F.count_if(F.abs("value") == float("inf")).alias("infinite_values"))
+    far = series_outliers(df).agg(F.sum("outliers").alias("outliers"), F.count_if("zero_variance").alias("zero_variance"))
+    uncovered, gaps = (x.agg(F.count("*").alias(name)) for name, x in (("series_coverage", series_coverage(df, expected)), ("calendar_gaps", calendar_gaps(df, calendar))))
+    one = rows.crossJoin(duplicate_keys(df).withColumnRenamed("duplicates", "duplicate_keys")).crossJoin(far).crossJoin(uncovered).crossJoin(gaps)  # a row each
+    checks = [("critical_nulls", "error"), ("duplicate_keys", "error"), ("infinite_values", "error"), ("series_coverage", "warning"), ("calendar_gaps", "warning"), ("outliers", "warning"), ("zero_variance", "warning")]
+    each = (F.struct(F.lit(name).alias("check"), F.lit(severity).alias("severity"), F.coalesce(name, F.lit(0)).cast("long").alias("problems")) for name, severity in checks)
+    return one.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
 def feature_metadata(features: DataFrame, frequency: DataFrame | None = None) -> DataFrame:

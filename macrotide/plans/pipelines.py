@@ -47,10 +47,11 @@ def run_data_pipeline(spark: SparkSession, config: dict) -> Result:
     if selected.isEmpty():
         raise ValueError(f"none of the series {', '.join(ids)} is in {c['data_path']}")
     days = calendar_between(spark, str(c["lookback"]["start"]), str(c["lookback"]["end"]))
-    io.save(prepared(selected, ids, days), c["processed_path"], order=("series_code", "date"))
+    rows = prepared(selected, ids, days)
+    observed = io.save(rows, c["processed_path"], order=("series_code", "date"), observed=report.row_figures(rows))
     table = spark.read.parquet(c["processed_path"])
     expected = spark.createDataFrame([(i,) for i in ids], "series_code string")
-    return Result(table, report.data_report(table, expected, days))
+    return Result(table, report.data_report(table, expected, days, observed=observed))
 
 
 def run_feature_pipeline(spark: SparkSession, config: dict, metadata_path: str | None = None, top: int = 8) -> Result:

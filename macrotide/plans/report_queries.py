@@ -45,6 +45,7 @@ _DATA_REPORT = " UNION ALL ".join(
         _check_sql("schema", "required_columns", "error", "TRUE", "0", "(SELECT 1)"), _check_sql("dtypes", "date_type", "error", "TRUE", "NULL", "(SELECT 1)"), _check_sql("dtypes", "value_type", "error", "TRUE", "NULL", "(SELECT 1)"),
         *(_check_sql(*c, "one") for c in _CHECKS),
         _check_sql("series", "outliers", "warning", "far = 0", "far", "far"), _check_sql("series", "zero_variance", "warning", "flat = 0", "flat", "far"),
+        f"""SELECT 'staleness' AS section, 'most_days:' || series_code AS "check", 'info' AS severity, TRUE AS passed, {r('CAST(max(days_since_update) AS DOUBLE)')} AS value FROM proc GROUP BY series_code""",
         *(_check_sql("coverage", x, "warning", f"{x} = 0", x, "covered") for x in ("missing", "unexpected")),
         *(_check_sql("calendar", x, "warning", f"{x} = 0", x, "dated") for x in ("missing", "unexpected")),
     ]

@@ -7,7 +7,7 @@ import warnings
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.hmm import Params
@@ -120,12 +120,19 @@ def load_raw(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(*good)
 
 
-def save(df: DataFrame, path: str, *partition_by: str, order: tuple[str, ...] = ()) -> None:
-    """Writes Parquet; with an order, files hold ranges of it and rows are sorted within them, file by file."""
+def save(df: DataFrame, path: str, *partition_by: str, order: tuple[str, ...] = (), observed: dict[str, Column] | None = None) -> dict:
+    """Writes Parquet; with an order, files hold ranges of it and rows are sorted within them, file by file.
+
+    Returns the values of the aggregates ``observed``, which are taken from the rows as they are written.
+    """
     if order:
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    watch = Observation()
+    if observed:  # after the exchange, so that the sampling of its ranges isn't counted
+        df = df.observe(watch, *(c.alias(name) for name, c in observed.items()))
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return watch.get if observed else {}
 
 
 def save_features(wide: DataFrame, raw_path: str, ready_path: str, names: list[str], top: list[str]) -> None:
@@ -136,7 +143,28 @@ def save_features(wide: DataFrame, raw_path: str, ready_path: str, names: list[s
 
 def save_metadata(metadata: DataFrame, path: str) -> None:
     """One JSON object per feature (as many rows as features)."""
-    Path(path).write_text(json.dumps({r["feature"]: r.asDict() for r in metadata.collect()}, indent=1))
+    put_text(metadata.sparkSession, path, json.dumps({r["feature"]: r.asDict() for r in metadata.collect()}, indent=1))
+
+
+def _file(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text file to any store that Spark writes to; folders above it are made."""
+    where, files = _file(spark, path)
+    out = files.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    """A small text file from any store that Spark reads."""
+    rows = spark.read.text(path, wholetext=True).collect()
+    return rows[0][0]
 
 
 def load_configs(folder: str) -> dict[str, dict]:
@@ -154,14 +182,15 @@ def load_configs(folder: str) -> dict[str, dict]:
     return out
 
 
-def save_model(params: Params | None, path: str) -> None:
+def save_model(params: Params | None, path: str, spark: SparkSession | None = None) -> None:
+    """A model's parameters as JSON, where Spark writes to."""
     if params is None:
         raise ValueError("the model is not fitted")
-    Path(path).write_text(params.to_json())
+    put_text(spark or SparkSession.getActiveSession(), path, params.to_json())
 
 
-def load_model(path: str) -> Params:
-    return Params.from_json(Path(path).read_text())
+def load_model(path: str, spark: SparkSession | None = None) -> Params:
+    return Params.from_json(get_text(spark or SparkSession.getActiveSession(), path))
 
 
 def price_series(df: DataFrame, date: str = "date", columns: tuple[str, ...] = ("Adj Close", "adj_close", "Close", "close", "px")) -> DataFrame:

@@ -111,6 +111,8 @@ def test_order_and_burn_in(spark, tmp_path):
 
 
 def test_selection_and_views(spark):
+    groups = selection.static_groups(spark.createDataFrame([("DGS2_level_zscore_252",), ("OTHER_level",), (None,)], "feature string")).collect()
+    assert [tuple(r) for r in groups] == [("DGS2_level_zscore_252", "rates")] and sum(map(len, selection.GROUPS.values())) == 14
     assert len(selection.RANKED) == len(set(selection.RANKED)) == 25 and selection.top_features(40) == selection.RANKED and len(selection.top_features()) == 5
     labels = spark.createDataFrame([(dt.date(2024, 1, d), r) for d, r in enumerate([0, 0, 1, 0, 1, 1], 1)], "date date, regime int")
     matrix = {r.regime: (r.to_0, r.to_1) for r in R.transition_matrix(labels, [0, 1]).collect()}
@@ -151,6 +153,44 @@ def test_sources(spark, tmp_path):
         io.save_model(None, f"{tmp_path}/m.json")
 
 
+def test_detector(spark, tmp_path):
+    import numpy as np
+
+    from macrotide.operators.detector import HmmDetector
+
+    rng = np.random.default_rng(1)
+    truth = np.repeat([0, 1, 0, 1], 60)
+    rows = [(dt.date(2000, 1, 1) + dt.timedelta(i), float(rng.normal(4 * s)), float(rng.normal(-s))) for i, s in enumerate(truth)]
+    wide = spark.createDataFrame([*rows, (dt.date(2010, 1, 1), None, 1.0)], "date date, a double, b double")
+    model = HmmDetector(["a", "b"], 2)
+    assert not model.is_fitted and "n_regimes=2" in repr(model)
+    for use in (lambda: model.predict(wide), lambda: model.score(wide), model.means, lambda: model.save(f"{tmp_path}/none.json")):
+        with pytest.raises(ValueError, match="not fitted"):
+            use()
+    path = [r.regime for r in model.fit_predict(wide).orderBy("date").collect()]
+    low = int(model.means()[0, 0] > model.means()[1, 0])
+    assert len(path) == 240 and np.mean((np.array(path) != low) == truth) > 0.95
+    model.save(f"{tmp_path}/deep/model.json")
+    again = HmmDetector.load(f"{tmp_path}/deep/model.json", ["a", "b"])
+    assert again.score(wide) == pytest.approx(model.score(wide)) and np.allclose(again.transition_matrix().sum(1), 1) and again.covariances().shape == (2, 2, 2)
+    sums = again.smooth_proba(wide).unionByName(again.filter_proba(wide)).unionByName(again.forecast(wide, 3))
+    assert sums.count() == 720 and sums.filter(F.abs(F.aggregate("proba", F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9).isEmpty()
+    with pytest.raises(ValueError):
+        HmmDetector(["a"], 2, "tied")
+
+
+def test_figures_are_observed_while_writing(spark, tmp_path):
+    rows = [(f"S{i % 3}", dt.date(2024, 1, 1) + dt.timedelta(i), float(i), "n", "c", i % 2 == 0, i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "series_code string, date date, value double, series_name string, category string, is_new_data boolean, days_since_update int").repartition(4)
+    seen = io.save(df, f"{tmp_path}/t", order=("series_code", "date"), observed=report.row_figures(df))
+    assert (seen["n"], seen["mean"], seen["median"], seen["new"], seen["stalest"]) == (60, 29.5, 29.5, 30, 4)
+    table = spark.read.parquet(f"{tmp_path}/t")
+    days, expected = pipelines.calendar_between(spark, "2024-01-01", "2024-02-29"), spark.createDataFrame([("S0",)], "series_code string")
+    today = F.lit("2025-01-01").cast("date")
+    whole, short = (sorted(map(tuple, report.data_report(table, expected, days, today, x).collect()), key=str) for x in (None, seen))
+    assert [r for r in whole if r[1] != "future_dates"] == [r for r in short if r[1] != "future_dates"] and ("staleness", "most_days:S1", "info", True, 4.0) in short
+
+
 def test_unreadable_files_are_named_and_left_out(spark, tmp_path):
     rows = [(i, f"text {i * 7919 % 1000}" * 20) for i in range(40_000)]
     for name in ("good", "short", "broken"):
