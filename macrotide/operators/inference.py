@@ -36,23 +36,27 @@ def _sum(parts: Sequence[Column]) -> Column:
     return total
 
 
-def log_densities(columns: Sequence[str], params: Params) -> Column:
-    """The log density of a row under each regime, as an array."""
+def log_densities(values: Sequence[Column], params: Params) -> Column:
+    """The log density of a row's values under each regime, as an array."""
     _, _, means, covars = params.arrays()
-    d, out = len(columns), []
+    d, out = len(values), []
     for m, c in zip(means, covars, strict=True):
         low = np.linalg.cholesky(c)
         inverse = np.linalg.inv(low)
-        z = [_sum([(F.col(f"`{columns[j]}`") - float(m[j])) * float(inverse[i, j]) for j in range(i + 1)]) for i in range(d)]
+        z = [_sum([(values[j] - float(m[j])) * float(inverse[i, j]) for j in range(i + 1)]) for i in range(d)]
         constant = -0.5 * d * math.log(2 * math.pi) - float(np.log(np.diag(low)).sum())
         out.append(constant - 0.5 * _sum([x * x for x in z]))
     return F.array(*out)
 
 
+def _rows_of(wide: DataFrame, columns: Sequence[str], key: str | None, *more: Column) -> DataFrame:
+    entity = F.col(key).cast("string") if key else F.lit("")
+    return wide.dropna("any", subset=["date", *columns]).select(entity.alias("entity"), "date", *more)
+
+
 def observed(wide: DataFrame, columns: Sequence[str], params: Params, key: str | None = None) -> DataFrame:
     """(entity, date, logb): the rows that take part, with their log densities; without a key all are one sequence."""
-    entity = F.col(key).cast("string") if key else F.lit("")
-    return wide.dropna("any", subset=["date", *columns]).select(entity.alias("entity"), "date", log_densities(columns, params).alias("logb"))
+    return _rows_of(wide, columns, key, log_densities([F.col(f"`{c}`") for c in columns], params).alias("logb"))
 
 
 def _scaled(m: Column, log: Column) -> Column:
@@ -65,9 +69,9 @@ class Forward:
 
     state = "struct<m:array<double>,log:double>"
 
-    def __init__(self, params: Params):
+    def __init__(self, params: Params, logb=lambda row: row["logb"]):
         pi, a, *_ = params.arrays()
-        self.k = len(pi)
+        self.k, self.logb = len(pi), logb
         self.rows = np.vstack([pi, a])  # the start, then each regime
 
     def lift(self, row: Column) -> Column:
@@ -76,7 +80,7 @@ class Forward:
             b = F.transform(logb, lambda x: F.exp(x - top))
             return once(b, lambda e: _scaled(F.array(*(_at(e, j) * float(self.rows[i, j]) for i in range(self.k + 1) for j in range(self.k))), top))
 
-        return once(row["logb"], of)
+        return once(self.logb(row), of)
 
     def _product(self, left, rows: range, b: Column) -> list[Column]:
         """Rows of left (functions of a regime) times the regimes' rows of b."""
@@ -228,3 +232,74 @@ def _composed_back(later: Column, earlier: Column) -> Column:
 def _composed(outer: Column, inner: Column) -> Column:
     """The map that looks its argument up in ``inner``, and the result in ``outer``."""
     return F.transform(inner, lambda j: F.get(outer, j))
+
+
+# fitting
+
+
+def _expected(cut: DataFrame, d: int, params: Params) -> dict[str, float]:
+    """What a round of Baum-Welch needs, from blocks of rows (entity, date, x): sums over all rows, in one aggregate.
+
+    Per regime: its mass, the values less its mean weighted by it, and their products; per pair of regimes the expected moves; the mass
+    at the sequences' starts; the log-likelihood, which is what each row adds to it.
+    """
+    k, means = len(params.startprob), params.arrays()[2]
+    logb = lambda row: log_densities([_at(row["x"], j) for j in range(d)], params)
+    ahead, back = Forward(params, logb).scan(), Backward(params, logb).scan()
+    found = scan.elements(cut, ahead)
+    starts, ends = scan.borders(found, ahead), scan.borders(found, back, backwards=True)
+    both = cut.join(starts, list(scan.AT)).join(ends.withColumnRenamed("border", "end"), list(scan.AT))
+    both = scan.walked(both, F.col("_rows"), ahead.lift, F.col("border"), ahead, "ahead")
+    both = scan.walked(both, F.reverse("_rows"), back.lift, F.col("end"), back, "back")
+    met = F.zip_with("ahead", F.reverse("back"), lambda f, b: F.struct(f["item"]["x"].alias("x"), f["before"].alias("before"), f["after"].alias("after"), ahead.lift(f["item"])["m"].alias("m"), b["before"]["m"].alias("beta")))
+    rows = both.select(scan.spread(met, lambda r: {c: r[c] for c in ("x", "before", "after", "m", "beta")}))
+    beta = [F.coalesce(_at(F.col("beta"), j), F.lit(1.0)) for j in range(k)]
+    so_far = lambda state: F.col(f"{state}.log") + F.ln(F.greatest(F.aggregate(f"{state}.m", F.lit(0.0), lambda a, x: a + x), F.lit(_TINY)))
+    moves = F.array(*(_at(F.col("before.m"), i) * _at(F.col("m"), (i + 1) * k + j) * beta[j] for i in range(k) for j in range(k)))
+    rows = rows.select("x", _shares(F.array(*(_at(F.col("after.m"), j) * beta[j] for j in range(k)))).alias("p"), _shares(moves).alias("moves"), F.col("before").isNull().alias("first"), (so_far("after") - F.coalesce(so_far("before"), F.lit(0.0))).alias("gain"))
+    p, c = [_at(F.col("p"), j) for j in range(k)], lambda j, i: _at(F.col("x"), i) - float(means[j][i])
+    sums = {"log_likelihood": F.sum("gain")}
+    for j in range(k):
+        sums |= {f"n_{j}": F.sum(p[j]), f"first_{j}": F.sum(F.when(F.col("first"), p[j]))}
+        sums |= {f"x_{j}_{i}": F.sum(p[j] * c(j, i)) for i in range(d)} | {f"xx_{j}_{i}_{h}": F.sum(p[j] * c(j, i) * c(j, h)) for i in range(d) for h in range(i + 1)}
+        sums |= {f"a_{j}_{i}": F.sum(F.when(~F.col("first"), _at(F.col("moves"), j * k + i))) for i in range(k)}
+    one = rows.agg(*(v.alias(name) for name, v in sums.items())).first().asDict()
+    discard(found, starts, ends)
+    return {name: 0.0 if v is None else v for name, v in one.items()}
+
+
+def _improved(e: dict[str, float], d: int, params: Params, prior: float, diagonal: bool) -> Params:
+    _, a, means, covars = params.arrays()
+    k = len(means)
+    first, moves = np.array([e[f"first_{j}"] for j in range(k)]), np.array([[e[f"a_{i}_{j}"] for j in range(k)] for i in range(k)])
+    after = moves.sum(1, keepdims=True)
+    a = np.where(after > 0, moves / np.maximum(after, _TINY), a)
+    for j in range(k):
+        n = max(e[f"n_{j}"], 1e-12)
+        shift = np.array([e[f"x_{j}_{i}"] for i in range(d)]) / n
+        spread = np.array([[e[f"xx_{j}_{max(i, h)}_{min(i, h)}"] for h in range(d)] for i in range(d)])
+        covars[j] = (prior * np.eye(d) + spread) / n - np.outer(shift, shift)
+        if diagonal:
+            covars[j] = np.diag(np.diag(covars[j]))
+        means[j] += shift
+    return Params((first / first.sum()).tolist(), a.tolist(), means.tolist(), covars.tolist())
+
+
+def fit(wide: DataFrame, columns: Sequence[str], start: Params, n_iter: int = 100, tol: float = 1e-2, prior: float = 1e-2, diagonal: bool = False, key: str | None = None) -> tuple[Params, list[float]]:
+    """Baum-Welch over sequences of any length, and the log-likelihood before each round: until a round gains less than ``tol``.
+
+    The rows are dealt into blocks once; each round scans them both ways and brings one row of sums to the driver.
+    """
+    cut = scan.blocks(_rows_of(wide, columns, key, F.array(*(F.col(f"`{c}`").cast("double") for c in columns)).alias("x")), ["date"], ["entity"])
+    if cut.isEmpty():
+        discard(cut)
+        raise ValueError("no row without a missing feature")
+    params, history = start, []
+    for _ in range(n_iter):
+        e = _expected(cut, len(columns), params)
+        history.append(e["log_likelihood"])
+        if len(history) > 1 and history[-1] - history[-2] < tol:
+            break
+        params = _improved(e, len(columns), params, prior, diagonal)
+    discard(cut)
+    return params, history

@@ -251,6 +251,24 @@ _POST = r("f0 * g0 / (f0 * g0 + (1 - f0) * g1)")
 add("hmm_smooth", lambda s, d: _each(inference.smooth(_observed(s, d), PARAMS), "smoothed"), X.with_views(f"SELECT date, {_POST} AS p0, {_POST.replace('f0 * g0 /', '(1 - f0) * g1 /')} AS p1 FROM f JOIN g USING (t)", "z63", recursive=True, extra={"obs": _OBS, "f": _F, "g": _G}))
 add("hmm_score", lambda s, d: inference.score(_observed(s, d), PARAMS).select("n_rows", "log_likelihood"), X.with_views(f"SELECT count(*) AS n_rows, {r('sum(l)')} AS log_likelihood FROM f", "z63", recursive=True, extra={"obs": _OBS, "f": _F}))
 
+
+
+def _em_round(s, d):
+    found, history = inference.fit(X.zscore_rows(s, d), ["z"], PARAMS, n_iter=1)
+    rows = [(k, found.startprob[k], found.means[k][0], found.covars[k][0][0], *found.transmat[k], history[0]) for k in range(2)]
+    return s.createDataFrame(rows, "k int, startprob double, mean double, variance double, a0 double, a1 double, log_likelihood double")
+
+
+_GAMMA = "SELECT t, z, f0 * g0 / (f0 * g0 + (1 - f0) * g1) AS p0, (1 - f0) * g1 / (f0 * g0 + (1 - f0) * g1) AS p1 FROM f JOIN g USING (t) JOIN z63 USING (date)"
+_XI = """SELECT sum(x00 / s) AS m00, sum(x01 / s) AS m01, sum(x10 / s) AS m10, sum(x11 / s) AS m11 FROM (SELECT *, x00 + x01 + x10 + x11 AS s FROM (
+  SELECT f0 * 0.95 * o.b0 * g0 AS x00, f0 * 0.05 * o.b1 * g1 AS x01, (1 - f0) * 0.1 * o.b0 * g0 AS x10, (1 - f0) * 0.9 * o.b1 * g1 AS x11 FROM f JOIN obs o ON o.t = f.t + 1 JOIN g ON g.t = o.t))"""
+_EM = " UNION ALL ".join(
+    f"""SELECT CAST({k} AS BIGINT) AS k, {r(f'(SELECT p{k} FROM post WHERE t = 1)')} AS startprob, {r('m')} AS mean, {r(f'(SELECT (0.01 + sum(p{k} * (z - m) * (z - m))) / sum(p{k}) FROM post)')} AS variance,
+      {r(f'm{k}0 / (m{k}0 + m{k}1)')} AS a0, {r(f'm{k}1 / (m{k}0 + m{k}1)')} AS a1, {r('(SELECT sum(l) FROM f)')} AS log_likelihood FROM (SELECT sum(p{k} * z) / sum(p{k}) AS m FROM post), xi"""
+    for k in range(2)
+)
+add("hmm_em_round", _em_round, X.with_views(_EM, "z63", recursive=True, extra={"obs": _OBS, "f": _F, "g": _G, "post": _GAMMA, "xi": _XI}))
+
 # separation of regimes, start of emissions, sanity of transitions
 _FULL = f"SELECT date FROM feat GROUP BY date HAVING count(value) = {len(X.NAMES)}"
 _CENTRED = f"SELECT date, feature, value - avg(value) OVER (PARTITION BY feature) AS c FROM ({_SCALED}) WHERE date IN ({_FULL})"

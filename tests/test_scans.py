@@ -137,6 +137,21 @@ def test_inference_of_sequences(spark, small, k, d):
     assert inference.smooth(none, params).count() == inference.best_path(none, params).count() == inference.score(none, params).count() == 0
 
 
+def test_fit_over_blocks_equals_the_fit_of_one_task(spark, small):
+    rng = np.random.default_rng(13)
+    x = np.vstack([rng.normal(c, 1, size=(30, 2)) for c in (0, 4, 0, 4)]) + 1000
+    wide = spark.createDataFrame([(d, *map(float, v)) for d, v in zip(days(120), x, strict=True)] + [(DAY + dt.timedelta(400), None, 1.0)], "date date, a double, b double").repartition(3)
+    start = hmm.Params([0.5, 0.5], [[0.9, 0.1], [0.1, 0.9]], [[1000.5, 1000.0], [1003.0, 1003.5]], [np.eye(2).tolist()] * 2)
+    for diagonal in (False, True):
+        want, seen = hmm.fit(x, start, n_iter=3, tol=-1, diag=diagonal)
+        got, history = inference.fit(wide, ["a", "b"], start, n_iter=3, tol=-1, diagonal=diagonal)
+        assert history == pytest.approx(seen, rel=1e-9)
+        for mine, theirs in zip(got.arrays(), want.arrays(), strict=True):
+            assert np.allclose(mine, theirs, rtol=1e-7, atol=1e-9)
+    with pytest.raises(ValueError, match="no row"):
+        inference.fit(wide.limit(0), ["a", "b"], start)
+
+
 def test_one_long_sequence_is_many_blocks(spark):
     params = model(2, 1, 3)
     x = np.random.default_rng(1).normal(size=20_000)
