@@ -9,9 +9,10 @@ as far as there are that many; a shorter line is one shingle.
 Lines are signed within the scan: each gets 24 minima of its shingle hashes, permuted by
 rotation and exclusive-or with fixed random numbers, and equal normal forms are one line from
 the first shuffle on, which moves keys and minima but no text. The minima stand in 6 rows of 4;
-the rows and the diagonals are 12 bands of 4, so two lines of similarity 0.8 share a band with a
-probability of 0.991 (0.998 at 0.85, 0.9999 at 0.9). Lines that share a band are
-verified by exact Jaccard similarity of their shingle sets (0.8 or more) and joined by
+the rows and the diagonals are 12 bands of 4. Two lines of similarity 0.8 share a band with a
+probability of 0.98 (5 to 10 shingles) to 0.99 (40 or more), as measured over random pairs. Lines that share a band are
+verified by the Jaccard similarity of their whole shingle sets (0.8 or more), of which 32 bits of each shingle's
+hash are compared: sets of 100,000 shingles agree in about one more by chance. Linked lines are joined by
 distributed union-find (``components``). Of each component the first occurrence stays,
 in the order of doc_id and line number; all other occurrences are removed.
 

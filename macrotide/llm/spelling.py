@@ -203,9 +203,8 @@ def _groups(words: DataFrame) -> DataFrame:
 
 def near_pairs(words: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b) of near words, once each, a the shorter or the one that was found first; words: (word), distinct. A written table."""
-    found, todo = [], _groups(words)
+    found, rows = [], materialise(_groups(words))
     while True:
-        rows = materialise(todo)
         sizes = materialise(rows.groupBy("group").agg(F.count("*").alias("n"), F.max("open").alias("most")).filter("n > 1"))
         crowded = (F.col("n") > crowd) & (F.col("most") > FINE)
         small = rows.join(sizes.filter(~crowded).select("group"), "group")
@@ -216,7 +215,7 @@ def near_pairs(words: DataFrame, crowd: int = CROWD) -> DataFrame:
         if large.isEmpty():
             discard(rows, sizes)
             break
-        todo = finished(_cut(rows.join(large, "group")), rows, sizes)
+        rows = finished(_cut(rows.join(large, "group")), rows, sizes)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
