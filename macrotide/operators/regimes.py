@@ -272,6 +272,11 @@ def reject_reason(models: DataFrame) -> DataFrame:
     return models.crossJoin(F.broadcast(q10)).withColumn("reason", reason).drop("_q10")
 
 
+def rejected(models: DataFrame) -> DataFrame:
+    """(model_id, reason) of the models that break a hard rule, by reason and model."""
+    return reject_reason(models).filter("reason IS NOT NULL").select("model_id", "reason").orderBy("reason", "model_id")
+
+
 def select_model(models: DataFrame, top_n: int = 10) -> DataFrame:
     """The best models with their scores. A model grid is small: one row per model."""
     left = reject_reason(models).filter("reason IS NULL")

@@ -197,7 +197,7 @@ add("label_regimes", lambda s, d: R.label_regimes(_scores(s, d)),
                  extra={"z": f"SELECT k, {_Z} FROM (SELECT k, {_G} FROM ({_SCORES}) GROUP BY k)", "l": _L}))
 _REASON = """SELECT *, CASE WHEN NOT stationary_valid THEN 'stationary_invalid' WHEN min_share < 0.03 THEN 'min_share' WHEN max_share > 0.80 THEN 'max_share' WHEN max_duration > 3000 THEN 'max_duration'
   WHEN maha_min < (SELECT quantile_cont(maha_min, 0.1) FROM models) THEN 'maha_min' WHEN oos_min_share < 0.02 THEN 'oos_min_share' WHEN oos_max_share > 0.85 THEN 'oos_max_share' END AS reason FROM models"""
-add("rejected_models", lambda s, d: R.reject_reason(X.models(s, d)).filter("reason IS NOT NULL").select("model_id", "reason"), X.with_views(f"SELECT model_id, reason FROM ({_REASON}) WHERE reason IS NOT NULL", "models"))
+add("rejected_models", lambda s, d: R.rejected(X.models(s, d)), X.with_views(f"SELECT model_id, reason FROM ({_REASON}) WHERE reason IS NOT NULL", "models"))
 
 
 def _rank(c, desc=False):

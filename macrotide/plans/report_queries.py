@@ -132,6 +132,10 @@ add("feature_validation_counts", lambda s, d: report.report_counts(_feature_repo
 add("feature_checks", _feature_checks, X.with_views(_FEATURE_CHECKS, *_SEEN, extra=_FEATURE_VIEWS))
 add("feature_checks_with_unit_roots", lambda s, d: _feature_checks(s, d, moments.unit_roots(X.features(s, d))))
 
+_PLACED = "SELECT o_orderpriority AS c, CAST(o_orderdate AS DATE) AS d, row_number() OVER () AS i FROM orders"
+_BEFORE = f"SELECT c, d, lag(c) OVER (ORDER BY i) AS pc, lag(d) OVER (ORDER BY i) AS pd FROM ({_PLACED})"
+add("order_check", lambda s, d: report.order_violations(X.table(s, d, "orders").select(F.col("o_orderpriority").alias("series_code"), F.to_date("o_orderdate").alias("date"))),
+    f"SELECT count(*) FILTER (c < pc OR c = pc AND d < pd) AS violations FROM ({_BEFORE})")
 add("strong_correlations", lambda s, d: validate.correlations(X.wide(s, d), X.NAMES, 0.7), X.with_views(f"SELECT a, b, {r('corr')} AS corr FROM ({_CORR}) WHERE abs(corr) > 0.7", "feat"))
 add("top_correlations", lambda s, d: selection.highest(validate.correlations(X.wide(s, d), X.NAMES).select("a", "b", F.abs("corr").alias("strength")), "strength", 5, "a", "b"),
     X.with_views(f"SELECT a, b, {r('strength')} AS strength FROM (SELECT a, b, abs(corr) AS strength FROM ({_CORR}) WHERE corr IS NOT NULL) ORDER BY strength DESC, a, b LIMIT 5", "feat"))
