@@ -149,13 +149,24 @@ dw AS (
   SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
 hit AS (SELECT doc_id, i, j, n, item_id FROM dw JOIN bw USING (n, g)),
-spans AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM hit),
-longest AS (SELECT doc_id, max(m) AS longest FROM (SELECT doc_id, max(i) - min(i) + any_value(n) AS m FROM spans GROUP BY doc_id, item_id, i - j, run) GROUP BY doc_id),
+same AS (
+  SELECT doc_id, item_id, i, j, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run
+  FROM (SELECT doc_id, unnest(w) AS g, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN (SELECT item_id, unnest(w) AS g, unnest(range(1, len(w) + 1)) AS j FROM b) USING (g)),
+stretches AS (
+  SELECT doc_id, item_id, count(*) AS m, min(i) - 1 AS start, min(j) - 1 AS item_start
+  FROM same GROUP BY doc_id, item_id, i - j, run),
+longest AS (
+  SELECT doc_id, m AS longest_match, start AS longest_start, item_id AS longest_item
+  FROM stretches QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY m DESC, start, item_id) = 1),
+locations AS (
+  SELECT doc_id, count(*) AS n_locations, string_agg(start || ',' || m || ',' || item_id || ',' || item_start || chr(10), '' ORDER BY start, m, item_id, item_start) AS l
+  FROM stretches JOIN (SELECT item_id, len(w) AS n FROM b) USING (item_id) WHERE m >= least(13, n) GROUP BY doc_id),
 places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS t FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(t, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
-FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(longest_match, 0) AS longest_match, longest_start, longest_item, coalesce(n_locations, 0) AS n_locations, sha256(coalesce(l, '')) AS locations_sha256
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN locations USING (doc_id)
 """
 
 #: crc32 in SQL: eight shifts for each value of a byte, then one look-up for each byte of the UTF-8 text.
