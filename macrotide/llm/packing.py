@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -218,24 +219,29 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces with their sequence_id and offset (and ids, if wanted)."""
     spark = docs.sparkSession
-    cut = materialise(pieces(docs, tokenizer, capacity, end_id, with_ids))
+    # written with a number for each row, so that equal rows can be told apart and dealt over slices
+    cut = materialise(pieces(docs, tokenizer, capacity, end_id, with_ids).withColumn("_row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     total = sum(histogram.values())
-    ranges = spark.createDataFrame(
-        plan(histogram, capacity), "length long, first_rank long, bins long, first_sequence long, offset long"
-    )
+    planned = plan(histogram, capacity)
+    ranges = spark.createDataFrame(planned, "length long, first_rank long, bins long, first_sequence long, offset long")
     # ranks within a length: within hash slices first, then shifted by the slices before; with the square root
     # of the number of pieces as the number of slices, neither step gathers more than about that many rows of one length
     slices = max(1, math.isqrt(total))
-    sliced = cut.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
+    sliced = cut.withColumn("_slice", F.pmod(F.xxhash64("_row"), F.lit(slices)))
     by_slice = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = sliced.groupBy("length", "_slice").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(by_slice), F.lit(0))).drop("n")
-    inner = Window.partitionBy("length", "_slice").orderBy("doc_id", "piece", "ids_crc32")
+    inner = Window.partitionBy("length", "_slice").orderBy("_row")
     ranked = sliced.withColumn("_in_slice", F.row_number().over(inner) - 1).join(before, ["length", "_slice"]).withColumn("_rank", F.col("_in_slice") + F.col("_before"))
-    # at most a few ranges for each of at most ``capacity`` lengths: gathered per length, then looked up by the rank
+    # at most a few ranges for each of at most ``capacity`` lengths: gathered per length, then the last one that starts
+    # at the rank or before it is found by halving steps
     lookup = ranges.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first_rank", "bins", "first_sequence", "offset"))).alias("_ranges"))
-    place = F.element_at(F.filter("_ranges", lambda r: (r["first_rank"] <= F.col("_rank")) & (F.col("_rank") < r["first_rank"] + r["bins"])), 1)
-    kept = [c for c in cut.columns]
+    widest = max(Counter(r[0] for r in planned).values(), default=1)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(widest.bit_length()))))
+    starts = lambda at: F.get("_ranges", at - 1)["first_rank"]
+    last = F.aggregate(steps, F.lit(0), lambda at, step: F.when(starts(at + step) <= F.col("_rank"), at + step).otherwise(at))
+    place = F.element_at("_ranges", last)
+    kept = [c for c in cut.columns if c != "_row"]
     return (
         ranked.join(F.broadcast(lookup), "length")
         .withColumn("_place", place)

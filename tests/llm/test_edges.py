@@ -40,3 +40,31 @@ def test_chats_with_clashing_columns(spark):
     more = spark.createDataFrame([(*t, 1, "x", 2, "y", "z") for t in turns], names)
     want, got = (sorted(tuple(r) for r in chat.format_chats(x).collect()) for x in (plain, more))
     assert got == want and len(got) == 15
+
+
+def test_chats_of_one_turn_number(spark):
+    """Thousands of rows under one turn number, and without one, are cut into blocks whose repairs cost no more than an uncut one."""
+    big = 2**62 + 1
+    roles = ["user", "assistant", "tool", "system", None]
+    rows = [(big, 7, roles[i % 5], f"t{i % 1500:04d}") for i in range(6000)] + [(None, None, roles[i % 2], f"n{i}") for i in range(3000)]
+    rows += [(3, t, "user" if t % 2 == 0 else "assistant", "x") for t in range(2000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    price = {"keep": 0, "relabel": 2, "insert": 3, "insert_relabel": 5, "merge": 0}
+
+    def cost(found):
+        # a merge's price depends on the role before, which follows from the order of rows
+        total, before = {}, {}
+        for r in sorted(found, key=lambda r: (str(r.conv_id), r.turn if r.turn is not None else -1, r.role is not None, r.role or "", r.rendered_text)):
+            now = price[r.action] + 3 * (r.n_inserted - r.action.startswith("insert"))
+            if r.action == "merge":
+                now = 1 if chat.role_of(r.role) == chat.role_of(before[r.conv_id]) and r.role else 3
+            total[r.conv_id] = total.get(r.conv_id, 0) + now
+            before[r.conv_id] = r.role_out
+        return total
+
+    results = []
+    for block in (100_000, 64):
+        out = chat.format_chats(turns, block).selectExpr("*", "regexp_extract(rendered, '([tn][0-9]+|x)(<.im_end.>|$)', 1) AS rendered_text").collect()
+        assert len(out) == len(rows)
+        results.append(cost(out))
+    assert results[0] == results[1] and results[0][3] == 0 and set(results[0]) == {big, None, 3}
