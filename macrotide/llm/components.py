@@ -98,7 +98,7 @@ def _meetings(open_: DataFrame, turn: int, may_link) -> DataFrame:
     return _pairs(slotted, slotted, (F.col("x.t") == F.col("y.t")) & (F.col("x.slot") == F.col("y.slot")) & may_link)
 
 
-def similar_components(buckets: DataFrame, features_of, threshold: float, longs: int = 16) -> DataFrame:
+def similar_components(buckets: DataFrame, features_of, threshold: float, longs: int = 16, one_exchange: bool = False) -> DataFrame:
     """(id, root) of all ids that are linked: those that share a bucket and have Jaccard of ``threshold`` or more.
 
     buckets: (bucket, id), long, distinct. features_of(ids) gives (id, items) for a table of ids.
@@ -113,11 +113,21 @@ def similar_components(buckets: DataFrame, features_of, threshold: float, longs:
     bounds are exact and part of the join's condition, so only pairs that are linked or
     nearly so become rows, and every pair of one bucket that could be linked is either
     compared or already connected.
+
+    one_exchange: for many buckets of one member, of which little is left. The rows are dealt by bucket
+    once, for the counts and for the members, and not sorted; a hot bucket's rows then
+    pass through one task, 16 bytes each.
     """
-    # the least ids are aggregated before the shuffle and joined back, so a hot bucket's rows can be split over tasks
-    shared = materialise(buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1"))
-    members = materialise(buckets.join(shared, "bucket").select("bucket", "a", "n", "id"))
-    discard(shared)
+    least = [F.min("id").alias("a"), F.count("*").alias("n")]
+    if one_exchange:
+        dealt = buckets.repartition("bucket")
+        shared = dealt.groupBy("bucket").agg(*least).filter("n > 1")
+        members = materialise(dealt.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "a", "n", "id"))
+    else:
+        # the least ids are aggregated before the shuffle and joined back, so a hot bucket's rows can be split over tasks
+        shared = materialise(buckets.groupBy("bucket").agg(*least).filter("n > 1"))
+        members = materialise(buckets.join(shared, "bucket").select("bucket", "a", "n", "id"))
+        discard(shared)
     features = materialise(features_of(members.select("id").distinct()))
     star = members.filter("a <> id").select("a", F.col("id").alias("b")).distinct()
     first = materialise(similarity(star, features))

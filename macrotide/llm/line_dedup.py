@@ -6,11 +6,12 @@ characters or more take part, by default all but blank lines.
 The character shingles of a line are the ``SHINGLE`` characters from each of its characters on,
 as far as there are that many; a shorter line is one shingle.
 
-Lines are signed within the scan: each gets 24 minima of its shingle hashes, permuted by
-rotation and exclusive-or with fixed random numbers, and equal normal forms are one line from
-the first shuffle on, which moves keys and minima but no text. The minima stand in 6 rows of 4;
-the rows and the diagonals are 12 bands of 4. Two lines of similarity 0.8 share a band with a
-probability of 0.98 (5 to 10 shingles) to 0.99 (40 or more), as measured over random pairs. Lines that share a band are
+Lines are signed within the scan: each gets 16 minima of its shingle hashes, permuted by
+rotation and exclusive-or with fixed numbers, and equal normal forms are one line from
+the first shuffle on, which moves keys and minima but no text. The minima are the points of the
+affine plane of order 4 and 16 of its lines are the bands: 4 minima each, of which two bands
+share one at most. Two lines of similarity 0.8 share a band with a
+probability of 0.99 or more, as measured over random pairs. Lines that share a band are
 verified by the Jaccard similarity of their whole shingle sets (0.8 or more), of which 32 bits of each shingle's
 hash are compared: sets of 100,000 shingles agree in about one more by chance. Linked lines are joined by
 distributed union-find (``components``). Of each component the first occurrence stays,
@@ -31,8 +32,10 @@ from .components import similar_components
 from .storage import NULL_ID, discard, materialise
 
 MIN_CHARS, SHINGLE, THRESHOLD = 1, 8, 0.8
-#: Rows of minima, and minima in each.
-ROWS, WIDTH = 6, 4
+#: Minima of a band, and values of each coordinate of the plane of minima.
+WIDTH = 4
+#: Products in the field of four elements, whose sum is exclusive-or.
+_TIMES = ((0, 0, 0, 0), (0, 1, 2, 3), (0, 2, 3, 1), (0, 3, 1, 2))
 #: Shingles that are hashed side by side before a row of them reaches the minima.
 STEP = 8
 #: A character is as many bytes in the form that shingles are cut from, whatever it is.
@@ -77,15 +80,21 @@ def _seed(i: int) -> int:
     return x - 2**63
 
 
+def _mask(i: int) -> int:
+    """Random but for the two upper bits, which differ among the minima of one rotation: in that order each begins with other hashes."""
+    x = (_seed(i) & (2**62 - 1)) | (i % WIDTH) << 62
+    return x - 2**64 if x >= 2**63 else x
+
+
 def _permuted(h: Column, i: int) -> Column:
-    by = 16 * (i % 4)
+    by = 16 * (i // WIDTH)
     turned = F.shiftleft(h, by).bitwiseOR(F.shiftrightunsigned(h, 64 - by)) if by else h
-    return turned.bitwiseXOR(F.lit(_seed(i)))
+    return turned.bitwiseXOR(F.lit(_mask(i)))
 
 
-def band_members(rows: int = ROWS, width: int = WIDTH) -> list[list[int]]:
-    """Which minima each band takes: the rows, then the diagonals, which share one minimum with a row at most."""
-    return [[(b + slope * c) % rows * width + c for c in range(width)] for slope in (0, 1) for b in range(rows)]
+def band_members() -> list[list[int]]:
+    """Which minima each band takes: one of each rotation, the points of a line y = slope * x + b of the plane."""
+    return [[WIDTH * x + (_TIMES[slope][x] ^ b) for x in range(WIDTH)] for slope in range(WIDTH) for b in range(WIDTH)]
 
 
 def row_key() -> list[Column]:
@@ -102,7 +111,7 @@ def signed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(normal_form(F.col("line")).alias("norm"))
     rows = shingle_rows(lines.select(*_line_keys(), codes(F.col("norm")).alias("code")), "k1", "k2", "chars")
     counted = F.sum((F.col("first") & (F.col("chars") >= min_chars)).cast("long")).alias("n")
-    minima = [F.min(F.least(*(_permuted(F.col(h), m) for h in _HASHES))).alias(f"m{m}") for m in range(ROWS * WIDTH)]
+    minima = [F.min(F.least(*(_permuted(F.col(h), m) for h in _HASHES))).alias(f"m{m}") for m in range(WIDTH * WIDTH)]
     # all of fixed width: summed up by hash within the scan, then once for each line
     summed = rows.groupBy("k1", "k2").agg(counted, *minima).filter("n > 0")
     bands = [F.xxhash64(F.lit(b), *(f"m{m}" for m in taken)) for b, taken in enumerate(band_members())]
@@ -110,11 +119,12 @@ def signed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def shingle_sets(lines: DataFrame) -> DataFrame:
-    """(node, items): the distinct shingle hashes of each node's line; lines: (node, norm), the same norm in all rows of a node."""
-    one = lines.groupBy("node").agg(F.any_value(codes(F.col("norm"))).alias("code"), F.any_value(F.length("norm")).alias("chars"))
+    """(node, items): the distinct shingle hashes of each node's line; lines: (node, norm), one row for each node."""
+    coded = lines.select("node", codes(F.col("norm")).alias("code"), F.greatest(F.length("norm") - SHINGLE, F.lit(0)).alias("last"))
     # half of each hash does: the sets that are compared are small, and the table of them is not
-    each = shingle_rows(one, "node").select("node", F.array(*(F.shiftright(h, 32).cast("int") for h in _HASHES)).alias("some"))
-    return each.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("some"))).alias("items"))
+    # the line is an argument itself, else it is copied out of its row for each shingle
+    each = F.transform(F.array("code"), lambda c: F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.shiftright(shingle_hash(c, i), 32).cast("int")))
+    return coded.select("node", F.array_distinct(each[0]).alias("items"))
 
 
 def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -128,12 +138,14 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int
         asked = nodes.select(F.col("id").alias("node"), F.lit(True).alias("candidate"))
         wanted = materialise(signed.join(asked, "node", "left").filter("n > 1 OR candidate").select("k1", "k2", "node", "n", "candidate"))
         lines = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("place", "line")).select("id", "text_hash", "place", normal_form(F.col("line")).alias("norm"))
-        found = lines.select("id", "text_hash", "place", *_line_keys(), "norm").join(wanted, ["k1", "k2"])
+        found = lines.select("id", "text_hash", "place", *_line_keys(), "norm").join(wanted.hint("shuffle_hash"), ["k1", "k2"])
         held.append(materialise(found.select("node", "n", "id", "text_hash", "place", "chars", F.when(F.col("candidate"), F.col("norm")).alias("norm"))))
         discard(wanted)
-        return shingle_sets(held[0].filter("norm IS NOT NULL")).withColumnRenamed("node", "id")
+        texts = held[0].filter("norm IS NOT NULL")
+        again = texts.filter("n > 1").groupBy("node").agg(F.any_value("norm").alias("norm"))
+        return shingle_sets(texts.filter("n = 1").select("node", "norm").unionByName(again)).withColumnRenamed("node", "id")
 
-    roots = similar_components(signed.select(F.explode("bands").alias("bucket"), F.col("node").alias("id")), features, threshold)
+    roots = similar_components(signed.select(F.explode("bands").alias("bucket"), F.col("node").alias("id")), features, threshold, one_exchange=True)
     linked = roots.withColumnRenamed("id", "node")
     rows = held[0].drop("norm").join(linked, "node", "left").filter("n > 1 OR root IS NOT NULL")
     rows = rows.select(F.coalesce("root", "node").alias("root"), "id", "text_hash", "place", "chars")
