@@ -9,7 +9,7 @@ as far as there are that many; a shorter line is one shingle.
 Lines are signed within the scan: each gets 16 minima of its shingle hashes, permuted by
 rotation and exclusive-or with fixed numbers, and equal normal forms are one line from
 the first shuffle on, which moves keys and minima but no text. The minima are the points of the
-affine plane of order 4 and 16 of its lines are the bands: 4 minima each, of which two bands
+affine plane of order 4 and 18 of its 20 lines are the bands: 4 minima each, of which two bands
 share one at most. Two lines of similarity 0.8 share a band with a
 probability of 0.99 or more, as measured over random pairs. Lines that share a band are
 verified by the Jaccard similarity of their whole shingle sets (0.8 or more), of which 32 bits of each shingle's
@@ -93,8 +93,10 @@ def _permuted(h: Column, i: int) -> Column:
 
 
 def band_members() -> list[list[int]]:
-    """Which minima each band takes: one of each rotation, the points of a line y = slope * x + b of the plane."""
-    return [[WIDTH * x + (_TIMES[slope][x] ^ b) for x in range(WIDTH)] for slope in range(WIDTH) for b in range(WIDTH)]
+    """Which minima each band takes: the points of a line y = slope * x + b of the plane, one of each
+    rotation, and of the lines x = 0 and x = 1."""
+    sloped = [[WIDTH * x + (_TIMES[slope][x] ^ b) for x in range(WIDTH)] for slope in range(WIDTH) for b in range(WIDTH)]
+    return sloped + [[WIDTH * x + y for y in range(WIDTH)] for x in (0, 1)]
 
 
 def row_key() -> list[Column]:
