@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import discard, materialise
@@ -98,7 +98,9 @@ def _meetings(open_: DataFrame, turn: int, may_link) -> DataFrame:
     return _pairs(slotted, slotted, (F.col("x.t") == F.col("y.t")) & (F.col("x.slot") == F.col("y.slot")) & may_link)
 
 
-def similar_components(buckets: DataFrame, features_of, threshold: float, longs: int = 16, one_exchange: bool = False) -> DataFrame:
+def similar_components(
+    buckets: DataFrame, features_of, threshold: float, longs: int = 16, one_exchange: bool = False, paired: int = 1, crowd: int = CROWD
+) -> DataFrame:
     """(id, root) of all ids that are linked: those that share a bucket and have Jaccard of ``threshold`` or more.
 
     buckets: (bucket, id), long, distinct. features_of(ids) gives (id, items) for a table of ids.
@@ -114,34 +116,46 @@ def similar_components(buckets: DataFrame, features_of, threshold: float, longs:
     nearly so become rows, and every pair of one bucket that could be linked is either
     compared or already connected.
 
-    one_exchange: for many buckets of one member, of which little is left. The rows are dealt by bucket
-    once, for the counts and for the members, and not sorted; a hot bucket's rows then
+    one_exchange: for many buckets of one member, of which little is left. The rows are dealt and sorted by
+    bucket once, and a window counts them; a hot bucket's rows then
     pass through one task, 16 bytes each.
+
+    paired: in buckets of up to as many members, all are compared with each other in the first step, not
+    only with the least; these buckets are done with then. crowd: in buckets of more than as many, members
+    meet random partners before the last comparison.
     """
-    least = [F.min("id").alias("a"), F.count("*").alias("n")]
     if one_exchange:
-        dealt = buckets.repartition("bucket")
-        shared = dealt.groupBy("bucket").agg(*least).filter("n > 1")
-        members = materialise(dealt.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "a", "n", "id"))
+        whole = Window.partitionBy("bucket")
+        counted = buckets.select("bucket", F.min("id").over(whole).alias("a"), F.count("*").over(whole).alias("n"), "id")
+        members = materialise(counted.filter("n > 1"))
     else:
         # the least ids are aggregated before the shuffle and joined back, so a hot bucket's rows can be split over tasks
-        shared = materialise(buckets.groupBy("bucket").agg(*least).filter("n > 1"))
+        shared = materialise(buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1"))
         members = materialise(buckets.join(shared, "bucket").select("bucket", "a", "n", "id"))
         discard(shared)
     features = materialise(features_of(members.select("id").distinct()))
-    star = members.filter("a <> id").select("a", F.col("id").alias("b")).distinct()
-    first = materialise(similarity(star, features))
+    others = members.filter("a <> id")
+    star = others.select("a", F.col("id").alias("b"))
+    if paired > 2:
+        few = others.filter(F.col("n").between(3, paired))
+        star = star.unionByName(_pairs(few, few, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id"))))
+    first = materialise(similarity(star.distinct(), features))
     roots = connected(first.filter(F.col("jaccard") >= threshold).select("a", "b"))
     # members of buckets that lie in one component are done with
-    placed = _with_roots(members.join(first.withColumnRenamed("b", "id"), ["a", "id"], "left").withColumn("near", F.coalesce("jaccard", F.lit(1.0))), roots)
+    larger = members.filter(F.col("n") > paired)
+    placed = _with_roots(larger.join(first.withColumnRenamed("b", "id"), ["a", "id"], "left").withColumn("near", F.coalesce("jaccard", F.lit(1.0))), roots)
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
     left = materialise(placed.join(mixed, "bucket").select("bucket", "n", "id", "near"))
-    sketches = parity_sketches(features.join(left.select("id").distinct(), "id", "left_semi"), longs)
-    sketched = materialise(left.join(sketches, "id"))
+    sought = features.join(left.select("id").distinct(), "id", "left_semi")
+    if paired > 1:  # few are left: from here on, only their sets are dealt out
+        sought = materialise(sought)
+        discard(features)
+        features = sought
+    sketched = materialise(left.join(parity_sketches(sought, longs), "id"))
     discard(left, members)
     may_link, turn, pays = _may_link(threshold, longs), 0, True
     while pays:
-        met = materialise(similarity(_meetings(_with_roots(sketched.filter(F.col("n") > CROWD), roots), turn, may_link), features))
+        met = materialise(similarity(_meetings(_with_roots(sketched.filter(F.col("n") > crowd), roots), turn, may_link), features))
         links = materialise(met.filter(F.col("jaccard") >= threshold))
         found, turn = links.count(), turn + 1
         pays = found > PAYS * met.count()

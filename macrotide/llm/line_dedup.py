@@ -36,8 +36,11 @@ MIN_CHARS, SHINGLE, THRESHOLD = 1, 8, 0.8
 WIDTH = 4
 #: Products in the field of four elements, whose sum is exclusive-or.
 _TIMES = ((0, 0, 0, 0), (0, 1, 2, 3), (0, 2, 3, 1), (0, 3, 1, 2))
-#: Shingles that are hashed side by side before a row of them reaches the minima.
-STEP = 8
+#: Shingles that are hashed side by side before a row of them reaches the minima. At 32 the generated
+#: method passes the 8,000 bytes above which the JVM leaves code interpreted.
+STEP = 16
+#: In buckets of up to ``PAIRED`` lines all are compared with each other at once; of more than ``CROWD``, random partners meet first.
+PAIRED, CROWD = 8, 32
 #: A character is as many bytes in the form that shingles are cut from, whatever it is.
 _BYTES = 4
 
@@ -147,7 +150,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, min_chars: int
         again = texts.filter("n > 1").groupBy("node").agg(F.any_value("norm").alias("norm"))
         return shingle_sets(texts.filter("n = 1").select("node", "norm").unionByName(again)).withColumnRenamed("node", "id")
 
-    roots = similar_components(signed.select(F.explode("bands").alias("bucket"), F.col("node").alias("id")), features, threshold, one_exchange=True)
+    roots = similar_components(signed.select(F.explode("bands").alias("bucket"), F.col("node").alias("id")), features, threshold, one_exchange=True, paired=PAIRED, crowd=CROWD)
     linked = roots.withColumnRenamed("id", "node")
     rows = held[0].drop("norm").join(linked, "node", "left").filter("n > 1 OR root IS NOT NULL")
     rows = rows.select(F.coalesce("root", "node").alias("root"), "id", "text_hash", "place", "chars")

@@ -1,7 +1,9 @@
 """Operators on a small fixture with nulls, empty and repeated texts, ties and extra columns, against brute force."""
 
+import contextlib
 import hashlib
 import functools
+import io
 import itertools
 import math
 import random
@@ -689,3 +691,32 @@ def test_components_are_the_same_in_one_exchange(spark):
         roots = similar_components(buckets, lambda ids: sets.join(ids, "id"), 0.8, one_exchange=one_exchange)
         found.append(sorted(tuple(r) for r in roots.collect()))
     assert found[0] == found[1] == [(i, i - i % 7) for i in range(300)]
+
+
+def test_components_compare_small_buckets_at_once(spark):
+    """Linked to each other but not to the least id of their bucket, and in groups on either side of both limits."""
+    def items(i):
+        base = F.when(i % 40 == 0, -1).otherwise((i % 40 - 1) / 3).cast("long")
+        return F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: ((i / 40).cast("long") * 100 + base) * 100 + k + F.when(k > 18, i % 3).otherwise(0))
+
+    sets = spark.range(240).select("id", items(F.col("id")).alias("items"))
+    sizes = F.element_at(F.array(*map(F.lit, (2, 3, 8, 9, 25, 40))), (F.col("id") / 40).cast("int") + 1)
+    buckets = sets.filter(F.col("id") % 40 < sizes).select(F.explode(F.array((F.col("id") / 40).cast("long"), 1000 + F.col("id"))).alias("bucket"), "id")
+    want = sorted(tuple(r) for r in similar_components(buckets, lambda ids: sets.join(ids, "id"), 0.8).collect())
+    got = similar_components(buckets, lambda ids: sets.join(ids, "id"), 0.8, one_exchange=True, paired=8, crowd=24).collect()
+    assert sorted(tuple(r) for r in got) == want
+    assert {i: r for i, r in want} == {40 * g + k: 40 * g + 1 + (k - 1) // 3 * 3 for g, n in enumerate((2, 3, 8, 9, 25, 40)) for k in range(1, n) if n - 1 - (k - 1) // 3 * 3 > 1}
+
+
+def test_line_dedup_signs_in_compiled_code(spark):
+    """The JVM leaves methods above 8,000 bytes interpreted; 16 shingles side by side halve the rows that reach the minima."""
+    rows = spark.createDataFrame([(1, "a line of text")], "doc_id long, text string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with contextlib.redirect_stdout(io.StringIO()) as said:
+            line_dedup.signed_lines(rows).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", said.getvalue())]
+    assert sizes and max(sizes) < 8000 and line_dedup.STEP >= 16
